@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,7 +59,7 @@ def by_size(batches: Iterable[pa.RecordBatch], text_at: int, most: int = 4 << 20
     """Cut batches so that one holds about `most` bytes of text, one row at least."""
     for batch in batches:
         start, held = 0, 0
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_at)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
         for i, n in enumerate(sizes):
             if held and held + n > most:
                 yield batch.slice(start, i - start)
@@ -68,9 +69,9 @@ def by_size(batches: Iterable[pa.RecordBatch], text_at: int, most: int = 4 << 20
             yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, Any]]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, Any]]], schema: str | StructType) -> DataFrame:
     """mapInArrow whose function yields dicts of columns of equal length."""
-    fields = StructType.fromDDL(schema)
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op10_language_id": "langid",
     "op9_bpe": "bpe",
 }
 
