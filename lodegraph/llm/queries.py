@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op3_decontamination": "decontaminate",
     "op4_minhash_dedup": "dartminhash",
     "op1_quality_rules": "quality_rules",
     "op10_language_id": "langid",
