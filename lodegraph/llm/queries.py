@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op7_suffix_dedup": "suffixdedup",
     "op3_decontamination": "decontaminate",
     "op4_minhash_dedup": "dartminhash",
     "op1_quality_rules": "quality_rules",
