@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op6_quality_classifier": "neighbours",
+    "op8_html_extraction": "html",
     "op7_suffix_dedup": "suffixdedup",
     "op3_decontamination": "decontaminate",
     "op4_minhash_dedup": "dartminhash",
