@@ -260,10 +260,8 @@ def render(root: Node) -> str:
                 if tag in ("ul", "ol", "menu", "dir"):
                     start = node.attrs.get("start", "")
                     lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, out.indent])
-                    out.indent += "  " if len(lists) > 1 else ""
                 elif tag == "li":
-                    base = lists[-1][2] + ("  " if len(lists) > 1 else "") if lists else ""
-                    out.indent, out.mark = base, f"{lists[-1][1]}. " if lists and lists[-1][0] else "* "
+                    out.indent, out.mark = lists[-1][2] if lists else "", f"{lists[-1][1]}. " if lists and lists[-1][0] else "* "
                     if lists:
                         lists[-1][1] += 1
                 elif tag in ("blockquote", "dd"):
@@ -296,7 +294,7 @@ def render(root: Node) -> str:
             out.indent = lists.pop()[2]
         elif tag == "li":
             out.end(1)
-            out.mark, out.indent = "", lists[-1][2] + ("  " if len(lists) > 1 else "") if lists else ""
+            out.mark, out.indent = "", lists[-1][2] if lists else ""
         elif tag in ("blockquote", "dd"):
             out.end(2 if tag == "blockquote" else 1)
             out.indent = out.indent[:-2]

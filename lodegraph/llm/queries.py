@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op5_token_counts": "tokencounts",
     "op6_quality_classifier": "neighbours",
     "op8_html_extraction": "html",
     "op7_suffix_dedup": "suffixdedup",
