@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op2_lm_scoring": "attention",
     "op5_token_counts": "tokencounts",
     "op6_quality_classifier": "neighbours",
     "op8_html_extraction": "html",
