@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -214,5 +215,11 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     return common.arrow_map(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (binary, little-endian 32 bits), decoded_sha256 of every row of docs."""
+    out = encode(docs)
+    return out.select(out["id"].alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(common.documents(spark, sf_dir))

@@ -200,6 +200,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of the smallest doc_id. Rows without a doc_id stay."""
-    gone = groups(docs.select("doc_id", "text")).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One document of each group stays: the one of the smallest doc_id. Rows without a doc_id stay; equal rows stay once."""
+    found = common.stored(groups(docs.select("doc_id", "text")), "classes")
+    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)

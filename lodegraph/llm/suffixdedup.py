@@ -9,8 +9,9 @@ minimizer twice, the pieces are put in suffix order by rank doubling: windows
 with a longest common prefix of LENGTH are neighbours there, ordered by place, so
 a window's previous smaller position is its predecessor, and its longest
 previous factor reaches LENGTH just if that predecessor shares LENGTH bytes.
-Minimizers with more than HOT bytes of differing pieces are dealt out by their
-windows' 128-bit hashes instead, so that no task holds an unbounded group.
+Where one minimizer has more than LARGE bytes of differing pieces, 128-bit hashes
+of its windows are sorted instead, in one task up to HOT bytes and dealt out over
+all tasks beyond, so that no task holds an unbounded group.
 
 Defined results: null texts count as empty; texts under LENGTH bytes keep all;
 windows never cross texts; rows of equal doc_id and text share their result (two
@@ -36,8 +37,9 @@ LENGTH = 400
 GRAM = 16
 SEGMENT = 1 << 19
 RUN = 4096
-HOT = 1 << 20
-CHUNK = 1 << 21
+HOT = 1 << 24
+CHUNK = 1 << 19
+LARGE = 1 << 20  # ranks of so many bytes fit 21 bits, so that three make one sort key
 _bytes = [shingles.mix(np.arange(256, dtype=np.uint64) + np.uint64(1000 * i + 1)) for i in (1, 2)]
 _BASE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 
@@ -95,22 +97,8 @@ def earlier(texts: list[bytes], length: int = LENGTH) -> list[tuple[np.ndarray,
 
     Suffix order to a depth of `length` by rank doubling over the joined texts.
     """
-    buf = np.frombuffer(b"".join(texts) + bytes(length + 8), np.uint8).astype(np.uint64)
-    n = len(buf) - length - 8
-    x, at = buf, 1
-    while at < 8:
-        x = (x[:-at] << np.uint64(8 * at)) | x[at:]
-        at *= 2
-    rank = np.unique(x, return_inverse=True)[1].astype(np.uint64)
-    depth = 8
-    while depth * 2 <= length:
-        rank = np.unique((rank[:-depth] << np.uint64(32)) | rank[depth:], return_inverse=True)[1].astype(np.uint64)
-        depth *= 2
     sizes = np.array([len(t) - length + 1 for t in texts])
-    offsets = np.cumsum([0, *[len(t) for t in texts]])[:-1]
-    window = np.repeat(offsets - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    assert not len(window) or window[-1] < n
-    key = (rank[window] << np.uint64(32)) | rank[window + length - depth]
+    key = (_hashed if sum(map(len, texts)) > 2 * LARGE - 2 * length - 8 else _ranked)(texts, sizes, length)
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     before, after = np.concatenate([[False], same]), np.concatenate([same, [False]])
@@ -120,6 +108,41 @@ def earlier(texts: list[bytes], length: int = LENGTH) -> list[tuple[np.ndarray,
     return list(zip(np.split(first, cuts), np.split(both, cuts), strict=True))
 
 
+def _ranked(texts: list[bytes], sizes: np.ndarray, length: int) -> np.ndarray:
+    """A key for each window that sorts as its suffix does to a depth of `length`."""
+    buf = np.frombuffer(b"".join(texts) + bytes(length + 8), np.uint8).astype(np.uint64)
+    x, at = buf, 1
+    while at < 8:
+        x = (x[:-at] << np.uint64(8 * at)) | x[at:]
+        at *= 2
+    rank, depth = _rank(x), 8
+    while depth * 2 < length:
+        if depth * 3 <= length:
+            rank = _rank((rank[: -2 * depth] << np.uint64(42)) | (rank[depth:-depth] << np.uint64(21)) | rank[2 * depth :])
+            depth *= 3
+        else:
+            rank = _rank((rank[:-depth] << np.uint64(32)) | rank[depth:])
+            depth *= 2
+    offsets = np.cumsum([0, *[len(t) for t in texts]])[:-1]
+    window = np.repeat(offsets - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    return (rank[window] << np.uint64(32)) | rank[window + length - depth]
+
+
+def _rank(x: np.ndarray) -> np.ndarray:
+    return np.unique(x, return_inverse=True)[1].astype(np.uint64)
+
+
+def _hashed(texts: list[bytes], sizes: np.ndarray, length: int) -> np.ndarray:
+    """A key for each window that is equal just for equal windows: its place in the order of 128-bit hashes."""
+    parts = tuple(1 << k for k in reversed(range(length.bit_length())) if length >> k & 1)
+    a, b = (np.concatenate([gram_hashes(np.frombuffer(t, np.uint8), parts, w) for t in texts]) for w in (0, 1))
+    order = np.lexsort((b, a))
+    new = np.concatenate([[False], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    key = np.empty(len(a), np.int64)
+    key[order] = np.cumsum(new)
+    return key
+
+
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     d = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
     return list(zip(np.flatnonzero(d == 1).tolist(), np.flatnonzero(d == -1).tolist(), strict=True))
@@ -189,7 +212,7 @@ def spans(docs: DataFrame, keep_first: bool, length: int = LENGTH, hot: int = HO
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if size > CHUNK and row[0] != held[-1][0]:
+                if size + len(row[4]) > CHUNK and held and row[0] != held[-1][0]:
                     yield from settle(held)
                     held, size = [], 0
                 held.append(row)
