@@ -142,13 +142,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs whose text has an identified language; the others go. Columns stay."""
     langs, logp = learn(docs.where(~common.held_out("doc_id", 4, 2)))
-    sent = spark.sparkContext.broadcast((langs, logp))
+    sent, names = spark.sparkContext.broadcast((langs, logp)), list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         langs, logp = sent.value
-        names = None
-        for batch in common.by_size(batches, docs.columns.index("text"), 1 << 20):
-            names = names or batch.schema.names
+        for batch in common.by_size(batches, names.index("text"), 1 << 20):
             texts = batch.column(names.index("text")).to_pylist()
             some = [i for i, t in enumerate(texts) if langs and t and LETTER.search(t)]
             if some:
