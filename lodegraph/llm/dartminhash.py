@@ -9,14 +9,15 @@ probability of their weighted Jaccard similarity.
 
 Joining: documents with the same shingle set form one class at once. The classes'
 signatures are cut into bands; in each bucket of equal bands every member is
-held against one leader, links of a similarity of at least THRESHOLD (checked on
-the whole shingle sets) are kept, and linked members merge. Buckets that still
-hold members of several groups get further leaders until every pair that lies in
-different groups was compared, so no pairs within a group are emitted, and no
-link between groups is lost.
+held against one leader, the one that meets the most others in all its buckets,
+which is the likely origin of a group of copies. Links of a similarity of at
+least THRESHOLD (checked on the whole shingle sets) merge their ends. Buckets that
+still hold members of several groups get further leaders from outside their
+largest group until every pair that lies in different groups was compared, so the
+pairs within a group are never listed, and no link between groups is lost.
 
 Defined results: null texts and texts without a word are each a class of their
-own, without links; repeated rows fall in one class; an empty table gives no
+own; repeated rows fall in one class; an empty table gives no
 rows; rows without a doc_id take part, and show as null. Only doc_id and text are
 read. The class id is the smallest doc_id of the group.
 """
@@ -98,7 +99,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """k (64-bit hash of the shingle set; null without words), bands of every row."""
+    """k (hash of the shingle set; null without words), bands, size of the set of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in common.by_size(batches, 1, 1 << 20):
@@ -110,9 +111,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 got = band_keys(signatures(np.concatenate([sets[i] for i in some]), owner, len(some))).view(np.int64).tolist()
                 for i, b in zip(some, got, strict=True):
                     keys[i], bands[i] = set_key(sets[i]), b
-            yield {"doc_id": batch.column(0), "k": keys, "bands": bands}
+            yield {"doc_id": batch.column(0), "k": keys, "bands": bands, "n": [len(x) for x in sets]}
 
-    return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, k string, bands array<long>")
+    return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, k string, bands array<long>, n int")
 
 
 def set_key(found: np.ndarray) -> str:
@@ -149,50 +150,48 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links (verified links of its text to other texts) of every row."""
-    spark = docs.sparkSession
+    """doc_id, class_id of every row."""
     rows = common.stored(sketch(docs), "sketch")
     # one row for each distinct shingle set; id: its smallest doc_id, or a negative number from its hash where it has none
-    texts = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
-    members = common.stored(texts.select("k", "first", F.posexplode("bands").alias("band", "key")).select("k", "first", "key"), "members")
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    bucket = common.stored(members.join(shared, "key").select("key", "k"), "buckets")
-    labels = common.stored(bucket.select(F.col("k").alias("id")).distinct().withColumn("c", F.col("id")), "labels")
+    texts = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+    members = common.stored(texts.select("k", "n", F.explode("bands").alias("key")), "members")
+    shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    bucket = common.stored(members.join(shared, "key").select("key", "k", "n", "m"), "buckets")
+    # who meets the most others is the likely origin of a group of copies, and leads
+    mass = bucket.groupBy("k").agg(F.sum("m").alias("mass"))
+    bucket = common.stored(bucket.join(mass, "k").select("key", "k", "n", "mass"), "buckets")
+    labels = common.stored(mass.select(F.col("k").alias("id"), F.col("k").alias("c")), "labels")
     wanted = labels.select(F.col("id").alias("k"))
     # texts of candidates, one for each distinct set; a join by doc_id finds them without moving the others' sets
     heads = rows.join(wanted, "k", "left_semi").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("h")).select(F.col("h.doc_id").alias("doc_id"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = common.stored(_sets(source.join(heads.distinct(), source["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")).join(wanted, "k", "left_semi").dropDuplicates(["k"]), "sets")
-    links, tried, round_ = None, None, 0
-    while True:
-        in_group = bucket.join(labels.select(F.col("id").alias("k"), "c"), "k")
-        size = in_group.groupBy("key", "c").agg(F.count("*").alias("m"), F.min("k").alias("lead"))
-        several = size.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("m", "c")).alias("largest")).where("groups > 1")
-        if round_ == 0:
-            lead = bucket.groupBy("key").agg(F.min("k").alias("lead"))
-        else:
-            # members outside a bucket's largest group lead, LEADERS at a time, each once
-            left = in_group.join(several.select("key", F.col("largest.c").alias("most")), "key").where("c <> most").select("key", F.col("k").alias("lead"))
-            left = left.join(tried, ["key", "lead"], "left_anti")
-            lead = left.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("lead"))).where(F.col("n") <= LEADERS).select("key", "lead")
-        lead = common.stored(lead, "leaders")
-        if lead.isEmpty():
-            break
-        tried = lead if tried is None else tried.unionByName(lead)
-        of_lead = labels.select(F.col("id").alias("lead"), F.col("c").alias("cl"))
-        pairs = in_group.join(lead.join(of_lead, "lead"), "key").where("c <> cl and k <> lead").select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
+    tried = None
+    lead = common.stored(bucket.groupBy("key").agg(F.max_by(F.struct("k", "n"), F.struct("mass", "k")).alias("l")).select("key", F.col("l.k").alias("lead"), F.col("l.n").alias("ln")), "leaders")
+    grouped = bucket.withColumn("c", F.col("k"))
+    while not lead.isEmpty():
+        tried = lead.select("key", "lead") if tried is None else tried.unionByName(lead.select("key", "lead"))
+        of_lead = lead.join(labels.select(F.col("id").alias("lead"), F.col("c").alias("cl")), "lead")
+        close = F.least("n", "ln") >= THRESHOLD * F.greatest("n", "ln")  # else the sets can't be as like
+        pairs = grouped.join(of_lead, "key").where((F.col("c") != F.col("cl")) & close).select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
         both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
         inter = F.size(F.array_intersect("sa", "sb"))
         found = common.stored(both.where(inter >= THRESHOLD * (F.size("sa") + F.size("sb") - inter)).select("a", "b"), "links")
-        links = found if links is None else links.unionByName(found)
         labels = components(labels, found)
-        round_ += 1
-    ends = links.select(F.col("a").alias("k")).unionByName(links.select(F.col("b").alias("k"))).groupBy("k").agg(F.count("*").alias("n_links"))
-    firsts = texts.select("k", "first").join(labels.select(F.col("id").alias("k"), "c"), "k", "left").join(ends, "k", "left").select("k", "first", F.coalesce("c", "k").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        # only buckets with members of several groups are left; outside its largest group each member leads once
+        now = grouped.drop("c").join(labels.select(F.col("id").alias("k"), "c"), "k")
+        size = now.groupBy("key", "c").agg(F.count("*").alias("m"))
+        several = size.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("c", F.struct("m", "c")).alias("most")).where("groups > 1").select("key", "most")
+        grouped = common.stored(now.join(several, "key"), "several")
+        left = grouped.where("c <> most").select("key", F.col("k").alias("lead"), F.col("n").alias("ln"), "mass").join(tried, ["key", "lead"], "left_anti")
+        n = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("mass"), "lead"))
+        lead = common.stored(left.withColumn("i", n).where(F.col("i") <= LEADERS).select("key", "lead", "ln"), "leaders")
+        grouped = grouped.drop("most")
+    firsts = texts.select("k", "first").join(labels.select(F.col("id").alias("k"), "c"), "k", "left").select("k", "first", F.coalesce("c", "k").alias("c"))
     firsts = common.stored(firsts, "firsts")
     ids = firsts.groupBy("c").agg(F.min("first").alias("class_id"))
-    named = firsts.join(ids, "c").select("k", "class_id", "n_links")
-    return rows.join(named, "k", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = firsts.join(ids, "c").select("k", "class_id")
+    return rows.join(named, "k", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
