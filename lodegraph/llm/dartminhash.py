@@ -37,7 +37,7 @@ from . import common, shingles
 THRESHOLD = 0.8
 ROWS, BANDS = 5, 24
 COORDINATES = ROWS * BANDS
-LEADERS = 8
+LEADERS = 32
 #: Cumulated probabilities of 0, 1, 2, ... darts in a cell of area 1.
 POISSON = np.cumsum(np.exp(-1) / np.cumprod([1, *range(1, 13)]))
 
@@ -166,13 +166,19 @@ def groups(docs: DataFrame) -> DataFrame:
     heads = rows.join(wanted, "k", "left_semi").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("h")).select(F.col("h.doc_id").alias("doc_id"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = common.stored(_sets(source.join(heads.distinct(), source["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")).join(wanted, "k", "left_semi").dropDuplicates(["k"]), "sets")
+    # shingles that no other set has can't be shared: `most` bounds a set's intersections
+    own = sets.select("k", F.explode("s").alias("e")).groupBy("e").agg(F.count("*").alias("df"), F.min("k").alias("k")).where("df = 1").groupBy("k").agg(F.count("*").alias("u"))
+    lows = bucket.groupBy("key").agg(F.min("n").alias("low"))
+    bucket = bucket.join(own, "k", "left").join(lows, "key").select("key", "k", "n", "mass", "low", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
+    bucket = common.stored(bucket, "buckets")
     tried = None
-    lead = common.stored(bucket.groupBy("key").agg(F.max_by(F.struct("k", "n"), F.struct("mass", "k")).alias("l")).select("key", F.col("l.k").alias("lead"), F.col("l.n").alias("ln")), "leaders")
+    lead = common.stored(bucket.groupBy("key").agg(F.max_by(F.struct("k", "n", "most"), F.struct("mass", "k")).alias("l")).select("key", F.col("l.k").alias("lead"), F.col("l.n").alias("ln"), F.col("l.most").alias("lmost")), "leaders")
     grouped = bucket.withColumn("c", F.col("k"))
     while not lead.isEmpty():
         tried = lead.select("key", "lead") if tried is None else tried.unionByName(lead.select("key", "lead"))
         of_lead = lead.join(labels.select(F.col("id").alias("lead"), F.col("c").alias("cl")), "lead")
-        close = F.least("n", "ln") >= THRESHOLD * F.greatest("n", "ln")  # else the sets can't be as like
+        both_most = F.least("most", "lmost")
+        close = both_most >= THRESHOLD * (F.col("n") + F.col("ln") - both_most)  # else the sets can't be as like
         pairs = grouped.join(of_lead, "key").where((F.col("c") != F.col("cl")) & close).select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
         both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
         inter = F.size(F.array_intersect("sa", "sb"))
@@ -181,12 +187,13 @@ def groups(docs: DataFrame) -> DataFrame:
         # only buckets with members of several groups are left; outside its largest group each member leads once
         now = grouped.drop("c").join(labels.select(F.col("id").alias("k"), "c"), "k")
         size = now.groupBy("key", "c").agg(F.count("*").alias("m"))
-        several = size.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("c", F.struct("m", "c")).alias("most")).where("groups > 1").select("key", "most")
+        several = size.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("c", F.struct("m", "c")).alias("most")).where("groups > 1").select("key", F.col("most").alias("largest"))
         grouped = common.stored(now.join(several, "key"), "several")
-        left = grouped.where("c <> most").select("key", F.col("k").alias("lead"), F.col("n").alias("ln"), "mass").join(tried, ["key", "lead"], "left_anti")
+        can = F.col("most") >= THRESHOLD * F.greatest("n", F.col("n") + F.col("low") - F.col("most"))
+        left = grouped.where((F.col("c") != F.col("largest")) & can).select("key", F.col("k").alias("lead"), F.col("n").alias("ln"), F.col("most").alias("lmost"), "mass").join(tried, ["key", "lead"], "left_anti")
         n = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("mass"), "lead"))
-        lead = common.stored(left.withColumn("i", n).where(F.col("i") <= LEADERS).select("key", "lead", "ln"), "leaders")
-        grouped = grouped.drop("most")
+        lead = common.stored(left.withColumn("i", n).where(F.col("i") <= LEADERS).select("key", "lead", "ln", "lmost"), "leaders")
+        grouped = grouped.drop("largest")
     firsts = texts.select("k", "first").join(labels.select(F.col("id").alias("k"), "c"), "k", "left").select("k", "first", F.coalesce("c", "k").alias("c"))
     firsts = common.stored(firsts, "firsts")
     ids = firsts.groupBy("c").agg(F.min("first").alias("class_id"))
