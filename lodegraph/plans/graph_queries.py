@@ -1,0 +1,196 @@
+"""Queries that walk the call graph, and roll-ups over files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import dashboard as D
+from ..operators import graph as G
+from ..operators import trace as T
+from ..sources import adapters as A
+from .registry import query
+from .symbol_queries import CROSS, NAME, ROWS, cross, rows
+
+DEPTH = 10
+
+
+def walk(a: str, b: str, seeds: str, depth: int) -> str:
+    return f"""walk AS (SELECT symbol_id AS seed, symbol_id AS node, 0 AS d FROM symbols WHERE {seeds} UNION SELECT seed, {a}, d + 1 FROM walk JOIN edges ON {b} = node WHERE d < {depth}),
+dist AS (SELECT seed, node, min(d)::INT AS depth FROM walk GROUP BY ALL)"""
+
+
+BY_NAME = f"name = '{NAME}'"
+UP, DOWN = (walk(*ab, BY_NAME, DEPTH) for ab in (("from_symbol", "to_symbol"), ("to_symbol", "from_symbol")))
+#: Chains by the smallest predecessor of the level before.
+CHAINS = """, pre AS (SELECT n.seed, n.node, n.depth, min(p.node) AS pred FROM dist n JOIN edges e ON e.{a} = n.node JOIN dist p ON p.seed = n.seed AND p.node = e.{b} AND p.depth = n.depth - 1 GROUP BY ALL),
+chains AS (SELECT seed, node, 0 AS depth, node::VARCHAR AS chain FROM dist WHERE depth = 0 UNION ALL SELECT p.seed, p.node, p.depth, {join} FROM chains c JOIN pre p ON p.seed = c.seed AND p.pred = c.node AND p.depth = c.depth + 1)"""
+UP_CHAINS = UP.replace(f"d < {DEPTH}", f"d < {DEPTH - 1}") + CHAINS.format(a="from_symbol", b="to_symbol", join="p.node || '>' || c.chain")
+UP_FULL = UP + CHAINS.format(a="from_symbol", b="to_symbol", join="p.node || '>' || c.chain")
+DOWN_FULL = DOWN + CHAINS.format(a="to_symbol", b="from_symbol", join="c.chain || '>' || p.node")
+RISK = "CASE WHEN entries > 10 OR files > 50 THEN 'critical' WHEN entries > 5 OR files > 20 THEN 'high' WHEN direct > 5 OR files > 5 THEN 'medium' ELSE 'low' END AS risk"
+
+
+def targets(spark, sf):
+    return A.symbols(spark, sf).where(F.col("name") == NAME).select("symbol_id")
+
+
+def chain(c="chain"):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ">")
+
+
+def paths(spark, sf):
+    return T.entry_paths(A.symbols(spark, sf), A.edges(spark, sf), targets(spark, sf), DEPTH)
+
+
+@query("t1_paths", "SELECT seed AS target, node AS entry, depth FROM chains JOIN symbols ON symbol_id = node WHERE is_entry", UP_CHAINS)
+def t1(spark, sf):
+    return paths(spark, sf).select("target", "entry", "depth")
+
+
+@query("t1_chain", "SELECT seed AS target, node AS entry, chain FROM chains JOIN symbols ON symbol_id = node WHERE is_entry", UP_CHAINS)
+def t1c(spark, sf):
+    return paths(spark, sf).select("target", "entry", chain().alias("chain"))
+
+
+@query("t3_path_summary", "SELECT seed AS target, count(DISTINCT node) AS entries, min(depth) AS min_depth, max(depth) AS max_depth, count(*) FILTER (depth <= 1) AS direct FROM chains JOIN symbols ON symbol_id = node WHERE is_entry GROUP BY 1", UP_CHAINS)
+def t3(spark, sf):
+    return paths(spark, sf).groupBy("target").agg(F.count_distinct("entry").alias("entries"), F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"), F.count_if(F.size("chain") <= 2).alias("direct"))
+
+
+@query("t4_trace_steps", "SELECT target, entry, step, name FROM (SELECT seed AS target, node AS entry, unnest(string_split(chain, '>'))::BIGINT AS s, generate_subscripts(string_split(chain, '>'), 1)::INT AS step FROM chains JOIN symbols ON symbol_id = node WHERE is_entry) JOIN symbols ON symbol_id = s", UP_CHAINS)
+def t4(spark, sf):
+    steps = paths(spark, sf).select("target", "entry", F.posexplode("chain").alias("i", "s"))
+    return steps.join(A.symbols(spark, sf), F.col("s") == F.col("symbol_id")).select("target", "entry", (F.col("i") + 1).alias("step"), "name")
+
+
+@query("t8_callers", "SELECT seed AS root, node AS terminal, depth, chain FROM chains WHERE depth > 0 AND node NOT IN (SELECT to_symbol FROM edges)", UP_FULL)
+def t8(spark, sf):
+    return T.terminal_paths(A.edges(spark, sf), targets(spark, sf), DEPTH, True).select("root", "terminal", "depth", chain().alias("chain"))
+
+
+@query("t9_callees", "SELECT seed AS root, node AS terminal, depth, chain FROM chains WHERE depth > 0 AND node NOT IN (SELECT from_symbol FROM edges)", DOWN_FULL)
+def t9(spark, sf):
+    return T.terminal_paths(A.edges(spark, sf), targets(spark, sf), DEPTH, False).select("root", "terminal", "depth", chain().alias("chain"))
+
+
+IMPACT = "SELECT *, {risk} FROM (SELECT seed AS symbol_id, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 1) AS transitive, count(DISTINCT file_id) AS files, count(*) FILTER (is_entry) AS entries FROM dist JOIN symbols ON symbol_id = node {where} GROUP BY 1)"
+
+
+@query("t10_impact", IMPACT.format(risk=RISK, where=""), UP)
+def t10(spark, sf):
+    return T.impact(A.symbols(spark, sf), A.edges(spark, sf), targets(spark, sf), DEPTH)
+
+
+@query("w14_impact", IMPACT.format(risk=RISK, where="WHERE depth > 0"), UP)
+def w14(spark, sf):
+    return T.impact(A.symbols(spark, sf), A.edges(spark, sf), targets(spark, sf), DEPTH, False)
+
+
+@query("w9_callers_depth", "SELECT seed AS symbol_id, node AS caller, depth FROM dist WHERE depth > 0", UP)
+def w9(spark, sf):
+    r = G.reach(A.edges(spark, sf), targets(spark, sf).select(F.col("symbol_id").alias("seed")), DEPTH, backward=True)
+    return r.where("depth > 0").select(F.col("seed").alias("symbol_id"), F.col("node").alias("caller"), "depth")
+
+
+@query("t17_depth", "SELECT coalesce(max(m), 0) AS max_depth, round(coalesce(avg(m), 0), 4) AS avg_depth FROM (SELECT seed, max(depth) AS m FROM dist GROUP BY 1)", walk("to_symbol", "from_symbol", "is_entry", DEPTH))
+def t17(spark, sf):
+    return T.call_depths(A.symbols(spark, sf), A.edges(spark, sf), DEPTH)
+
+
+SCC = """clo AS (SELECT a, b FROM file_edges UNION SELECT clo.a, e.b FROM clo JOIN file_edges e ON clo.b = e.a),
+scc AS (SELECT x.a AS node, min(least(x.a, x.b)) AS component FROM clo x JOIN clo y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1)"""
+FIRST = "firsts AS (SELECT file_id, arg_min(name, symbol_id) AS shown FROM symbols GROUP BY 1)"
+
+
+def scc(spark, sf):
+    return G.components(A.file_edges(spark, sf))
+
+
+@query("t12_scc", "SELECT node, component FROM scc", SCC)
+def t12(spark, sf):
+    return scc(spark, sf)
+
+
+@query("w10_cycle_count", "SELECT count(DISTINCT component) AS cycles FROM scc", SCC)
+def w10(spark, sf):
+    return scc(spark, sf).agg(F.count_distinct("component").alias("cycles"))
+
+
+@query("w11_cycle_files", "SELECT path FROM scc JOIN files ON file_id = node", SCC)
+def w11(spark, sf):
+    return scc(spark, sf).join(A.files(spark, sf), F.col("node") == F.col("file_id")).select("path")
+
+
+@query("w15_cycles", """SELECT component, count(*) AS size, CASE WHEN count(*) > 5 THEN 'critical' WHEN count(*) > 3 THEN 'high' ELSE 'medium' END AS severity, string_agg(node::VARCHAR, ',' ORDER BY node) AS members, string_agg(shown, ',' ORDER BY node) AS display FROM scc JOIN firsts ON file_id = node GROUP BY 1""", f"{SCC}, {FIRST}")
+def w15(spark, sf):
+    return D.cycles_table(scc(spark, sf), A.symbols(spark, sf))
+
+
+@query("c10_cycles_by_size", "SELECT component, n AS size, row_number() OVER (ORDER BY n DESC, component)::INT AS rank FROM (SELECT component, count(*) AS n FROM scc GROUP BY 1)", SCC)
+def c10(spark, sf):
+    from pyspark.sql.window import Window
+
+    n = scc(spark, sf).groupBy("component").agg(F.count("*").alias("size"))
+    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "component")))
+
+
+NODES = f"""{ROWS}, {CROSS}, {SCC}, nodes AS (SELECT r.file_id, path, count(*) AS symbols, count(*) FILTER (dead) AS dead, count(*) FILTER (is_entry) AS exports, coalesce(any_value(i.n), 0) AS imports, r.file_id IN (SELECT node FROM scc) AS in_cycle
+ FROM rows r LEFT JOIN (SELECT from_file, count(*) AS n FROM cross_edges GROUP BY 1) i ON i.from_file = r.file_id GROUP BY r.file_id, path ORDER BY symbols DESC, r.file_id LIMIT 100)"""
+
+
+def nodes(spark, sf):
+    return D.file_nodes(rows(spark, sf), cross(spark, sf), scc(spark, sf))
+
+
+@query("w3_nodes", "SELECT * FROM nodes", NODES)
+def w3(spark, sf):
+    return nodes(spark, sf)
+
+
+@query("w3_edges", "SELECT from_file, to_file, count(*) AS weight FROM cross_edges WHERE from_file IN (SELECT file_id FROM nodes) AND to_file IN (SELECT file_id FROM nodes) GROUP BY ALL", NODES)
+def w3e(spark, sf):
+    return D.file_links(cross(spark, sf), nodes(spark, sf))
+
+
+TREE = f"""{ROWS}, {SCC}, per AS (SELECT file_id, path, count(*) AS value, count(*) FILTER (dead) AS dead, file_id IN (SELECT node FROM scc) AS in_cycle FROM rows GROUP BY ALL),
+tree AS (SELECT p AS path, len(string_split(p, '/'))::INT AS depth, sum(value)::BIGINT AS value, sum(dead)::BIGINT AS dead, count(*) AS files, bool_or(in_cycle) AS in_cycle, floor(100 * (sum(value) - sum(dead)) / sum(value))::BIGINT AS health
+ FROM (SELECT *, array_to_string(string_split(path, '/')[1:n], '/') AS p FROM (SELECT *, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM per)) GROUP BY 1)"""
+
+
+@query("w4_rollup", "SELECT * FROM tree", TREE)
+def w4(spark, sf):
+    return D.rollup(rows(spark, sf), scc(spark, sf))
+
+
+@query("w4_base", "SELECT * FROM (SELECT path, depth, value, dead, files, in_cycle, health FROM tree) WHERE starts_with(path, 'src/core/a/')", TREE)
+def w4b(spark, sf):
+    return D.rollup(rows(spark, sf), scc(spark, sf), "src/core/a").where(F.col("path").startswith("src/core/a/"))
+
+
+@query("w5_totals", "SELECT files, value AS symbols, dead, health FROM tree WHERE depth = 1", TREE)
+def w5(spark, sf):
+    return D.rollup(rows(spark, sf), scc(spark, sf)).where("depth = 1").select("files", F.col("value").alias("symbols"), "dead", "health")
+
+
+@query("w6_tree", "SELECT path, depth, row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY depth = 4, lower(path))::INT AS place FROM tree", TREE)
+def w6(spark, sf):
+    from pyspark.sql.window import Window
+
+    t = D.rollup(rows(spark, sf), scc(spark, sf))
+    w = Window.partitionBy(F.regexp_replace("path", "/?[^/]*$", "")).orderBy(F.col("depth") == 4, F.lower("path"))
+    return t.select("path", "depth", F.row_number().over(w).alias("place"))
+
+
+@query("c7_files", "SELECT path, count(*) AS symbols, sum(refs)::BIGINT AS refs_in, sum(callees)::BIGINT AS refs_out, count(*) FILTER (is_entry) AS entries, count(*) FILTER (dead) AS dead, count(*) FILTER (file_id IN (SELECT node FROM scc)) AS in_cycle FROM rows GROUP BY 1", f"{ROWS}, {SCC}")
+def c7(spark, sf):
+    return D.files_table(rows(spark, sf), scc(spark, sf))
+
+
+@query("c16_hierarchy", "SELECT path, value FROM tree WHERE depth <= 3", TREE)
+def c16(spark, sf):
+    return D.rollup(rows(spark, sf), scc(spark, sf)).where("depth <= 3").select("path", "value")
+
+
+@query("c21_cycles_of_symbol", "SELECT symbol_id, component FROM symbols JOIN scc ON node = file_id WHERE name = '" + NAME + "'", SCC)
+def c21(spark, sf):
+    return A.symbols(spark, sf).where(F.col("name") == NAME).join(scc(spark, sf), F.col("file_id") == F.col("node")).select("symbol_id", "component")
