@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None, with_: str = ""):
 
 
 def _load() -> None:
-    from . import graph_queries, symbol_queries, text_queries, time_queries  # noqa: F401
+    from . import extract_queries, graph_queries, symbol_queries, text_queries, time_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
