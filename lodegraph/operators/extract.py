@@ -111,7 +111,7 @@ def by_pattern(text: str) -> list[tuple]:
     for pattern in FUNCTIONS:
         for m in pattern.finditer(text):
             line, col = place(m.start(1))
-            if m[1] in KEYWORDS or (m[1], line) in seen:
+            if m[1] in KEYWORDS - {"new"} or (m[1], line) in seen:
                 continue
             seen.add((m[1], line))
             method = any(a < line <= b for a, b in inside)

@@ -92,16 +92,16 @@ def coloured(edges: DataFrame) -> DataFrame:
             break
         colour = cut(left.select(F.col("a").alias("n")).union(left.select("b")).distinct().withColumn("c", F.col("n")))
         while True:
-            into = left.join(colour, left["a"] == colour["n"]).groupBy("b").agg(F.max("c").alias("m"))
-            new = cut(colour.join(into, colour["n"] == into["b"], "left").select("n", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") > F.col("c")).alias("moved")))
+            into = left.join(colour.toDF("a", "ca"), "a").groupBy(F.col("b").alias("n")).agg(F.max("ca").alias("m"))
+            new = cut(colour.join(into, "n", "left").select("n", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") > F.col("c")).alias("moved")))
             colour = new.select("n", "c")
             if new.where("moved").isEmpty():
                 break
-        inside = left.join(colour.select(F.col("n").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("n").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb")
+        inside = left.join(colour.toDF("a", "ca"), "a").join(colour.toDF("b", "cb"), "b").where("ca = cb")
         inside = cut(inside.select("a", "b", F.col("ca").alias("c")))
         member = front = cut(colour.where("n = c"))
         while not front.isEmpty():
-            front = cut(front.join(inside, (front["n"] == inside["b"]) & (front["c"] == inside["c"])).select(inside["a"].alias("n"), inside["c"]).distinct().join(member, ["n", "c"], "left_anti"))
+            front = cut(front.toDF("b", "c").join(inside, ["b", "c"]).select(F.col("a").alias("n"), "c").distinct().join(member, ["n", "c"], "left_anti"))
             member = member.unionByName(front)
         member = cut(member)
         found = member if found is None else found.unionByName(member)

@@ -70,7 +70,7 @@ def test_walk_and_store(spark, tmp_path):
     (tmp_path / "build.log").write_text("no")
     (tmp_path / "gen").mkdir()
     (tmp_path / "gen/g.py").write_text("g = 1")
-    (tmp_path / "Cargo.toml").write_text("")
+    (tmp_path / "Cargo.toml").write_text("[package]\n")
     df = files.walk(spark, str(tmp_path), largest=2000, rules="gen/\n# note\n!gen/keep.py\n")
     assert sorted(r.path for r in df.collect()) == ["Cargo.toml", "src/a.py"]
     index = extract.build(df)
