@@ -153,7 +153,7 @@ def groups(docs: DataFrame) -> DataFrame:
     """doc_id, class_id of every row."""
     rows = common.stored(sketch(docs), "sketch")
     # one row for each distinct shingle set; id: its smallest doc_id, or a negative number from its hash where it has none
-    texts = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+    texts = common.stored(rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("n").alias("n")), "texts")
     members = common.stored(texts.select("k", "n", F.explode("bands").alias("key")), "members")
     shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     bucket = common.stored(members.join(shared, "key").select("key", "k", "n", "m"), "buckets")
@@ -169,17 +169,20 @@ def groups(docs: DataFrame) -> DataFrame:
     # shingles that no other set has can't be shared: `most` bounds a set's intersections
     own = sets.select("k", F.explode("s").alias("e")).groupBy("e").agg(F.count("*").alias("df"), F.min("k").alias("k")).where("df = 1").groupBy("k").agg(F.count("*").alias("u"))
     lows = bucket.groupBy("key").agg(F.min("n").alias("low"))
-    bucket = bucket.join(own, "k", "left").join(lows, "key").select("key", "k", "n", "mass", "low", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
+    bucket = bucket.join(own, "k", "left").join(lows, "key").join(texts.select("k", "bands"), "k").select("key", "k", "n", "mass", "low", "bands", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
     bucket = common.stored(bucket, "buckets")
     tried = None
-    lead = common.stored(bucket.groupBy("key").agg(F.max_by(F.struct("k", "n", "most"), F.struct("mass", "k")).alias("l")).select("key", F.col("l.k").alias("lead"), F.col("l.n").alias("ln"), F.col("l.most").alias("lmost")), "leaders")
+    lead = common.stored(bucket.groupBy("key").agg(F.max_by(F.struct("k", "n", "most", "bands"), F.struct("mass", "k")).alias("l")).select("key", F.col("l.k").alias("lead"), F.col("l.n").alias("ln"), F.col("l.most").alias("lmost"), F.col("l.bands").alias("lbands")), "leaders")
     grouped = bucket.withColumn("c", F.col("k"))
     while not lead.isEmpty():
         tried = lead.select("key", "lead") if tried is None else tried.unionByName(lead.select("key", "lead"))
-        of_lead = lead.join(labels.select(F.col("id").alias("lead"), F.col("c").alias("cl")), "lead")
+        led = lead.groupBy("lead").agg(F.collect_set("key").alias("led"))  # at most one for each band
+        of_lead = lead.join(labels.select(F.col("id").alias("lead"), F.col("c").alias("cl")), "lead").join(led, "lead")
         both_most = F.least("most", "lmost")
         close = both_most >= THRESHOLD * (F.col("n") + F.col("ln") - both_most)  # else the sets can't be as like
-        pairs = grouped.join(of_lead, "key").where((F.col("c") != F.col("cl")) & close).select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
+        # two texts meet in all the buckets they share, and are taken in the first one where one of them leads
+        met = F.get(F.filter(F.zip_with("bands", "lbands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull() & F.array_contains("led", x)), 0)
+        pairs = grouped.join(of_lead, "key").where((F.col("c") != F.col("cl")) & close & (met == F.col("key"))).select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
         both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
         inter = F.size(F.array_intersect("sa", "sb"))
         found = common.stored(both.where(inter >= THRESHOLD * (F.size("sa") + F.size("sb") - inter)).select("a", "b"), "links")
@@ -190,9 +193,9 @@ def groups(docs: DataFrame) -> DataFrame:
         several = size.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("c", F.struct("m", "c")).alias("most")).where("groups > 1").select("key", F.col("most").alias("largest"))
         grouped = common.stored(now.join(several, "key"), "several")
         can = F.col("most") >= THRESHOLD * F.greatest("n", F.col("n") + F.col("low") - F.col("most"))
-        left = grouped.where((F.col("c") != F.col("largest")) & can).select("key", F.col("k").alias("lead"), F.col("n").alias("ln"), F.col("most").alias("lmost"), "mass").join(tried, ["key", "lead"], "left_anti")
+        left = grouped.where((F.col("c") != F.col("largest")) & can).select("key", F.col("k").alias("lead"), F.col("n").alias("ln"), F.col("most").alias("lmost"), F.col("bands").alias("lbands"), "mass").join(tried, ["key", "lead"], "left_anti")
         n = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("mass"), "lead"))
-        lead = common.stored(left.withColumn("i", n).where(F.col("i") <= LEADERS).select("key", "lead", "ln", "lmost"), "leaders")
+        lead = common.stored(left.withColumn("i", n).where(F.col("i") <= LEADERS).select("key", "lead", "ln", "lmost", "lbands"), "leaders")
         grouped = grouped.drop("largest")
     firsts = texts.select("k", "first").join(labels.select(F.col("id").alias("k"), "c"), "k", "left").select("k", "first", F.coalesce("c", "k").alias("c"))
     firsts = common.stored(firsts, "firsts")
