@@ -4,8 +4,8 @@ The model reads subword ids: words, lower-cased in A-Z, cut by the first ranks o
 a byte-level BPE vocabulary, and one end for each text. A text is read in windows
 of WINDOW ids that overlap by CONTEXT; each id is scored once, in the window
 where it has the most context. Windows go through one masked attention layer in
-batches; the next id is predicted in two softmax steps, its class and its place
-in the class, so a score is a proper probability.
+batches; the next id is predicted in three softmax steps of 16, from its class down
+to itself, so a score is a proper probability.
 
 Learning covers the whole training part: word counts and, from them, subword
 frequencies over all of it; and, in each of ROUNDS rounds, one in PART documents,
@@ -33,17 +33,18 @@ from pyspark.sql import functions as F
 
 from . import bpe, common
 
-CLASSES = 64
-VOCABULARY = CLASSES * CLASSES  # the last id is the end
+FAN = 16
+VOCABULARY = FAN**3  # the last id is the end
 END = VOCABULARY - 1
 WIDTH, HIDDEN = 16, 24
 WINDOW, CONTEXT = 32, 8
-ROUNDS, PART, RATE = 4, 64, 0.02
+BLOCK = 96
+ROUNDS, PART, RATE = 4, 128, 0.02
 FREQUENT = 100_000
 #: No logit counts beyond this, so exponentials stay finite without a search for the largest.
 LIMIT = np.float32(40)
-ONES = np.ones(CLASSES, np.float32)
-KNOWN = 150_000
+ONES = np.ones(64, np.float32)
+KNOWN = 300_000
 END_WORD = b"\n"  # no word holds white space, so this names the end
 
 
@@ -94,8 +95,8 @@ class Model:
 
     SHAPES = {
         "embed": (VOCABULARY, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "distance": (WINDOW,),
-        "mix": (2 * WIDTH, HIDDEN), "mix_bias": (HIDDEN,), "class": (HIDDEN, CLASSES), "class_bias": (CLASSES,),
-        "place": (CLASSES, HIDDEN, CLASSES), "place_bias": (CLASSES, CLASSES),
+        "mix": (2 * WIDTH, HIDDEN), "mix_bias": (HIDDEN,), "top": (1, HIDDEN, FAN), "top_bias": (1, FAN),
+        "middle": (FAN, HIDDEN, FAN), "middle_bias": (FAN, FAN), "leaf": (FAN * FAN, HIDDEN, FAN), "leaf_bias": (FAN * FAN, FAN),
     }
     SIZE = sum(math.prod(s) for s in SHAPES.values())
 
@@ -113,12 +114,13 @@ class Model:
     def start(cls, frequency: np.ndarray) -> Model:
         """Seeded weights; the biases are the log frequencies of the training part's subwords."""
         m, rng = cls(np.zeros(cls.SIZE)), np.random.default_rng(11)
-        for name in ("embed", "query", "key", "value", "mix", "class", "place"):
+        for name in ("embed", "query", "key", "value", "mix", "top", "middle", "leaf"):
             shape = cls.SHAPES[name]
-            m.w[name][:] = rng.standard_normal(shape) * {"embed": 0.5, "place": 0.02, "class": 0.1}.get(name, 1 / math.sqrt(shape[0]))
-        f = (frequency + 0.1).reshape(CLASSES, CLASSES)
-        m.w["class_bias"][:] = np.log(f.sum(1) / f.sum())
-        m.w["place_bias"][:] = np.log(f / f.sum(1, keepdims=True))
+            m.w[name][:] = rng.standard_normal(shape) * {"embed": 0.5, "leaf": 0.05, "middle": 0.05, "top": 0.1}.get(name, 1 / math.sqrt(shape[0]))
+        f = np.asarray(frequency, float) + 0.1
+        for name, groups in (("top", 1), ("middle", FAN), ("leaf", FAN * FAN)):
+            g = f.reshape(groups, FAN, -1).sum(2)
+            m.w[f"{name}_bias"][:] = np.log(g / g.sum(1, keepdims=True))
         return m
 
     def attend(self, inputs: np.ndarray):
@@ -132,30 +134,30 @@ class Model:
     def score(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> np.ndarray:
         """Natural log probability of each scored target, in the order of the mask."""
         w, t = self.w, targets[scored]
-        cls, place = t // CLASSES, t % CLASSES
-        x, _, _, v, a, total = self.attend(inputs)
-        at = np.flatnonzero(scored)
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        at, cls, place = at[order], cls[order], place[order]  # by class, so that each class is one product
-        c = (a @ v) / total
-        h = x.reshape(-1, WIDTH)[at] @ w["mix"][:WIDTH]
-        h += c.reshape(-1, WIDTH)[at] @ w["mix"][WIDTH:]
+        h = np.empty((len(t), HIDDEN), np.float32)
+        done = 0
+        for i in range(0, len(inputs), BLOCK):  # blocks that stay in the processor's cache
+            x, _, _, v, a, total = self.attend(inputs[i : i + BLOCK])
+            at = np.flatnonzero(scored[i : i + BLOCK])
+            part = h[done : done + len(at)]
+            np.matmul(x.reshape(-1, WIDTH)[at], w["mix"][:WIDTH], out=part)
+            part += ((a @ v) / total).reshape(-1, WIDTH)[at] @ w["mix"][WIDTH:]
+            done += len(at)
         h += w["mix_bias"]
         np.maximum(h, 0, out=h)
-        logits = h @ w["class"]
-        logits += w["class_bias"]
-        np.minimum(logits, LIMIT, out=logits)
-        got = logits[np.arange(len(t)), cls]
-        total = np.exp(logits, out=logits) @ ONES
-        ends = np.searchsorted(cls, np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            e = slice(ends[k], ends[k + 1])
-            if e.start < e.stop:
-                np.matmul(h[e], w["place"][k], out=logits[e])
-                logits[e] += w["place_bias"][k]
-        np.minimum(logits, LIMIT, out=logits)
-        got += logits[np.arange(len(t)), place]
-        total *= np.exp(logits, out=logits) @ ONES
+        order = np.argsort((t // FAN).astype(np.uint8), kind="stable")  # so that each class, at any step, is one product
+        h, t, row = h[order], t[order], np.arange(len(t))
+        got, total = np.zeros(len(t), np.float32), 1.0
+        logits = np.empty((len(t), FAN), np.float32)
+        for name, group in (("top", t >> 12), ("middle", t >> 8), ("leaf", t >> 4)):
+            weights, ends = w[name], np.searchsorted(group, np.arange(len(w[name]) + 1)).tolist()
+            for k, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
+                if i < j:
+                    np.matmul(h[i:j], weights[k], out=logits[i:j])
+            logits += w[f"{name}_bias"][group]
+            np.minimum(logits, LIMIT, out=logits)
+            got += logits[row, (t >> {"top": 8, "middle": 4, "leaf": 0}[name]) & 15]
+            total = total * (np.exp(logits, out=logits) @ ONES[:FAN])
         out = np.empty_like(got)
         out[order] = got - np.log(total)
         return out
@@ -170,7 +172,7 @@ class Model:
         z = xs @ w["mix"] + w["mix_bias"]
         h = np.maximum(z, 0)
         t = targets[scored]
-        n, rows, cls, place = len(t), np.arange(len(t)), t // CLASSES, t % CLASSES
+        n = len(t)
         loss, dh = 0.0, np.zeros_like(h)
 
         def soft(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -182,17 +184,15 @@ class Model:
             p[at] -= 1
             return p / np.float32(n)
 
-        d = soft(h @ w["class"] + w["class_bias"], cls)
-        g.w["class"][:], g.w["class_bias"][:] = h.T @ d, d.sum(0)
-        dh += d @ w["class"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for i in range(CLASSES):
-            at = order[ends[i] : ends[i + 1]]
-            if len(at):
-                d = soft(h[at] @ w["place"][i] + w["place_bias"][i], place[at])
-                g.w["place"][i], g.w["place_bias"][i] = h[at].T @ d, d.sum(0)
-                dh[at] += d @ w["place"][i].T
+        order = np.argsort(t, kind="stable")
+        for name, shift in (("top", 8), ("middle", 4), ("leaf", 0)):
+            ends = np.searchsorted(t[order] >> (shift + 4), np.arange(len(w[name]) + 1)).tolist()
+            for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
+                if i < j:
+                    at = order[i:j]
+                    d = soft(h[at] @ w[name][b] + w[f"{name}_bias"][b], (t[at] >> shift) & 15)
+                    g.w[name][b], g.w[f"{name}_bias"][b] = h[at].T @ d, d.sum(0)
+                    dh[at] += d @ w[name][b].T
         dz = dh * (z > 0)
         g.w["mix"][:], g.w["mix_bias"][:] = xs.T @ dz, dz.sum(0)
         dxs = dz @ w["mix"].T
@@ -351,7 +351,7 @@ def scores(docs: DataFrame, ranks: dict[bytes, int], model: Model, frequent: dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         ranks, flat, logs = sent.value
         sub, model = subwords(ranks), Model(flat)
-        for batch in common.by_size(batches, 1, 1 << 20):
+        for batch in common.by_size(batches, 1, 2 << 20):
             texts = [[*words_of(t), END_WORD] for t in batch.column(1).to_pylist()]
             sums, n_known, rare = [], [], []
             for ws in texts:
@@ -361,7 +361,7 @@ def scores(docs: DataFrame, ranks: dict[bytes, int], model: Model, frequent: dic
                 n_known.append(len(own))
                 rare.append([w for w, x in zip(ws, found, strict=True) if x is None])
             score, total = [], 0.0
-            for win, counts in batches_of(sub.encode(texts), 256):
+            for win, counts in batches_of(sub.encode(texts), 768):
                 got = model.score(*win) if win is not None else np.zeros(0)
                 at = 0
                 for c in counts:

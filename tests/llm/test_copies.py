@@ -195,7 +195,7 @@ def test_probabilities_sum_to_one():
     m.flat += np.random.default_rng(2).standard_normal(m.SIZE).astype(np.float32) * 0.1
     inputs, targets, scored = attention.windows(np.array([5, 77, attention.END]))
     total = 0.0
-    for t in range(attention.VOCABULARY):
+    for t in range(0, attention.VOCABULARY):
         targets[0, 1] = t
         total += math.exp(m.score(inputs, targets, scored)[1])
     assert abs(total - 1) < 1e-3
