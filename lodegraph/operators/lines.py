@@ -90,3 +90,33 @@ def pattern(lines_: DataFrame, regex: str) -> DataFrame:
     at = F.regexp_instr("text", F.lit(regex))
     hit = lines_.where(F.col("text").rlike(regex))
     return hit.select("file_id", "line", F.octet_length(F.substring(F.col("text"), F.lit(1), at - 1)).alias("col"), F.regexp_substr("text", F.lit(regex)).alias("matched"))
+
+
+def enclosing_block(lines_: DataFrame, at: DataFrame, most: int = 60) -> DataFrame:
+    """file_id, line, first, last of the brace block around each wanted line, sought within most / 2 lines on both sides; null without one.
+
+    Running depths are sums over the bounded neighbourhood of each line.
+    """
+    half = most // 2
+    want = at.select("file_id", F.col("line").alias("at_line")).distinct()
+    need = want.select("file_id", "at_line", F.explode(F.sequence(F.greatest(F.col("at_line") - half, F.lit(1)), F.col("at_line") + half)).alias("line"))
+    rows = need.join(lines_, ["file_id", "line"]).select("file_id", "at_line", "line", F.regexp_count("text", F.lit(r"\{")).alias("o"), F.regexp_count("text", F.lit(r"\}")).alias("c"))
+    near = rows.groupBy("file_id", "at_line").agg(F.array_sort(F.collect_list(F.struct("line", "o", "c"))).alias("xs"))
+    up = F.filter("xs", lambda x: (x["line"] < F.col("at_line")) | ((x["line"] == F.col("at_line")) & (x["o"] > 0)))
+    # walking up, the block starts where more braces open than were closed below it
+    state = "struct<depth:int,line:int>"
+    none = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("line")).cast(state)
+
+    def back(s: Column, x: Column) -> Column:
+        d = s["depth"] + x["c"] - x["o"]
+        return F.when(s["line"].isNotNull(), s).otherwise(F.struct(d.alias("depth"), F.when(d < 0, x["line"]).alias("line")).cast(state))
+
+    first = F.aggregate(F.reverse(up), none, back)["line"]
+    found = near.select("file_id", F.col("at_line").alias("line"), "xs", first.alias("first"))
+
+    def ahead(s: Column, x: Column) -> Column:
+        d = s["depth"] + x["o"] - x["c"]
+        return F.when(s["line"].isNotNull(), s).otherwise(F.struct(d.alias("depth"), F.when(d <= 0, x["line"]).alias("line")).cast(state))
+
+    last = F.aggregate(F.filter("xs", lambda x: x["line"] >= F.col("first")), none, ahead)["line"]
+    return found.select("file_id", "line", "first", F.when(F.col("first").isNotNull(), last).alias("last"))

@@ -194,3 +194,18 @@ def c16(spark, sf):
 @query("c21_cycles_of_symbol", "SELECT symbol_id, component FROM symbols JOIN scc ON node = file_id WHERE name = '" + NAME + "'", SCC)
 def c21(spark, sf):
     return A.symbols(spark, sf).where(F.col("name") == NAME).join(scc(spark, sf), F.col("file_id") == F.col("node")).select("symbol_id", "component")
+
+
+@query("t22_summary", "SELECT (SELECT count(*) FROM symbols WHERE " + BY_NAME + ") || ' symbols, ' || count(*) || ' paths, ' || count(DISTINCT node) || ' entry points' AS summary FROM chains JOIN symbols ON symbol_id = node WHERE is_entry", UP_CHAINS)
+def t22(spark, sf):
+    n = targets(spark, sf).agg(F.count("*").alias("s"))
+    p = paths(spark, sf).agg(F.count("*").alias("p"), F.count_distinct("entry").alias("e"))
+    return n.join(F.broadcast(p)).select(F.format_string("%d symbols, %d paths, %d entry points", "s", "p", "e").alias("summary"))
+
+
+@query("t24_path_text", "SELECT target, entry, string_agg(name, ' -> ' ORDER BY step) AS shown FROM (SELECT seed AS target, node AS entry, unnest(string_split(chain, '>'))::BIGINT AS s, generate_subscripts(string_split(chain, '>'), 1)::INT AS step FROM chains JOIN symbols ON symbol_id = node WHERE is_entry) JOIN symbols ON symbol_id = s GROUP BY ALL", UP_CHAINS)
+def t24(spark, sf):
+    from ..operators import export as O
+
+    steps = t4(spark, sf).groupBy("target", "entry").agg(F.array_sort(F.collect_list(F.struct("step", "name"))).alias("xs"))
+    return steps.select("target", "entry", O.chain_text(F.transform("xs", lambda x: x["name"])).alias("shown"))

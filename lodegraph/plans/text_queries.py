@@ -205,3 +205,27 @@ def a6(spark, sf):
     i = F.col("item_id")
     raw = S.parsed_order(F.concat(F.lit("order: ["), F.concat_ws(", ", i % 7, F.lit(2), i % 5), F.lit("] ok")))
     return A.read(spark, sf, "benchmark").select("item_id", F.array_join(S.valid_order(raw, F.lit(5)).cast("array<string>"), ",").alias("shown"))
+
+
+@query("s7_project_root", """SELECT path, max_by(root, length(root)) AS root FROM (SELECT f.path, d.root FROM files f JOIN (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS root FROM files WHERE ext = 'py' UNION SELECT 'src') d ON starts_with(f.path, d.root || '/')) GROUP BY 1""")
+def s7(spark, sf):
+    """Folders with a Python file count as projects, and so does the top."""
+    f = A.files(spark, sf)
+    marks = f.where("ext = 'py'").select(F.concat(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("/pyproject.toml")).alias("path")).distinct()
+    top = spark.createDataFrame([("src/Cargo.toml",)], "path string")
+    names = f.select("path")
+    return paths.project_roots(names.unionByName(marks).unionByName(top)).join(names, "path", "left_semi")
+
+
+@query("l16_block", "SELECT page_id AS file_id, 2 AS line, 1 AS first, 3 AS last FROM pages")
+def l16(spark, sf):
+    rows = A.read(spark, sf, "pages").select(F.col("page_id").alias("file_id"), F.posexplode(F.split(F.concat(F.lit("function f() {\n  x(); // "), F.col("page_id").cast("string"), F.lit("\n}\n")), "\n")).alias("i", "text"))
+    rows = rows.select("file_id", (F.col("i") + 1).alias("line"), "text")
+    return L.enclosing_block(rows, rows.where("line = 2").select("file_id", "line"))
+
+
+@query("x5_names", """SELECT page_id, 'f' || page_id AS fn, 'C' || page_id AS cls, 'm' || page_id AS method FROM pages""")
+def x5(spark, sf):
+    i = F.col("page_id").cast("string")
+    rows = A.read(spark, sf, "pages").select("page_id", F.concat(F.lit("export function f"), i, F.lit("(a, b) {")).alias("a"), F.concat(F.lit("  pub struct C"), i, F.lit("<T> {")).alias("b"), F.concat(F.lit("    pub unsafe fn m"), i, F.lit("(&self)")).alias("c"))
+    return rows.select("page_id", L.function_name(F.col("a")).alias("fn"), L.class_name(F.col("b")).alias("cls"), L.method_name(F.col("c")).alias("method"))
