@@ -37,7 +37,7 @@ from . import common, shingles
 THRESHOLD = 0.8
 ROWS, BANDS = 5, 24
 COORDINATES = ROWS * BANDS
-LEADERS = 32
+LEADERS, FRONT = 32, 8
 #: Cumulated probabilities of 0, 1, 2, ... darts in a cell of area 1.
 POISSON = np.cumsum(np.exp(-1) / np.cumprod([1, *range(1, 13)]))
 
@@ -171,18 +171,22 @@ def groups(docs: DataFrame) -> DataFrame:
     lows = bucket.groupBy("key").agg(F.min("n").alias("low"))
     bucket = bucket.join(own, "k", "left").join(lows, "key").join(texts.select("k", "bands"), "k").select("key", "k", "n", "mass", "low", "bands", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
     bucket = common.stored(bucket, "buckets")
-    tried = None
+    # most leaders link to one of a bucket's best connected members, so these are tried before all others
+    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("mass"), "k"))
+    front = common.stored(bucket.select("key", "k", best.alias("i")).where(F.col("i") <= FRONT).select("key", "k"), "front")
+    tried, few, fresh = None, False, True
     lead = common.stored(bucket.groupBy("key").agg(F.max_by(F.struct("k", "n", "most", "bands"), F.struct("mass", "k")).alias("l")).select("key", F.col("l.k").alias("lead"), F.col("l.n").alias("ln"), F.col("l.most").alias("lmost"), F.col("l.bands").alias("lbands")), "leaders")
     grouped = bucket.withColumn("c", F.col("k"))
     while not lead.isEmpty():
-        tried = lead.select("key", "lead") if tried is None else tried.unionByName(lead.select("key", "lead"))
+        if not few:
+            tried = lead.select("key", "lead") if tried is None else tried.unionByName(lead.select("key", "lead"))
         led = lead.groupBy("lead").agg(F.collect_set("key").alias("led"))  # at most one for each band
         of_lead = lead.join(labels.select(F.col("id").alias("lead"), F.col("c").alias("cl")), "lead").join(led, "lead")
         both_most = F.least("most", "lmost")
         close = both_most >= THRESHOLD * (F.col("n") + F.col("ln") - both_most)  # else the sets can't be as like
         # two texts meet in all the buckets they share, and are taken in the first one where one of them leads
         met = F.get(F.filter(F.zip_with("bands", "lbands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull() & F.array_contains("led", x)), 0)
-        pairs = grouped.join(of_lead, "key").where((F.col("c") != F.col("cl")) & close & (met == F.col("key"))).select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
+        pairs = (grouped.join(front, ["key", "k"], "left_semi") if few else grouped).join(of_lead, "key").where((F.col("c") != F.col("cl")) & close & (met == F.col("key"))).select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
         both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
         inter = F.size(F.array_intersect("sa", "sb"))
         found = common.stored(both.where(inter >= THRESHOLD * (F.size("sa") + F.size("sb") - inter)).select("a", "b"), "links")
@@ -196,7 +200,7 @@ def groups(docs: DataFrame) -> DataFrame:
         left = grouped.where((F.col("c") != F.col("largest")) & can).select("key", F.col("k").alias("lead"), F.col("n").alias("ln"), F.col("most").alias("lmost"), F.col("bands").alias("lbands"), "mass").join(tried, ["key", "lead"], "left_anti")
         n = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("mass"), "lead"))
         lead = common.stored(left.withColumn("i", n).where(F.col("i") <= LEADERS).select("key", "lead", "ln", "lmost", "lbands"), "leaders")
-        grouped = grouped.drop("largest")
+        grouped, few, fresh = grouped.drop("largest"), fresh, False
     firsts = texts.select("k", "first").join(labels.select(F.col("id").alias("k"), "c"), "k", "left").select("k", "first", F.coalesce("c", "k").alias("c"))
     firsts = common.stored(firsts, "firsts")
     ids = firsts.groupBy("c").agg(F.min("first").alias("class_id"))
