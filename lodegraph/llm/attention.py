@@ -8,8 +8,8 @@ batches; the next id is predicted in three softmax steps of 16, from its class d
 to itself, so a score is a proper probability.
 
 Learning covers the whole training part: word counts and, from them, subword
-frequencies over all of it; and, in each of ROUNDS rounds, one in PART documents,
-another set each time: every partition trains its own copy from the common
+frequencies over all of it; and gradient steps on every document, which are dealt
+over ROUNDS rounds: in each, every partition trains its own copy from the common
 weights, and the copies are averaged by the windows they saw, level by level.
 
 The base score sums over words. Counts of the FREQUENT most frequent words are
@@ -39,7 +39,7 @@ END = VOCABULARY - 1
 WIDTH, HIDDEN = 16, 24
 WINDOW, CONTEXT = 32, 8
 BLOCK = 96
-ROUNDS, PART, RATE = 4, 128, 0.02
+ROUNDS, RATE = 4, 0.02
 FREQUENT = 100_000
 #: No logit counts beyond this, so exponentials stay finite without a search for the largest.
 LIMIT = np.float32(40)
@@ -318,8 +318,13 @@ def averaged(copies: DataFrame) -> np.ndarray | None:
     return sum(r.n * np.frombuffer(r.w, np.float32).astype(float) for r in rows) / n if n else None
 
 
-def train(docs: DataFrame, ranks: dict[bytes, int], frequency: np.ndarray, rounds: int = ROUNDS, part: int = PART) -> Model:
-    """Weights after `rounds` of local training on one in `part` of all documents each, and averaging."""
+def of_round(docs: DataFrame, r: int, rounds: int) -> DataFrame:
+    """The rows that round r trains on; every row falls into just one of the rounds."""
+    return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r)
+
+
+def train(docs: DataFrame, ranks: dict[bytes, int], frequency: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Weights after `rounds` of local training, which take in every document once, and averaging."""
     model = Model.start(frequency)
     for r in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast((ranks, model.flat, RATE / (1 + r)))
@@ -337,8 +342,7 @@ def train(docs: DataFrame, ranks: dict[bytes, int], frequency: np.ndarray, round
             if seen:
                 yield {"n": [seen], "w": [own.flat.tobytes()]}
 
-        chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(part)) == r)
-        mean = averaged(common.arrow_map(chosen, run, "n long, w binary"))
+        mean = averaged(common.arrow_map(of_round(docs, r, rounds), run, "n long, w binary"))
         if mean is not None:
             model = Model(mean)
     return model

@@ -236,6 +236,17 @@ def test_training_lowers_the_loss(spark):
     assert np.mean(losses[-5:]) < np.mean(losses[:5]) - 0.2
 
 
+def test_every_document_trains(spark, sf):
+    docs = common.documents(spark, sf).select("doc_id", "text")
+    parts = [attention.of_round(docs, r, attention.ROUNDS) for r in range(attention.ROUNDS)]
+    assert sorted(x.doc_id for p in parts for x in p.collect()) == sorted(x.doc_id for x in docs.collect())
+    ranks = {t: r for t, r in bpe.vocabulary()[0].items() if r < attention.END}
+    frequency = np.ones(attention.VOCABULARY)
+    for row in [(1, "one two three"), (2, "four"), (3, None)]:
+        model = attention.train(frame(spark, [row]), ranks, frequency)
+        assert (model.flat != attention.Model.start(frequency).flat).any(), row
+
+
 # -- pipeline ------------------------------------------------------------------
 
 
