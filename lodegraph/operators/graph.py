@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from ..session import cut
 SMALL = 100_000  # edges up to which components are found on the driver
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, backward: bool = False) -> DataFrame:
-    """seed, node, depth, pred, line, chain for every node within max_depth steps of each seed (seeds have depth 0).
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None, backward: bool = False) -> DataFrame:
+    """seed, node, depth, pred, line, chain for every node within max_depth steps of each seed (seeds have depth 0); None: however far.
 
     A level loop for all seeds at once. Of several predecessors the smallest id counts, and of
     several lines the smallest, so the result doesn't depend on order. chain runs from the
@@ -22,7 +24,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, backward: bool = F
     steps = cut(steps.where("at is not null and next is not null"))
     seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("pred"), F.lit(None).cast("int").alias("line"), F.array("seed").alias("chain")).distinct()
     seen = front = cut(seen)
-    for d in range(1, max_depth + 1):
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
         go = front.join(steps, front["node"] == steps["at"]).select("seed", F.col("next").alias("node"), F.struct(F.col("at").alias("pred"), F.col("eline").alias("line"), "chain").alias("p"))
         new = go.groupBy("seed", "node").agg(F.min("p").alias("p")).join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
         chain = F.concat(F.array("node"), F.col("p.chain")) if backward else F.concat(F.col("p.chain"), F.array("node"))
@@ -30,6 +32,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, backward: bool = F
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if d % 16 == 0:  # so that the plan of a long walk stays small
+            seen = cut(seen)
     return seen
 
 

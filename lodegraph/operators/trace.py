@@ -87,10 +87,10 @@ def impact(symbols: DataFrame, edges: DataFrame, targets: DataFrame, max_depth:
     return out.select(F.col("seed").alias("symbol_id"), "direct", "transitive", "files", "entries", risk(F.col("entries"), F.col("files"), F.col("direct")).alias("risk"))
 
 
-def call_depths(symbols: DataFrame, edges: DataFrame, max_depth: int = 50) -> DataFrame:
+def call_depths(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """max_depth, avg_depth over entry points: each one's largest shortest distance downward."""
     seeds = symbols.where("is_entry").select(F.col("symbol_id").alias("seed"))
-    d = graph.reach(edges, seeds, max_depth).groupBy("seed").agg(F.max("depth").alias("d"))
+    d = graph.reach(edges, seeds, None).groupBy("seed").agg(F.max("depth").alias("d"))
     return d.agg(F.coalesce(F.max("d"), F.lit(0)).alias("max_depth"), F.round(F.coalesce(F.avg("d"), F.lit(0.0)), 4).alias("avg_depth"))
 
 

@@ -94,7 +94,7 @@ def w9(spark, sf):
 
 @query("t17_depth", "SELECT coalesce(max(m), 0) AS max_depth, round(coalesce(avg(m), 0), 4) AS avg_depth FROM (SELECT seed, max(depth) AS m FROM dist GROUP BY 1)", walk("to_symbol", "from_symbol", "is_entry", DEPTH))
 def t17(spark, sf):
-    return T.call_depths(A.symbols(spark, sf), A.edges(spark, sf), DEPTH)
+    return T.call_depths(A.symbols(spark, sf), A.edges(spark, sf))
 
 
 SCC = """clo AS (SELECT a, b FROM file_edges UNION SELECT clo.a, e.b FROM clo JOIN file_edges e ON clo.b = e.a),

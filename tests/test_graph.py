@@ -5,6 +5,8 @@ import random
 import pytest
 
 from lodegraph.operators import extract, graph, incremental, resolve, trace
+from lodegraph.plans import registry
+from lodegraph.sources import adapters
 
 SYMBOLS = "symbol_id long, name string, file_id long, kind string, is_entry boolean, is_exported boolean, start_line int, end_line int"
 
@@ -26,6 +28,36 @@ def test_chain(spark):
     assert trace.entry_paths(s, e, s.where("symbol_id = 99").select("symbol_id")).count() == 0
 
 
+def distances(pairs, seed):
+    """Node to its shortest distance from the seed, however far."""
+    out, front = {seed: 0}, [seed]
+    while front:
+        front = list(dict.fromkeys(b for a in front for b in pairs.get(a, ()) if b not in out))
+        out |= dict.fromkeys(front, out[max(out, key=out.get)] + 1)
+    return out
+
+
+def neighbours(rows):
+    out = {}
+    for a, b in rows:
+        out.setdefault(a, set()).add(b)
+    return out
+
+
+def test_depth_has_no_limit(spark):
+    s = symbols(spark, [(i, f"f{i}", i in (0, 50)) for i in range(60)])
+    e = edges(spark, [(i, i + 1, 1) for i in range(59)] + [(59, 40, 1)])
+    assert [tuple(r) for r in trace.call_depths(s, e).collect()] == [(59, 39.0)]
+
+
+def test_depth_query_walks_all(spark):
+    sf = "/root/testdata/sf0.01"
+    calls = neighbours((r.from_symbol, r.to_symbol) for r in adapters.edges(spark, sf).collect())
+    far = [max(distances(calls, r.symbol_id).values()) for r in adapters.symbols(spark, sf).where("is_entry").collect()]
+    got = registry.queries()["t17_depth"](spark, sf).first()
+    assert max(far) > 10 and (got.max_depth, got.avg_depth) == (max(far), round(sum(far) / len(far), 4))
+
+
 def test_dead(spark):
     s = symbols(spark, [(0, "main", True), (1, "used", False), (2, "dead", False)])
     none = spark.createDataFrame([], "token_id long, symbol_id long, kind string")
