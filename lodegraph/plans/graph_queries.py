@@ -12,6 +12,7 @@ from .registry import query
 from .symbol_queries import CROSS, NAME, ROWS, cross, rows
 
 DEPTH = 10
+IMPACT_DEPTH = 50  # of the graph view, whose callers go further up than those of the command line
 
 
 def walk(a: str, b: str, seeds: str, depth: int) -> str:
@@ -83,7 +84,7 @@ def t10(spark, sf):
 
 @query("w14_impact", IMPACT.format(risk=RISK, where="WHERE depth > 0"), UP)
 def w14(spark, sf):
-    return T.impact(A.symbols(spark, sf), A.edges(spark, sf), targets(spark, sf), DEPTH, False)
+    return T.impact(A.symbols(spark, sf), A.edges(spark, sf), targets(spark, sf), IMPACT_DEPTH, False)
 
 
 @query("w9_callers_depth", "SELECT seed AS symbol_id, node AS caller, depth FROM dist WHERE depth > 0", UP)

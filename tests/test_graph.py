@@ -6,6 +6,7 @@ import pytest
 
 from lodegraph.operators import extract, graph, incremental, resolve, trace
 from lodegraph.plans import registry
+from lodegraph.plans.symbol_queries import NAME
 from lodegraph.sources import adapters
 
 SYMBOLS = "symbol_id long, name string, file_id long, kind string, is_entry boolean, is_exported boolean, start_line int, end_line int"
@@ -58,6 +59,21 @@ def test_depth_query_walks_all(spark):
     assert max(far) > 10 and (got.max_depth, got.avg_depth) == (max(far), round(sum(far) / len(far), 4))
 
 
+def test_impact_query_walks_fifty_steps(spark):
+    sf = "/root/testdata/sf0.01"
+    callers = neighbours((r.to_symbol, r.from_symbol) for r in adapters.edges(spark, sf).collect())
+    of = {r.symbol_id: r for r in adapters.symbols(spark, sf).collect()}
+    want, far = {}, 0
+    for t in (i for i, r in of.items() if r.name == NAME):
+        found = {n: d for n, d in distances(callers, t).items() if 0 < d <= 50 and n in of}
+        far = max([far, *found.values()])
+        if found:
+            direct = sum(d == 1 for d in found.values())
+            want[t] = (direct, len(found) - direct, len({of[n].file_id for n in found}), sum(of[n].is_entry for n in found))
+    got = {r.symbol_id: (r.direct, r.transitive, r.files, r.entries) for r in registry.queries()["w14_impact"](spark, sf).collect()}
+    assert far > 10 and got == want
+
+
 def test_dead(spark):
     s = symbols(spark, [(0, "main", True), (1, "used", False), (2, "dead", False)])
     none = spark.createDataFrame([], "token_id long, symbol_id long, kind string")
