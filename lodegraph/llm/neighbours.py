@@ -59,8 +59,8 @@ def terms(text: str | None) -> np.ndarray:
         n = len(words)
         threes = set(zip(words, words[1:], words[2:], strict=False))
         same = sum(map(str.__eq__, words, words[1:]))
-        letters = max(1, sum(x.isalpha() for x in text[:: max(1, len(text) // 512)]))
-        signs = (same / n, 1 - len(threes) / max(1, n - 2), max(0.0, 0.5 - len(set(words)) / n), 1 - len(set(lines)) / len(lines), min(1.0, sum(map(len, words)) / n / 40), letters / min(len(text), 1024))
+        letters = sum(map(str.isalpha, text))
+        signs = (same / n, 1 - len(threes) / max(1, n - 2), max(0.0, 0.5 - len(set(words)) / n), 1 - len(set(lines)) / len(lines), min(1.0, sum(map(len, words)) / n / 40), letters / len(text))
         out[-SIGNS:] = SIGN_WEIGHT * np.sqrt(np.clip(signs, 0, 1))
     return out
 

@@ -206,6 +206,13 @@ def test_classifier_odd(spark):
     assert {r.score for r in none} == {0.5} and len(none) == 8
 
 
+@pytest.mark.parametrize("n", [1, 511, 1023, 1024, 1535, 1536, 5000])
+def test_letters_of_the_whole_text(n):
+    share = lambda t: (neighbours.terms(t)[-1] / neighbours.SIGN_WEIGHT) ** 2
+    assert abs(share("a" * n) - 1) < 1e-5 and abs(share("é漢" * n) - 1) < 1e-5
+    assert abs(share("a#" * n) - 0.5) < 1e-5 and abs(share("#a" * n) - 0.5) < 1e-5
+
+
 def test_exact_cosines():
     rng = np.random.default_rng(0)
     space = neighbours.Space(rng.random((40, neighbours.TERMS), np.float32), (rng.random(40) < 0.5).astype(float))
