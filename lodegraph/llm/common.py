@@ -45,6 +45,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """A name that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of a column's decimal text, modulo modulus; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
