@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -42,7 +43,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/lodegraph/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodegraph_path = path
+    return out
 
 
 def fresh(columns: Iterable[str], name: str) -> str:
@@ -53,6 +56,16 @@ def fresh(columns: Iterable[str], name: str) -> str:
     return name
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote and that nothing reads any more, and have Spark free the shuffle files that led to them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._lodegraph_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of a column's decimal text, modulo modulus; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

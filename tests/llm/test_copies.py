@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from lodegraph.llm import attention, bpe, common, dartminhash, shingles, suffixdedup
 
@@ -127,18 +128,45 @@ def test_removed_equals_plain(spark, keep_first, hot, monkeypatch):
     assert got == plain_removed(rows, 40, keep_first)
 
 
-def test_large_groups_and_segments(monkeypatch):
-    monkeypatch.setattr(suffixdedup, "LARGE", 64)
+def shared_prefix(a, b, most):
+    n = 0
+    while n < min(len(a), len(b), most) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("large", [64, suffixdedup.LARGE])
+@pytest.mark.parametrize("n", [5, 8, 12, 30])
+def test_factors_equal_brute_force(n, large, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "LARGE", large)
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(n, 4 * n))) for _ in range(12)] + [b"a" * 3 * n]
+    windows = [t[i : i + n] for t in texts for i in range(len(t) - n + 1)]
+    got = suffixdedup.factors(texts, n)
+    lpf, other = (np.concatenate([x[k] for x in got]).tolist() for k in (0, 1))
+    for i, w in enumerate(windows):
+        assert lpf[i] == max((shared_prefix(w, x, n) for x in windows[:i]), default=0)
+        assert other[i] == max(shared_prefix(w, x, n) for k, x in enumerate(windows) if k != i)
+
+
+def test_smaller_positions():
+    rng = np.random.default_rng(4)
+    for position in (rng.permutation(200), np.arange(200)[::-1], np.arange(200)):
+        shared = np.append(0, rng.integers(0, 50, 199))
+        got = suffixdedup.smaller(position, shared)
+        for i in range(200):
+            j = next((k for k in range(i - 1, -1, -1) if position[k] < position[i]), None)
+            assert got[i] == (0 if j is None else shared[j + 1 : i + 1].min())
+
+
+def test_pieces_and_segments(monkeypatch):
     rng = random.Random(5)
-    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(12, 60))) for _ in range(30)]
-    count, seen = Counter(t[i : i + 12] for t in texts for i in range(len(t) - 11)), set()
-    for t, (first, both) in zip(texts, suffixdedup.earlier(texts, 12), strict=True):
-        for i in range(len(t) - 11):
-            assert (first[i], both[i]) == (t[i : i + 12] in seen, count[t[i : i + 12]] > 1)
-            seen.add(t[i : i + 12])
     monkeypatch.setattr(suffixdedup, "SEGMENT", 100)
-    found = [(s, n) for _, s, n, _, _ in suffixdedup.pieces(bytes(rng.choice(b"abcd") for _ in range(700)), 40)]
-    assert [x for s, n in found for x in range(s, s + n)] == list(range(661))
+    monkeypatch.setattr(suffixdedup, "RUN", 30)
+    for text in (bytes(rng.choice(b"abcd") for _ in range(700)), b"x" * 700):
+        found = [(s, n, d) for _, starts, ns, _, ds in suffixdedup.pieces(text, 40) for s, n, d in zip(starts.tolist(), ns.tolist(), ds, strict=True)]
+        assert [x for s, n, _ in found for x in range(s, s + n)] == list(range(661))
+        assert all(n <= 30 and d == xxhash.xxh3_128_digest(text[s : s + n + 39]) for s, n, d in found)
 
 
 def test_repeated_rows_and_nothing(spark):
@@ -150,11 +178,14 @@ def test_repeated_rows_and_nothing(spark):
 
 def test_query_and_stage_on_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in common.documents(spark, sf).collect()]
-    want = plain_removed(rows, 400, False)
-    for r in suffixdedup.query(spark, sf).collect():
+    want, short = plain_removed(rows, 400, False), plain_removed(rows, suffixdedup.PASSAGE, False)
+    got = suffixdedup.query(spark, sf).collect()
+    assert len(got) == len(rows)
+    for r in got:
         n, cut, spans, kept = want[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, cut, spans, hashlib.sha256(kept).hexdigest())
-    first = plain_removed(rows, 400, True)
+        assert r.n_passage == short[r.doc_id][1]
+    first = plain_removed(rows, suffixdedup.PASSAGE, True)
     left = {r.doc_id: r.text for r in suffixdedup.stage(spark, common.documents(spark, sf), sf).collect()}
     for i, (n, cut, _, kept) in first.items():
         if cut == 0:
@@ -165,6 +196,50 @@ def test_query_and_stage_on_documents(spark, sf):
             assert len(kept) == 0
 
 
+def test_whole_characters():
+    raw = np.frombuffer("aé漢b".encode(), np.uint8)  # a, two, three bytes, b
+    for s in range(8):
+        for e in range(s, 8):
+            m = np.zeros(7, bool)
+            m[s:e] = True
+            text = raw[~suffixdedup.whole_characters(raw, m)].tobytes().decode()
+            assert set(text) <= set("aé漢b") and len(text.encode()) >= 7 - (e - s)
+
+
+CLASH = "doc_id long, text string, lang string, th long, spans string, cuts int, _th string, _spans string, o_id int, o_th int, s long, e int, g_id int, g_th int, wins int, times int, hit_id long, hit_th long, k string, c string, id string"
+
+
+def clashing(spark, rows):
+    """Rows with columns that have the names which stages may use inside."""
+    return spark.createDataFrame([(i, t, "en", *([None] * 18)) for i, t in rows], CLASH)
+
+
+def test_stages_with_odd_rows(spark, sf):
+    """Nulls, empties, a very long text, repeated rows, another text under a known id, clashing columns, no rows."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    a, b, long = words(120), words(120), words(40_000)
+    rows = [(1, a), (7, a), (7, b), (1, a), (None, words(90)), (None, None), (2, None), (3, ""), (4, "..."), (5, long), (6, words(20) + " " + a[:400]), (8, "short text here")]
+    for name, stage in corpus_pipeline.STAGES:
+        df = clashing(spark, rows)
+        out = stage(spark, df, sf)
+        assert stage(spark, df.limit(0), sf).count() == 0, name
+        got = out.collect()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == df.columns, name
+        texts = [r.text for r in got] if "text" in out.columns else None
+        if name == "near_dedup":
+            assert sum(t == a for t in texts) == 1 and b in texts and long in texts
+        if name == "substring_dedup":
+            # both rows (1, a) are one place, whose copy under 7 goes; texts without a byte stay as they came
+            assert sum(t == a for t in texts) == 2 and (7, a) not in [(r.doc_id, r.text) for r in got]
+            assert long in texts and None in texts and "" in texts and a[:400] not in next(r.text for r in got if r.doc_id == 6)
+        if name == "decontamination":
+            assert len(got) == len(rows)
+
+
 # -- language model ------------------------------------------------------------
 
 
