@@ -4,8 +4,8 @@ Each language has smoothed counts of hashed byte trigrams of lower-cased words,
 gathered from every training document. In a document each word has a likelihood
 under each language; expectation-maximisation over the words estimates the
 document's language proportions; nested language sets, largest proportion first,
-are compared by penalised likelihood, and the prediction is the largest member
-of the set that wins.
+are compared by penalised likelihood, growing as long as it rises, and the
+prediction is the largest member of the set that wins.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and
 where nothing was learned; a null lang teaches nothing; rows with a null doc_id
@@ -15,10 +15,11 @@ rows. Only doc_id, text and lang are read. Ties go to the language that sorts fi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ from . import common
 
 BINS = 1 << 16
 MAX_LANGS = 256  # the broadcast model has BINS numbers for each language
-ROUNDS, REFINE, MAX_SET = 8, 4, 3
+ROUNDS, REFINE = 8, 4
+MAJORITY = 0.5
 PENALTY = 4.0  # nats for each further language, beside half a logarithm of the words
 FLOOR = 1e-7
 LETTER = regex.compile(r"\p{L}")
@@ -81,52 +83,62 @@ def learn(docs: DataFrame, lang_col: str = "lang") -> tuple[list[str], np.ndarra
     return langs, np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BINS)).astype(np.float32)
 
 
+def mixture(share: np.ndarray, like: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Language proportions of each document after some rounds of EM from `share`, and the log likelihood of its words under them."""
+    starts = np.searchsorted(doc, np.arange(len(share)), "left")
+    words = np.diff(np.append(starts, len(doc)))[:, None]
+    for _ in range(rounds):
+        r = share[doc] * like
+        r /= r.sum(1, keepdims=True)
+        share = np.add.reduceat(r, starts, axis=0) / words
+    return share, np.add.reduceat(np.log((share[doc] * like).sum(1)), starts)
+
+
 def infer(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text: the predicted language, its proportion, the size of the set. Texts need a word."""
     bins, first, doc = grams(texts)
     n_docs, n_langs = len(texts), logp.shape[1]
     like = np.add.reduceat(logp[bins], first, axis=0)
-    top = like.max(1, keepdims=True)
-    like = np.maximum(np.exp(like - top), FLOOR)
-    starts = np.searchsorted(doc, np.arange(n_docs), "left")
-    words = np.diff(np.append(starts, len(doc)))[:, None]
-
-    def em(share: np.ndarray, rounds: int) -> np.ndarray:
-        for _ in range(rounds):
-            r = share[doc] * like
-            r /= r.sum(1, keepdims=True)
-            share = np.add.reduceat(r, starts, axis=0) / words
-        return share
-
-    full = em(np.full((n_docs, n_langs), 1 / n_langs, np.float32), ROUNDS)
+    like = np.maximum(np.exp(like - like.max(1, keepdims=True)), FLOOR)
+    words = np.bincount(doc, minlength=n_docs)
+    full, _ = mixture(np.full((n_docs, n_langs), 1 / n_langs, np.float32), like, doc, ROUNDS)
     order = np.argsort(-full, axis=1, kind="stable")
-    best, size, share_of = np.full(n_docs, -np.inf), np.ones(n_docs, np.int64), full
-    for m in range(1, min(MAX_SET, n_langs) + 1):
-        mask = np.zeros_like(full)
-        np.put_along_axis(mask, order[:, :m], 1, axis=1)
-        share = mask * (full + 1e-6)
-        share = em(share / share.sum(1, keepdims=True), REFINE) if m > 1 else mask
-        fit = np.add.reduceat(np.log((share[doc] * like).sum(1)), starts) - (m - 1) * (PENALTY + 0.5 * np.log(words[:, 0]))
-        better = fit > best
-        best, size = np.where(better, fit, best), np.where(better, m, size)
-        share_of = np.where(better[:, None], share, share_of)
-    chosen = share_of.argmax(1)
+    chosen, size, rows, best = order[:, 0].copy(), np.ones(n_docs, np.int64), np.arange(n_docs), np.full(n_docs, -np.inf)
+    for m in range(1, n_langs + 1):  # larger sets for the documents whose last set was better than the one before
+        of = np.zeros(n_docs, bool)
+        of[rows] = True
+        at = np.flatnonzero(of[doc])
+        share = np.zeros((len(rows), n_langs), np.float32)
+        np.put_along_axis(share, order[rows, :m], 1, axis=1)
+        if m > 1:
+            share *= full[rows] + np.float32(1e-6)
+            share /= share.sum(1, keepdims=True)
+        share, fit = mixture(share, like[at], (np.cumsum(of) - 1)[doc[at]], REFINE if m > 1 else 0)
+        fit = fit - (m - 1) * (PENALTY + 0.5 * np.log(words[rows]))
+        better = fit > best[rows]
+        rows, share, fit = rows[better], share[better], fit[better]
+        best[rows], size[rows], chosen[rows] = fit, m, share.argmax(1)
+        if not len(rows):
+            break
     return chosen, full[np.arange(n_docs), chosen], size
 
 
+def _predictions(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[list, list, list]:
+    some = [i for i, t in enumerate(texts) if langs and t and LETTER.search(t)]
+    pred, score, size = ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
+    if some:
+        for i, c, s, m in zip(some, *(x.tolist() for x in infer([texts[i] for i in some], logp)), strict=True):
+            pred[i], score[i], size[i] = langs[c], min(1.0, max(0.0, s)), m
+    return pred, score, size
+
+
 def identify(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score, n_langs of every row, by a learned model of checked size."""
     sent = docs.sparkSession.sparkContext.broadcast((langs, logp))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        langs, logp = sent.value
         for batch in common.by_size(batches, 1, 1 << 20):
-            texts = batch.column(1).to_pylist()
-            some = [i for i, t in enumerate(texts) if langs and t and LETTER.search(t)]
-            pred, score, size = ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
-            if some:
-                for i, c, s, m in zip(some, *(x.tolist() for x in infer([texts[i] for i in some], logp)), strict=True):
-                    pred[i], score[i], size[i] = langs[c], min(1.0, max(0.0, s)), m
+            pred, score, size = _predictions(batch.column(1).to_pylist(), *sent.value)
             yield {"doc_id": batch.column(0), "lang_pred": pred, "score": score, "n_langs": size}
 
     return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double, n_langs int")
@@ -139,19 +151,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, langs, logp).withColumn("held_out", out).select("doc_id", "held_out", "lang_pred", "score", "n_langs")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs whose text has an identified language; the others go. Columns stay."""
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: Collection[str] | None = None, majority: float = MAJORITY) -> DataFrame:
+    """The rows of docs in one of the languages to keep (None: any that is learned); the others go.
+
+    A text is in a language that makes up `majority` of it at least, so texts without a
+    letter and texts that mix languages without one that prevails go. A null lang is
+    filled in by the prediction; other columns, and known values of lang, stay.
+    """
     langs, logp = learn(docs.where(~common.held_out("doc_id", 4, 2)))
     sent, names = spark.sparkContext.broadcast((langs, logp)), list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        langs, logp = sent.value
         for batch in common.by_size(batches, names.index("text"), 1 << 20):
-            texts = batch.column(names.index("text")).to_pylist()
-            some = [i for i, t in enumerate(texts) if langs and t and LETTER.search(t)]
-            if some:
-                infer([texts[i] for i in some], logp)
-                kept = batch.take(pa.array(some))
-                yield dict(zip(names, kept.columns, strict=True))
+            pred, score, _ = _predictions(batch.column(names.index("text")).to_pylist(), *sent.value)
+            kept = [i for i, (x, s) in enumerate(zip(pred, score, strict=True)) if x != "und" and s >= majority and (keep is None or x in keep)]
+            if kept:
+                cols = dict(zip(names, batch.take(pa.array(kept)).columns, strict=True))
+                yield cols | {"lang": pc.coalesce(cols["lang"], pa.array([pred[i] for i in kept], cols["lang"].type))}
 
     return common.arrow_map(docs, run, docs.schema)
