@@ -14,9 +14,9 @@ all documents; a block's items, hashes and signatures have a size bound that
 doesn't depend on the number of documents or items.
 
 Defined results: a null text, or one without a word, neither contains nor is
-contained; items of one to four words match documents of just these words;
-repeated rows give repeated pairs; empty tables give no rows; only doc_id,
-item_id and text are read.
+contained; an item of one to four words is contained where just these words stand
+in a row, anywhere in a document; repeated rows give repeated pairs; empty tables
+give no rows; only doc_id, item_id and text are read.
 """
 
 from __future__ import annotations
@@ -76,7 +76,13 @@ class Index:
     BITS = 22
 
     def __init__(self, rows: list[tuple[int, str | None]]):
-        sets = [(i, x) for i, t in rows if len(x := shingles.distinct(t))]
+        long = [(i, t) for i, t in rows if shingles.length(t) >= shingles.SIZE]
+        sets = [(i, shingles.distinct(t)) for i, t in long]
+        #: By the number of words: hashes of items that are shorter than a shingle, sorted, and the items.
+        self.short: dict[int, tuple[np.ndarray, list[int]]] = {}
+        for size in range(1, shingles.SIZE):
+            if own := sorted((int(shingles.sequence(t)[0]), i) for i, t in rows if shingles.length(t) == size):
+                self.short[size] = np.array([h for h, _ in own], np.uint64), [i for _, i in own]
         by: dict[int, list] = {}
         for i, x in sets:
             by.setdefault(len(x).bit_length(), []).append((i, x))
@@ -87,6 +93,10 @@ class Index:
 
     def search(self, text: str | None) -> Iterator[tuple[int, int, int]]:
         seq = shingles.sequence(text)
+        for size, (hashes, items) in self.short.items() if len(seq) else ():
+            there = shingles.distinct(text, size)
+            at = np.minimum(np.searchsorted(there, hashes), len(there) - 1)
+            yield from ((items[k], 1, 1) for k in np.flatnonzero(there[at] == hashes).tolist())
         seq = seq[self.filter[(seq >> np.uint64(64 - self.BITS)).astype(np.int64)]]
         for p in self.partitions if len(seq) else ():
             at = np.minimum(np.searchsorted(p.universe, seq), len(p.universe) - 1)
@@ -95,13 +105,14 @@ class Index:
                 yield from p.search(hits)
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_found, n_item, containment of each document that contains an item."""
+def found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), item_id, n_found, n_item of each document that contains an item."""
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-size // BLOCK))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     out = None
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
@@ -109,15 +120,22 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[dict]:
             index = sent.value
-            for batch in common.by_size(batches, 1):
-                got = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in index.search(t)]
+            for batch in common.by_size(batches, 2):
+                got = [(i, th, *x) for i, th, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for x in index.search(t)]
                 if got:
-                    ids, item, n, of = map(list, zip(*got, strict=True))
-                    yield {"doc_id": ids, "item_id": item, "n_found": n, "n_item": of}
+                    yield dict(zip(("doc_id", "th", "item_id", "n_found", "n_item"), map(list, zip(*got, strict=True)), strict=True))
+
+        part = common.arrow_map(rows, run, "doc_id long, th long, item_id long, n_found long, n_item long")
+        if blocks > 1:  # one block's index at a time on the driver and the executors
+            part = common.stored(part, "matches")
+            sent.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
 
-        found = common.arrow_map(rows, run, "doc_id long, item_id long, n_found long, n_item long")
-        out = found if out is None else out.unionByName(found)
-    return out.withColumn("containment", F.round(F.col("n_found") / F.col("n_item"), 6))
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_found, n_item, containment of each document that contains an item."""
+    return found(docs, items).drop("th").withColumn("containment", F.round(F.col("n_found") / F.col("n_item"), 6))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,19 +143,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that contain no test item. Rows without a doc_id stay only if no such row contains one."""
-    found = common.stored(matches(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit_id")).distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["hit_id"]), "left_anti")
+    """The rows of docs that contain no test item, told by doc_id and text: another text under the same doc_id stays."""
+    th, hit_id, hit_th = (common.fresh(docs.columns, x) for x in ("th", "hit_id", "hit_th"))
+    hits = found(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(hit_id), F.col("th").alias(hit_th)).distinct()
+    hits = common.stored(hits, "contaminated")
+    rows = docs.withColumn(th, F.xxhash64(F.col("text").cast("string")))
+    return rows.join(hits, (F.col(th) == F.col(hit_th)) & F.col("doc_id").cast("long").eqNullSafe(F.col(hit_id)), "left_anti").select(*docs.columns)
 
 
 ORACLE = f"""
 WITH w AS (SELECT row_number() OVER () AS r, 'd' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents
   UNION ALL SELECT row_number() OVER (), 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') FROM benchmark),
-s AS (SELECT r, side, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
-d AS (SELECT DISTINCT r, id, s FROM s WHERE side = 'd'),
-i AS (SELECT DISTINCT r, id, s FROM s WHERE side = 'i'),
+size AS (SELECT DISTINCT least(len(w), 5) AS k FROM w WHERE side = 'i' AND len(w) > 0),
+s AS (SELECT r, side, id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM w, size WHERE len(w) >= k AND (side = 'd' OR k = least(len(w), 5))),
+d AS (SELECT DISTINCT r, id, k, s FROM s WHERE side = 'd'),
+i AS (SELECT DISTINCT r, id, k, s FROM s WHERE side = 'i'),
 n AS (SELECT r, count(*) AS n FROM i GROUP BY r)
 SELECT doc_id, item_id, n_found, n AS n_item, round(n_found / n, 6) AS containment FROM (
-  SELECT d.id AS doc_id, i.id AS item_id, i.r AS ir, count(*) AS n_found FROM d JOIN i USING (s) GROUP BY d.r, d.id, i.r, i.id) JOIN n ON n.r = ir
+  SELECT d.id AS doc_id, i.id AS item_id, i.r AS ir, count(*) AS n_found FROM d JOIN i USING (k, s) GROUP BY d.r, d.id, i.r, i.id) JOIN n ON n.r = ir
 WHERE n_found >= {THRESHOLD} * n
 """

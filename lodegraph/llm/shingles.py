@@ -35,6 +35,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def length(text: str | None) -> int:
+    """The words of a text."""
+    return len(WORD.findall(text.lower())) if text else 0
+
+
 def sequence(text: str | None, size: int = SIZE) -> np.ndarray:
     """The hashes of a text's shingles in their order, repeats included."""
     words = WORD.findall(text.lower()) if text else []
