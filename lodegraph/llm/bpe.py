@@ -2,8 +2,10 @@
 
 Words of one length class form a padded matrix of ids. In each round every row
 merges its leftmost pair of lowest rank: ranks of all pairs come from a hashed
-pair table, and the matrix is compacted by one column. Distinct chunks of text
-are encoded once for each worker.
+pair table, and the matrix is compacted by one column. A word of more than LONG
+bytes would take rounds by the square of its length, so its pairs wait in a queue
+instead, from which they are merged in the same order. Distinct chunks of text are
+encoded once for each worker.
 
 Defined results: a null text counts as an empty one; an empty text has no ids;
 repeated rows give repeated results; an empty table gives no rows; only doc_id
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 NONE = np.int64(1 << 40)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 CACHE = 200_000
+LONG = 512
 #: A single space between characters that aren't white space: the pattern always cuts before it.
 CUT = regex.compile(r"(?<=\S) (?=\S)")
 IRREGULAR = regex.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] |^ | $")
@@ -83,6 +87,7 @@ class Bpe:
         pairs = [(a, b, rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
         left, right, merged = np.array(pairs or [(0, 0, 0)], np.int64).T[:, : len(pairs)]
         self.pairs = PairTable(left, right, merged)
+        self.merged = {(a << 32) | b: rank for a, b, rank in pairs}
         self.known: dict[str, bytes] = {}
 
     # -- pieces -----------------------------------------------------------
@@ -93,6 +98,8 @@ class Bpe:
         for i, p in enumerate(pieces):
             if (whole := self.ranks.get(p)) is not None:
                 out[i] = whole.to_bytes(size, "little")
+            elif len(p) > LONG:
+                out[i] = self._queued(p)
             elif p:
                 classes.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(i)
         for most, members in classes.items():
@@ -129,6 +136,30 @@ class Bpe:
                 ok = (p >= 0) & (p < rank.shape[1])
                 rank[r[ok], p[ok]] = self.pairs.rank(m[r[ok], p[ok]], m[r[ok], p[ok] + 1])
 
+    def _queued(self, piece: bytes) -> bytes:
+        """Ids of one long piece: the pair of lowest rank, the leftmost of equal ones, is merged until none is left."""
+        ids = self.byte[np.frombuffer(piece, np.uint8)]
+        n, none = len(ids), int(NONE)
+        rank = [*self.pairs.rank(ids[:-1], ids[1:]).tolist(), none]
+        queue = [(r << 32) | i for i, r in enumerate(rank) if r != none]
+        heapq.heapify(queue)
+        ids, before, behind = ids.tolist(), list(range(-1, n - 1)), list(range(1, n + 1))
+        while queue:
+            r, i = divmod(heapq.heappop(queue), 1 << 32)
+            if rank[i] != r:
+                continue  # one of the two has changed since
+            gone = behind[i]
+            ids[i], ids[gone], rank[gone] = r, -1, none
+            nxt = behind[i] = behind[gone]
+            if nxt < n:
+                before[nxt] = i
+            for left, right in ((before[i], i), (i, nxt)):
+                if left >= 0:
+                    new = rank[left] = self.merged.get((ids[left] << 32) | ids[right], none) if right < n else none
+                    if new != none:
+                        heapq.heappush(queue, (new << 32) | left)
+        return np.array([x for x in ids if x >= 0], self.width).tobytes()
+
     # -- texts ------------------------------------------------------------
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -170,8 +201,16 @@ def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
 _CODECS: dict[tuple, Bpe] = {}
 
 
+def digest(ranks: dict[bytes, int], pattern: str = "") -> str:
+    """What tells one vocabulary and pattern from another."""
+    h = hashlib.sha256(pattern.encode())
+    for token, rank in ranks.items():
+        h.update(b"%d %d " % (rank, len(token)) + token)
+    return h.hexdigest()
+
+
 def codec(ranks: dict[bytes, int], pattern: str, width: str, key: str) -> Bpe:
-    """One codec for each worker process, reused by its later tasks."""
+    """One codec for each worker process, reused by its later tasks with the same vocabulary; key: its digest."""
     if (key, width) not in _CODECS:
         _CODECS.clear()
         _CODECS[key, width] = Bpe(ranks, pattern, width)
@@ -185,7 +224,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     file (about 50,000 entries), whatever the number of documents.
     """
     ranks, pattern = vocabulary(path)
-    sent, key = docs.sparkSession.sparkContext.broadcast((ranks, pattern)), hashlib.sha256(repr((len(ranks), pattern, path)).encode()).hexdigest()
+    sent, key = docs.sparkSession.sparkContext.broadcast((ranks, pattern)), digest(ranks, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         bpe = codec(*sent.value, "<u4", key)
@@ -199,7 +238,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; digests are made where the ids are."""
     ranks, pattern = vocabulary(path)
-    sent, key = docs.sparkSession.sparkContext.broadcast((ranks, pattern)), hashlib.sha256(repr((len(ranks), pattern, path)).encode()).hexdigest()
+    sent, key = docs.sparkSession.sparkContext.broadcast((ranks, pattern)), digest(ranks, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         bpe = codec(*sent.value, "<u4", key)

@@ -84,11 +84,13 @@ def write_tokens(docs: DataFrame, path: str | None = None, block: int = BLOCK) -
     The blocks don't follow document bounds and hold no index.
     """
     ranks, pattern = bpe.vocabulary(path)
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    if END in ranks.values() or max(ranks.values()) >= 1 << 16:
+        raise ValueError(f"the vocabulary needs ids of 16 bits without {END}, which ends documents")
+    sent, key = docs.sparkSession.sparkContext.broadcast((ranks, pattern)), bpe.digest(ranks, pattern)
     mark = np.array([END], WIDTH).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        codec = bpe.codec(*sent.value, WIDTH, f"{len(sent.value[0])}")
+        codec = bpe.codec(*sent.value, WIDTH, key)
         name, held, size, n, ids = f"part-{TaskContext.get().partitionId():06d}", [], 0, 0, 0
         step = block * 2
 
