@@ -56,14 +56,19 @@ def fresh(columns: Iterable[str], name: str) -> str:
     return name
 
 
+def free(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of what is written by now; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
-    """Delete tables that stored() wrote and that nothing reads any more, and have Spark free the shuffle files that led to them."""
+    """Delete tables that stored() wrote and that nothing reads any more, and the shuffle files that led to them."""
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._lodegraph_path)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        free(tables[0].sparkSession)
 
 
 def crc_mod(column: str, modulus: int):

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common, shingles
 
 #: Bytes of a repeated string for the query; and for passages of over 50 words, in the pipeline and in a further column.
-LENGTH, PASSAGE = 400, 200
+LENGTH, PASSAGE = 400, 240
 SEGMENT = 1 << 16
 RUN = 4096
 HOT = 1 << 24
@@ -181,14 +181,10 @@ def bodies(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.lit(0).alias("off"), text.cast("binary").alias("body"))
 
 
-def _beside(rows: DataFrame, found: DataFrame, how: str, *more: str) -> DataFrame:
-    """rows with what found has for their doc_id, th and `more`."""
-    keys = ("doc_id", "th", *more)
-    other = found.withColumnsRenamed({k: f"o_{k}" for k in keys})
-    on = rows["th"] == other["o_th"]
-    for k in ("doc_id", *more):
-        on = on & rows[k].eqNullSafe(other[f"o_{k}"])
-    return rows.join(other, on, how).drop(*[f"o_{k}" for k in keys])
+def _beside(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """rows with what found has for their doc_id and th."""
+    other = found.withColumnsRenamed({"doc_id": "o_id", "th": "o_th"})
+    return rows.join(other, (rows["th"] == other["o_th"]) & rows["doc_id"].eqNullSafe(other["o_id"]), how).drop("o_id", "o_th")
 
 
 def spans(source: DataFrame, keep_first: bool, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -206,16 +202,17 @@ def spans(source: DataFrame, keep_first: bool, length: int = LENGTH, hot: int =
                 v, start, n, twice = (np.concatenate([x[k] for x in found]) for k in range(4))
                 row = np.concatenate(ids)
                 off = batch.column(2).to_numpy()[row]
-                keys = batch.select([0, 1, 2]).take(pa.array(row))
-                yield {"doc_id": keys.column(0), "th": keys.column(1), "off": keys.column(2), "v": v, "start": (off + start).astype(np.int32), "n": n.astype(np.int32), "twice": twice, "dig": [d for x in found for d in x[4]]}
+                keys = batch.select([0, 1]).take(pa.array(row))
+                yield {"doc_id": keys.column(0), "th": keys.column(1), "v": v, "start": (off + start).astype(np.int32), "n": n.astype(np.int32), "twice": twice, "dig": [d for x in found for d in x[4]]}
 
-    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "start", "off")
-    all_pieces = common.stored(common.arrow_map(source.where(F.octet_length("body") >= length), cut, "doc_id long, th long, off int, v long, start int, n int, twice boolean, dig binary"), "pieces")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "start")
+    all_pieces = common.stored(common.arrow_map(source.where(F.octet_length("body") >= length), cut, "doc_id long, th long, v long, start int, n int, twice boolean, dig binary"), "pieces")
     distinct = common.stored(all_pieces.groupBy("v", "dig").agg(F.count("*").alias("times"), F.min(at).alias("at"), F.first("n").alias("n"), F.max("twice").alias("twice")), "distinct")
+    common.free(source.sparkSession)
     keys = distinct.groupBy("v").agg(F.count("*").alias("kinds"), F.max("twice").alias("twice"), F.sum(F.col("n") + (length - 1)).alias("size")).where("kinds > 1 or twice").select("v", (F.col("size") > hot).alias("hot"))
     # what has to be held against other text: one place of each distinct piece
-    wanted = distinct.join(keys, "v").select(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"), F.col("at.off").alias("off"), F.struct("hot", "v", F.col("at.start").alias("start"), "n").alias("p"))
-    wanted = wanted.groupBy("doc_id", "th", "off").agg(F.collect_list("p").alias("ps"))
+    wanted = distinct.join(keys, "v").select(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"), F.struct("hot", "v", F.col("at.start").alias("start"), "n").alias("p"))
+    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("p").alias("ps"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         names = ("hot", "v", "doc_id", "th", "start", "n", "piece", "a", "b")
@@ -223,6 +220,8 @@ def spans(source: DataFrame, keep_first: bool, length: int = LENGTH, hot: int =
             out = []
             for i, th, off, body, ps in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 for p in ps:
+                    if not off <= p["start"] < off + len(body):
+                        continue  # it lies in another region of the text
                     piece = body[p["start"] - off : p["start"] - off + p["n"] + length - 1]
                     if p["hot"]:
                         buf = np.frombuffer(piece, np.uint8)
@@ -232,8 +231,9 @@ def spans(source: DataFrame, keep_first: bool, length: int = LENGTH, hot: int =
             if out:
                 yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
 
-    found = _beside(source, wanted, "inner", "off").select("doc_id", "th", "off", "body", "ps")
+    found = _beside(source, wanted, "inner").select("doc_id", "th", "off", "body", "ps")
     fetched = common.stored(common.arrow_map(found, fetch, "hot boolean, v long, doc_id long, th long, start int, n int, piece binary, a array<long>, b array<long>"), "fetched")
+    common.free(source.sparkSession)
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[tuple] = []
@@ -260,12 +260,11 @@ def spans(source: DataFrame, keep_first: bool, length: int = LENGTH, hot: int =
 
     plain = fetched.where("not hot").select("v", "doc_id", "th", "start", "piece")
     by_order = common.arrow_map(plain.repartition("v").sortWithinPartitions("v", F.col("doc_id").isNull(), "doc_id", "th", "start"), order, "doc_id long, th long, s int, e int")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "start")
     windows = fetched.where("hot").select("doc_id", "th", "start", F.posexplode(F.arrays_zip("a", "b")).alias("i", "h")).select("doc_id", "th", (F.col("start") + F.col("i")).alias("start"), "h.a", "h.b").distinct()
-    by_hash = windows.join(windows.groupBy("a", "b").agg(F.count("*").alias("times"), F.min(place).alias("at")).where("times > 1"), ["a", "b"])
+    by_hash = windows.join(windows.groupBy("a", "b").agg(F.count("*").alias("times"), F.min(at).alias("at")).where("times > 1"), ["a", "b"])
     whole = all_pieces.join(distinct.where("times > 1").select("v", "dig", "at"), ["v", "dig"])
     if keep_first:
-        by_hash, whole = by_hash.where(~place.eqNullSafe(F.col("at"))), whole.where(~at.eqNullSafe(F.col("at")))
+        by_hash, whole = by_hash.where(~at.eqNullSafe(F.col("at"))), whole.where(~at.eqNullSafe(F.col("at")))
     by_hash = by_hash.select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + length).alias("e"))
     whole = whole.select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + F.col("n") + (length - 1)).alias("e"))
     out = common.stored(whole.unionByName(by_order).unionByName(by_hash).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
