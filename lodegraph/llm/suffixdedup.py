@@ -212,7 +212,9 @@ def spans(source: DataFrame, keep_first: bool, length: int = LENGTH, hot: int =
     keys = distinct.groupBy("v").agg(F.count("*").alias("kinds"), F.max("twice").alias("twice"), F.sum(F.col("n") + (length - 1)).alias("size")).where("kinds > 1 or twice").select("v", (F.col("size") > hot).alias("hot"))
     # what has to be held against other text: one place of each distinct piece
     wanted = distinct.join(keys, "v").select(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"), F.struct("hot", "v", F.col("at.start").alias("start"), "n").alias("p"))
-    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("p").alias("ps"))
+    wanted = common.stored(wanted.groupBy("doc_id", "th").agg(F.collect_list("p").alias("ps")), "wanted")
+    repeated = common.stored(distinct.where("times > 1").select("v", "dig", "at"), "repeated")
+    common.drop(distinct)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         names = ("hot", "v", "doc_id", "th", "start", "n", "piece", "a", "b")
@@ -262,13 +264,13 @@ def spans(source: DataFrame, keep_first: bool, length: int = LENGTH, hot: int =
     by_order = common.arrow_map(plain.repartition("v").sortWithinPartitions("v", F.col("doc_id").isNull(), "doc_id", "th", "start"), order, "doc_id long, th long, s int, e int")
     windows = fetched.where("hot").select("doc_id", "th", "start", F.posexplode(F.arrays_zip("a", "b")).alias("i", "h")).select("doc_id", "th", (F.col("start") + F.col("i")).alias("start"), "h.a", "h.b").distinct()
     by_hash = windows.join(windows.groupBy("a", "b").agg(F.count("*").alias("times"), F.min(at).alias("at")).where("times > 1"), ["a", "b"])
-    whole = all_pieces.join(distinct.where("times > 1").select("v", "dig", "at"), ["v", "dig"])
+    whole = all_pieces.join(repeated, ["v", "dig"])
     if keep_first:
         by_hash, whole = by_hash.where(~at.eqNullSafe(F.col("at"))), whole.where(~at.eqNullSafe(F.col("at")))
     by_hash = by_hash.select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + length).alias("e"))
     whole = whole.select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + F.col("n") + (length - 1)).alias("e"))
     out = common.stored(whole.unionByName(by_order).unionByName(by_hash).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    common.drop(all_pieces, distinct, fetched)
+    common.drop(all_pieces, wanted, repeated, fetched)
     return out
 
 
