@@ -2,8 +2,9 @@
 
 Rules look at a document's measures and vote bad or good, or abstain.
 Expectation-maximisation over the counts of vote patterns (at most 2**7 rows,
-whatever the number of documents) estimates the accuracy of each rule; the
-posterior probability of being good decides.
+whatever the number of documents) estimates how often each rule votes on good and on
+bad documents, which is its accuracy, and the share of good documents; the posterior
+probability of being good, given who voted and who abstained, decides.
 
 Defined results: a null or empty text has no words, fails the base rules and is
 not kept; repeated rows give repeated results; an empty table gives no rows;
@@ -23,8 +24,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 BITS = 30  # no text that Spark holds has more words than this many bits count
 ROUNDS = 25
-#: Prior accuracy of every rule, and for how many votes this prior counts. The balance of classes is taken as even.
-GUESS, WEIGHT = 0.9, 10.0
+#: How often a rule that votes bad, or good, is thought to vote on good and on bad documents before any is seen; the
+#: share of good documents; and for how many documents these guesses count.
+BAD_RULE, GOOD_RULE, EVEN, WEIGHT = (0.05, 0.3), (0.7, 0.1), 0.5, 10.0
 #: (rule, what it votes, when); where the condition doesn't hold the rule abstains. Healthy
 #: signs are one rule, not six: they go together on every clean text, and six voters who
 #: copy each other would outvote any single sign of junk.
@@ -35,9 +37,12 @@ RULES = [
     ("lines", -1, "2 * n_dup_lines > n_lines"),
     ("repeats", -1, "100 * n_repeat_words > 40 * n_words"),
     ("length", -1, "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
-    ("clean", 1, "20 * n_symbols < n_words AND 10 * n_upper < 2 * word_chars AND 20 * n_bangs < n_words AND 4 * n_dup_lines <= n_lines AND 100 * n_repeat_words < 20 * n_words AND word_chars >= 3 * n_words AND word_chars <= 12 * n_words"),
+    ("clean", 1, "20 * n_symbols < n_words AND 10 * n_upper < 2 * word_chars AND 20 * n_bangs < n_words AND 2 * n_dup_lines <= n_lines AND 100 * n_repeat_words <= 40 * n_words AND word_chars >= 3 * n_words AND word_chars <= 12 * n_words"),
 ]
 VOTES = [f"v_{name}" for name, _, _ in RULES]
+#: The share of good documents is like one more rule, which votes on every document.
+PRIORS = [BAD_RULE if vote < 0 else GOOD_RULE for _, vote, _ in RULES] + [(EVEN, 1 - EVEN)]
+Rates = list[tuple[float, float]]
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -76,45 +81,53 @@ def with_votes(df: DataFrame) -> DataFrame:
     return df.withColumns({f"v_{name}": F.expr(f"CASE WHEN {when} THEN {vote} ELSE 0 END") for name, vote, when in RULES})
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> list[float]:
-    """The accuracy of each rule where it votes, by expectation-maximisation over pattern counts."""
-    accuracy = [GUESS] * len(RULES)
+def log_odds(votes, rates: Rates) -> float:
+    """Of being good, for votes (0 for abstaining) of the rules, by how often each votes on good and on bad documents."""
+    return sum(math.log(g / b) if v else math.log((1 - g) / (1 - b)) for v, (g, b) in zip((*votes, 1), rates, strict=True))
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> Rates:
+    """How often each rule votes on good and on bad documents, and the share of either, by expectation-maximisation over pattern counts."""
+    rates = list(PRIORS)
     for _ in range(rounds):
-        right, voted = [GUESS * WEIGHT] * len(RULES), [WEIGHT] * len(RULES)
-        for votes, n in patterns:
-            good = 1 / (1 + math.exp(-log_odds(votes, accuracy)))
-            for r, v in enumerate(votes):
-                if v:
-                    right[r] += n * (good if v > 0 else 1 - good)
-                    voted[r] += n
-        accuracy = [x / y for x, y in zip(right, voted, strict=True)]
-    return accuracy
+        good = [n / (1 + math.exp(-log_odds(votes, rates))) for votes, n in patterns]
+        bad = [n - x for (_, n), x in zip(patterns, good, strict=True)]
+        voted = lambda r, of: sum(x for (votes, _), x in zip(patterns, of, strict=True) if votes[r])
+        g, b = sum(good), sum(bad)
+        rates = [((voted(r, good) + WEIGHT * p) / (g + WEIGHT), (voted(r, bad) + WEIGHT * q) / (b + WEIGHT)) for r, (p, q) in enumerate(PRIORS[:-1])]
+        rates.append(((g + WEIGHT * EVEN) / (g + b + WEIGHT), (b + WEIGHT * (1 - EVEN)) / (g + b + WEIGHT)))
+    return rates
 
 
-def log_odds(votes, accuracy: list[float]) -> float:
-    return sum(v * math.log(a / (1 - a)) for v, a in zip(votes, accuracy, strict=True))
+def accuracies(rates: Rates) -> dict[str, float]:
+    """How often each rule is right where it votes."""
+    share, rest = rates[-1]
+    return {name: (share * g if vote > 0 else rest * b) / (share * g + rest * b) for (name, vote, _), (g, b) in zip(RULES, rates, strict=False)}
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """The measures, votes, base_failed, p_good and kept of every row."""
     rows = common.stored(with_votes(measures(docs)), "quality")
     patterns = [(tuple(r[v] for v in VOTES), r["n"]) for r in rows.groupBy(*VOTES).agg(F.count("*").alias("n")).orderBy(*VOTES).collect()]
-    odds = F.lit(0.0)
-    for v, a in zip(VOTES, fit(patterns), strict=True):
-        odds = odds + F.col(v) * F.lit(math.log(a / (1 - a)))
+    rates = fit(patterns)
+    odds = F.lit(math.log(rates[-1][0] / rates[-1][1]))
+    for v, (g, b) in zip(VOTES, rates, strict=False):
+        odds = odds + F.when(F.col(v) != 0, math.log(g / b)).otherwise(math.log((1 - g) / (1 - b)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("p_good", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed).withColumn("kept", ~failed & (odds >= 0))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judge(common.table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", *cols, "base_failed", "kept", *VOTES)
+    return judge(common.table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", *cols, "base_failed", "kept", F.round("p_good", 4).alias("p_good"), *VOTES)
 
 
 def _oracle() -> str:
     votes = ", ".join(f"CASE WHEN {when} THEN {vote} ELSE 0 END AS v_{name}" for name, vote, when in RULES)
-    long = " UNION ALL ".join(f"SELECT pid, n, {i} AS rule, {v} AS vote FROM pat" for i, v in enumerate(VOTES))
-    start = ", ".join(f"(0, {i}, {GUESS}::DOUBLE)" for i in range(len(RULES)))
+    long = " UNION ALL ".join(f"SELECT pid, n, {i} AS rule, {v} AS vote FROM pat" for i, v in enumerate([*VOTES, "1"]))
+    priors = ", ".join(f"({i}, {g}::DOUBLE, {b}::DOUBLE)" for i, (g, b) in enumerate(PRIORS))
+    gain = "CASE WHEN {vote} <> 0 THEN ln({g} / {b}) ELSE ln((1 - {g}) / (1 - {b})) END"
+    last, guess = len(RULES), f"{WEIGHT} * any_value"
     same = " AND ".join(f"v.{v} = q.{v}" for v in VOTES)
     return f"""
 WITH RECURSIVE base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -132,17 +145,19 @@ m AS (SELECT ws.rid, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w
 v AS (SELECT *, {votes} FROM m),
 pat AS (SELECT row_number() OVER () AS pid, * FROM (SELECT {', '.join(VOTES)}, count(*)::DOUBLE AS n FROM v GROUP BY ALL)),
 long AS ({long}),
-em(it, rule, a) AS (
-  SELECT * FROM (VALUES {start})
+priors(rule, pg, pb) AS (VALUES {priors}),
+em(it, rule, g, b) AS (
+  SELECT 0, rule, pg, pb FROM priors
   UNION ALL
-  SELECT it + 1, rule, (sum(CASE WHEN vote > 0 THEN n * q WHEN vote < 0 THEN n * (1 - q) ELSE 0 END) + {GUESS * WEIGHT}) / (sum(CASE WHEN vote <> 0 THEN n ELSE 0 END) + {WEIGHT}) FROM (
-    SELECT em.it, l.n, l.rule, l.vote, 1 / (1 + exp(-sum(l.vote * ln(em.a / (1 - em.a))) OVER (PARTITION BY l.pid))) AS q
-    FROM long l JOIN em USING (rule) WHERE em.it < {ROUNDS}) GROUP BY it, rule),
-q AS (SELECT pid, sum(vote * ln(a / (1 - a))) AS odds FROM long JOIN em USING (rule) WHERE it = {ROUNDS} GROUP BY pid),
-verdict AS (SELECT {', '.join(VOTES)}, odds >= 0 AS good FROM pat JOIN q USING (pid))
+  SELECT it + 1, rule, CASE WHEN rule = {last} THEN (sum(n * q) + {guess}(pg)) / (sum(n) + {WEIGHT}) ELSE (sum(CASE WHEN vote <> 0 THEN n * q ELSE 0 END) + {guess}(pg)) / (sum(n * q) + {WEIGHT}) END,
+    CASE WHEN rule = {last} THEN (sum(n * (1 - q)) + {guess}(pb)) / (sum(n) + {WEIGHT}) ELSE (sum(CASE WHEN vote <> 0 THEN n * (1 - q) ELSE 0 END) + {guess}(pb)) / (sum(n * (1 - q)) + {WEIGHT}) END FROM (
+    SELECT em.it, l.n, l.rule, l.vote, pg, pb, 1 / (1 + exp(-sum({gain.format(vote='l.vote', g='em.g', b='em.b')}) OVER (PARTITION BY l.pid))) AS q
+    FROM long l JOIN em USING (rule) JOIN priors USING (rule) WHERE em.it < {ROUNDS}) GROUP BY it, rule),
+q AS (SELECT pid, sum({gain.format(vote='vote', g='em.g', b='em.b')}) AS odds FROM long JOIN em USING (rule) WHERE it = {ROUNDS} GROUP BY pid),
+verdict AS (SELECT {', '.join(VOTES)}, odds >= 0 AS good, round(1 / (1 + exp(-odds)), 4) AS p_good FROM pat JOIN q USING (pid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)) AND q.good AS kept, {', '.join('v.' + x for x in VOTES)}
+  (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)) AND q.good AS kept, q.p_good, {', '.join('v.' + x for x in VOTES)}
 FROM v JOIN verdict q ON {same}
 """
 
