@@ -4,8 +4,13 @@ A page becomes a tree: tags that HTML lets authors leave out are implied, wrong
 end tags are dropped, raw text (scripts, styles) is never markup. Elements that a
 browser doesn't show are left out; everything else is text: blocks stand on lines
 of their own, paragraphs and headings apart by an empty line, list items get a
-mark and an indent, cells of a table are aligned in columns, preformatted text
-keeps its spaces, and white space elsewhere collapses.
+mark and an indent, cells of a table are aligned in columns, also over spans,
+preformatted text keeps its spaces, and white space elsewhere collapses. Forms show
+what a browser shows: the text of text areas, the chosen options, labels of buttons.
+
+Columns are aligned up to WIDE characters; longer lines reach over. Where aligning a
+table would still make it more than SPREAD times its text, its cells just follow
+each other, so a page's text is bounded by the page, never cut.
 
 Defined results: a null or empty page has an empty text; broken markup gives the
 text that is there; repeated rows give repeated results; an empty table gives no
@@ -29,7 +34,10 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist desc defs metadata symbol annotation annotation-xml".split())
+WIDE, SPREAD = 80, 8
+#: The most that the HTML standard lets cells span.
+COLUMNS, ROWS = 1000, 65534
 HEAD = frozenset("base link meta noscript script style template title".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr form fieldset".split())
 BLOCK = APART | frozenset("html body div section article aside nav header footer main address li dt dd tr caption thead tbody tfoot td th figcaption details summary legend center dir menu hgroup search".split())
@@ -207,23 +215,70 @@ class Lines:
         return "\n".join(self.done).strip("\n")
 
 
-def grid(rows: list[list[str]]) -> str:
-    """Rows of cells as aligned columns."""
-    width: list[int] = []
-    for row in rows:
-        for k, cell in enumerate(row):
-            w = max(map(len, cell.split("\n")))
-            if k == len(width):
-                width.append(w)
-            width[k] = max(width[k], w)
-    out = []
-    for row in rows:
-        parts = [cell.split("\n") for cell in row]
-        for i in range(max(map(len, parts), default=0)):
-            out.append("  ".join((p[i] if i < len(p) else "").ljust(w) for p, w in zip(parts, width, strict=False)).rstrip())
+def span(node: Node, name: str, most: int) -> int:
+    """How many columns or rows a cell takes up; 0 rows are all that follow."""
+    raw = node.attrs.get(name, "").strip()
+    n = int(raw[:9]) if re.match(r"\d+$", raw) else 1
+    return min(n, most) or (most if name == "rowspan" else 1)
+
+
+def grid(rows: list[list[tuple[str, int, int]]]) -> str:
+    """Rows of cells (text, columns, rows that they take up) as aligned columns."""
+    placed: list[list[tuple[int, list[str], int]]] = []
+    above: list[tuple[int, int, int]] = []  # columns that cells of former rows take up, and up to which row
+    for r, row in enumerate(rows):
+        above = sorted(x for x in above if x[2] > r)
+        at, k, cells, new = 0, 0, [], []
+        for text, across, down in row:
+            while k < len(above) and above[k][0] <= at:
+                at, k = max(at, above[k][1]), k + 1
+            cells.append((at, text.split("\n"), across))
+            if down > 1:
+                new.append((at, at + across, r + down))
+            at += across
+        above += new
+        placed.append(cells)
+    width: dict[int, int] = {}
+    for cells in placed:
+        for at, lines, across in cells:
+            if across == 1:
+                width[at] = max(width.get(at, 0), *(len(x) for x in [*lines, ""] if len(x) <= WIDE))
+            else:
+                width.setdefault(at, 0)
+    starts, total = {}, 0
+    for at in sorted(width):
+        starts[at] = total
+        total += width[at] + 2 if width[at] else 0
+    full = lambda cells, i: [(starts[at], lines[i]) for at, lines, _ in cells if i < len(lines) and lines[i]]
+    deep = lambda cells: max((len(lines) for _, lines, _ in cells), default=0)
+    text = sum(len(x) - x.count(" ") for cells in placed for _, lines, _ in cells for x in lines)
+    size = sum(max((start + len(x) for start, x in full(cells, i)), default=0) for cells in placed for i in range(deep(cells)))
+    aligned, out = size <= SPREAD * text + 4096, []
+    for cells in placed:
+        for i in range(deep(cells)):
+            line = ""
+            for start, x in full(cells, i):
+                line += " " * max(start - len(line) if aligned else 0, 2 if line else 0) + x
+            out.append(line.rstrip())
     return "\n".join(out)
 
 
+def shown_options(node: Node) -> list[Node]:
+    """The options of a select that are seen while it is closed, or all of a list."""
+    found, work = [], list(reversed(node.children))
+    while work:
+        x = work.pop()
+        if isinstance(x, Node):
+            if x.tag == "option":
+                found.append(x)
+            else:
+                work.extend(reversed(x.children))
+    size = node.attrs.get("size", "1")
+    if "multiple" in node.attrs or (size.isdigit() and int(size[:9]) > 1):
+        return found
+    return [x for x in found if "selected" in x.attrs][-1:] or found[:1]
+
+
 def render(root: Node) -> str:
     """The laid-out text of a tree, without recursion."""
     outs, tables, lists = [Lines()], [], []
@@ -241,9 +296,18 @@ def render(root: Node) -> str:
             if tag == "br":
                 out.end(0, True)
                 continue
-            if tag in ("input", "button") and node.attrs.get("type", "").lower() == "hidden":
+            if tag == "input":
+                if node.attrs.get("type", "").lower() in ("submit", "reset", "button"):
+                    out.add(" " + node.attrs.get("value", "") + " ")
+                continue
+            if tag == "select":
+                out.add(" ")
+                work.append(("exit", node, pre))
+                work.extend(("node", x, pre) for x in reversed(shown_options(node)))
                 continue
-            pre = pre or tag == "pre"
+            if tag == "textarea" and out.line:
+                out.line.append(" ")
+            pre = pre or tag in ("pre", "textarea")
             if tag == "table":
                 out.end(2)
                 tables.append([])
@@ -273,18 +337,14 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if tag == "table":
-            rows = [r for r in tables.pop() if any(r)]
+            rows = tables.pop()
+            rows = rows if any(x[0] for r in rows for x in r) else []
             outs[-1].end(2)
             if rows:
                 outs[-1].add(grid(rows), True)
             outs[-1].end(2)
         elif tag in ("td", "th") and tables:
-            cell = outs.pop().text()
-            tables[-1][-1].append(cell)
-            try:
-                tables[-1][-1].extend([""] * (min(50, int(node.attrs.get("colspan", "1"))) - 1))
-            except ValueError:
-                pass
+            tables[-1][-1].append((outs.pop().text(), span(node, "colspan", COLUMNS), span(node, "rowspan", ROWS)))
         elif tag == "caption" and tables:
             cell = outs.pop().text()
             outs[-1].add(cell, True)
@@ -300,6 +360,8 @@ def render(root: Node) -> str:
             out.indent = out.indent[:-2]
         elif tag == "q":
             out.add('"')
+        elif tag in ("option", "select", "textarea"):
+            out.add(" ")
         elif tag in BLOCK:
             out.end(2 if tag in APART else 1)
     while len(outs) > 1:
