@@ -2,10 +2,10 @@
 
 The model reads subword ids: words, lower-cased in A-Z, cut by the first ranks of
 a byte-level BPE vocabulary, and one end for each text. A text is read in windows
-of WINDOW ids that overlap by CONTEXT; each id is scored once, in the window
-where it has the most context. Windows go through one masked attention layer in
-batches; the next id is predicted in three softmax steps of 16, from its class down
-to itself, so a score is a proper probability.
+that score STEP ids each and overlap by CONTEXT, so that each id is scored once,
+with CONTEXT ids before it at least (ends, before the text's first). Windows go
+through one masked attention layer in batches; the next id is predicted in two
+softmax steps of FAN, its class and then itself, so a score is a proper probability.
 
 Learning covers the whole training part: word counts and, from them, subword
 frequencies over all of it; and gradient steps on every document, which are dealt
@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +34,18 @@ from pyspark.sql import functions as F
 
 from . import bpe, common
 
-FAN = 16
-VOCABULARY = FAN**3  # the last id is the end
+FAN = 32
+VOCABULARY = FAN**2  # the last id is the end
 END = VOCABULARY - 1
-WIDTH, HIDDEN = 16, 24
-WINDOW, CONTEXT = 32, 8
-BLOCK = 96
+WIDTH, HIDDEN = 8, 24
+STEP, CONTEXT = 24, 8
+WINDOW = STEP + CONTEXT
+BATCH, BLOCK = 96, 192  # windows of a gradient step, and scored at once: what stays in the processor's cache
 ROUNDS, RATE = 4, 0.02
 FREQUENT = 100_000
 #: No logit counts beyond this, so exponentials stay finite without a search for the largest.
 LIMIT = np.float32(40)
-ONES = np.ones(64, np.float32)
+ONES = np.ones((max(FAN, WINDOW), 1), np.float32)
 KNOWN = 300_000
 END_WORD = b"\n"  # no word holds white space, so this names the end
 
@@ -64,152 +66,211 @@ class Subwords:
         self.known: dict[bytes, bytes] = {END_WORD: np.array([END], "<u2").tobytes()}
 
     def encode(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        new = list({w for ws in texts for w in ws if w not in self.known})
-        if len(self.known) + len(new) > KNOWN:
-            here = {w for ws in texts for w in ws}
-            self.known = {w: x for w, x in self.known.items() if w in here or w == END_WORD}
-        raw = self.codec.merge([b" " + w for w in new])
-        ids = self.renumber[np.frombuffer(b"".join(raw), "<u2")].astype("<u2").tobytes()
-        at = 0
-        for w, x in zip(new, raw, strict=True):
-            self.known[w] = ids[at : at + len(x)]
-            at += len(x)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), "<u2") for ws in texts]
-
-
-def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, scored) of one text whose ids end with END: each target is scored in just one window."""
-    n, step = len(ids), WINDOW - CONTEXT
-    count = 1 + max(0, -(-(n - WINDOW) // step))
-    padded = np.full((count - 1) * step + WINDOW + 1, END, np.int64)
-    padded[1 : n + 1] = ids
-    at = (np.arange(count) * step)[:, None] + np.arange(WINDOW)
-    scored = at < n
-    scored[1:, :CONTEXT] = False
-    return padded[at], padded[at + 1], scored
+        get = self.known.get
+        found = [list(map(get, ws)) for ws in texts]
+        new = list({w for ws, xs in zip(texts, found, strict=True) if None in xs for w, x in zip(ws, xs, strict=True) if x is None})
+        if new:
+            if len(self.known) + len(new) > KNOWN:
+                here = {w for ws in texts for w in ws}
+                self.known = {w: x for w, x in self.known.items() if w in here or w == END_WORD}
+            raw = self.codec.merge([b" " + w for w in new])
+            ids = self.renumber[np.frombuffer(b"".join(raw), "<u2")].astype("<u2").tobytes()
+            at = 0
+            for w, x in zip(new, raw, strict=True):
+                self.known[w] = ids[at : at + len(x)]
+                at += len(x)
+            get = self.known.__getitem__
+            found = [list(map(get, ws)) if None in xs else xs for ws, xs in zip(texts, found, strict=True)]
+        return [np.frombuffer(b"".join(xs), "<u2") for xs in found]
+
+
+class Windows:
+    """The windows of texts (arrays of ids that end with END), made block by block."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        n = np.array([len(x) for x in texts])
+        self.counts = -(-n // STEP)
+        lead, tail = np.full(CONTEXT + 1, END, "<u2"), np.full(STEP, END, "<u2")
+        self.flat = np.concatenate([y for x in texts for y in (lead, x, tail)])
+        starts = np.cumsum(n + len(lead) + len(tail)) - n - len(lead) - len(tail)
+        step = np.arange(self.counts.sum()) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        self.start = np.repeat(starts, self.counts) + step * STEP
+        self.valid = np.minimum(np.repeat(n, self.counts) - step * STEP, STEP)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def block(self, which) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, targets, scored) of some windows: the last STEP inputs predict the targets."""
+        at = self.start[which][:, None]
+        return self.flat[at + np.arange(WINDOW)], self.flat[at + np.arange(CONTEXT + 1, WINDOW + 1)], np.arange(STEP) < self.valid[which][:, None]
 
 
 class Model:
-    """Weights by name, and the passes. All arrays are float32."""
+    """Weights by name, and the passes. All arrays are float32.
+
+    The mixing layer's last row and the last hidden unit, which is always 1, are the biases.
+    """
 
     SHAPES = {
-        "embed": (VOCABULARY, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "distance": (WINDOW,),
-        "mix": (2 * WIDTH, HIDDEN), "mix_bias": (HIDDEN,), "top": (1, HIDDEN, FAN), "top_bias": (1, FAN),
-        "middle": (FAN, HIDDEN, FAN), "middle_bias": (FAN, FAN), "leaf": (FAN * FAN, HIDDEN, FAN), "leaf_bias": (FAN * FAN, FAN),
+        "embed": (VOCABULARY, WIDTH), "attend": (WIDTH, 3 * WIDTH), "distance": (WINDOW,),
+        "mix": (2 * WIDTH + 1, HIDDEN), "top": (HIDDEN, FAN), "leaf": (FAN, HIDDEN, FAN),
     }
     SIZE = sum(math.prod(s) for s in SHAPES.values())
+    #: How far each scored place looks back, and where it may look.
+    GAP = np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)
+    SEEN = GAP >= 0
 
     def __init__(self, flat: np.ndarray):
-        self.flat, at = np.array(flat, np.float32), 0
-        self.w: dict[str, np.ndarray] = {}
-        for name, shape in self.SHAPES.items():
-            self.w[name] = self.flat[at : at + math.prod(shape)].reshape(shape)
+        self.flat = np.array(flat, np.float32)
+        self.w = self.named(self.flat)
+        self.room: dict[tuple, np.ndarray] = {}
+        self.tables: tuple[np.ndarray, np.ndarray] | None = None
+
+    @classmethod
+    def named(cls, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of a flat array, by weight."""
+        out, at = {}, 0
+        for name, shape in cls.SHAPES.items():
+            out[name] = flat[at : at + math.prod(shape)].reshape(shape)
             at += math.prod(shape)
-        i = np.arange(WINDOW)
-        self.gap = np.maximum(i[:, None] - i, 0)
-        self.mask = np.where(i[:, None] >= i, 0, -1e9).astype(np.float32)
+        return out
 
     @classmethod
     def start(cls, frequency: np.ndarray) -> Model:
         """Seeded weights; the biases are the log frequencies of the training part's subwords."""
         m, rng = cls(np.zeros(cls.SIZE)), np.random.default_rng(11)
-        for name in ("embed", "query", "key", "value", "mix", "top", "middle", "leaf"):
-            shape = cls.SHAPES[name]
-            m.w[name][:] = rng.standard_normal(shape) * {"embed": 0.5, "leaf": 0.05, "middle": 0.05, "top": 0.1}.get(name, 1 / math.sqrt(shape[0]))
-        f = np.asarray(frequency, float) + 0.1
-        for name, groups in (("top", 1), ("middle", FAN), ("leaf", FAN * FAN)):
-            g = f.reshape(groups, FAN, -1).sum(2)
-            m.w[f"{name}_bias"][:] = np.log(g / g.sum(1, keepdims=True))
+        for name, scale in (("embed", 0.5), ("attend", WIDTH**-0.5), ("mix", (2 * WIDTH) ** -0.5), ("top", 0.1), ("leaf", 0.1)):
+            m.w[name][:] = rng.standard_normal(cls.SHAPES[name]) * scale
+        m.w["attend"][:, :WIDTH] *= WIDTH**-0.5
+        m.w["mix"][-1] = 0
+        f = (np.asarray(frequency, float) + 0.1).reshape(FAN, FAN)
+        m.w["top"][-1] = np.log(f.sum(1) / f.sum())
+        m.w["leaf"][:, -1] = np.log(f / f.sum(1, keepdims=True))
         return m
 
-    def attend(self, inputs: np.ndarray):
-        w, x = self.w, self.w["embed"][inputs]
-        q, k, v = x @ w["query"], x @ w["key"], x @ w["value"]
-        a = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
-        a += w["distance"][self.gap] + self.mask
-        np.exp(np.minimum(a, LIMIT, out=a), out=a)
-        return x, q, k, v, a, a @ ONES[:WINDOW, None]
-
-    def score(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> np.ndarray:
-        """Natural log probability of each scored target, in the order of the mask."""
-        w, t = self.w, targets[scored]
-        h = np.empty((len(t), HIDDEN), np.float32)
-        done = 0
-        for i in range(0, len(inputs), BLOCK):  # blocks that stay in the processor's cache
-            x, _, _, v, a, total = self.attend(inputs[i : i + BLOCK])
-            at = np.flatnonzero(scored[i : i + BLOCK])
-            part = h[done : done + len(at)]
-            np.matmul(x.reshape(-1, WIDTH)[at], w["mix"][:WIDTH], out=part)
-            part += ((a @ v) / total).reshape(-1, WIDTH)[at] @ w["mix"][WIDTH:]
-            done += len(at)
-        h += w["mix_bias"]
-        np.maximum(h, 0, out=h)
-        order = np.argsort((t // FAN).astype(np.uint8), kind="stable")  # so that each class, at any step, is one product
-        h, t, row = h[order], t[order], np.arange(len(t))
-        got, total = np.zeros(len(t), np.float32), 1.0
-        logits = np.empty((len(t), FAN), np.float32)
-        for name, group in (("top", t >> 12), ("middle", t >> 8), ("leaf", t >> 4)):
-            weights, ends = w[name], np.searchsorted(group, np.arange(len(w[name]) + 1)).tolist()
-            for k, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
-                if i < j:
-                    np.matmul(h[i:j], weights[k], out=logits[i:j])
-            logits += w[f"{name}_bias"][group]
-            np.minimum(logits, LIMIT, out=logits)
-            got += logits[row, (t >> {"top": 8, "middle": 4, "leaf": 0}[name]) & 15]
-            total = total * (np.exp(logits, out=logits) @ ONES[:FAN])
-        out = np.empty_like(got)
-        out[order] = got - np.log(total)
-        return out
-
-    def gradient(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[float, np.ndarray]:
+    def space(self, name: str, *shape: int) -> np.ndarray:
+        """Working memory that the next batch uses again: fresh pages cost more than the sums."""
+        key = (name, *shape)
+        if key not in self.room:
+            if len(self.room) > 60:
+                self.room.clear()
+            self.room[key] = np.empty(shape, np.float32)
+        return self.room[key]
+
+    def looks(self, q, k, limit: bool) -> np.ndarray:
+        """Exponentials of the scored places' attention, before division by their sums."""
+        a = np.matmul(q, k.transpose(0, 2, 1), out=self.space("a", len(q), STEP, WINDOW))
+        a += np.where(self.SEEN, self.w["distance"][np.maximum(self.GAP, 0)], np.float32(-1e9))
+        return self.exp(a, limit)
+
+    @staticmethod
+    def exp(x: np.ndarray, limit: bool) -> np.ndarray:
+        return np.exp(np.minimum(x, LIMIT, out=x) if limit else x, out=x)
+
+    def leaves(self, h: np.ndarray, group: np.ndarray, limit: bool) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Exponentials of the second step's logits, for places in the order of their classes; and (class, from, to)."""
+        out, ends = self.space("leaf", len(h), FAN), np.searchsorted(group, np.arange(FAN + 1)).tolist()
+        parts = [(g, i, j) for g, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if i < j]
+        for g, i, j in parts:
+            np.matmul(h[i:j], self.w["leaf"][g], out=out[i:j])
+        return self.exp(out, limit), parts
+
+    def score(self, inputs: np.ndarray, targets: np.ndarray, limit: bool = False) -> np.ndarray:
+        """Natural log probability of each target, in the shape of the targets."""
+        w, n = self.w, targets.size
+        if self.tables is None:  # what an id alone adds, for all ids; scores are made when training is over
+            self.tables = w["embed"] @ w["attend"], w["embed"] @ w["mix"][:WIDTH] + w["mix"][-1]
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            both = np.take(self.tables[0], inputs, axis=0, out=self.space("both", *inputs.shape, 3 * WIDTH), mode="clip")
+            a = self.looks(both[:, CONTEXT:, :WIDTH], both[:, :, WIDTH : 2 * WIDTH], limit)
+            c = np.matmul(a, both[:, :, 2 * WIDTH :], out=self.space("c", len(a), STEP, WIDTH))
+            c /= a @ ONES[:WINDOW]
+            h = np.take(self.tables[1], inputs[:, CONTEXT:], axis=0, out=self.space("h", *targets.shape, HIDDEN), mode="clip").reshape(n, HIDDEN)
+            h += np.matmul(c.reshape(n, WIDTH), w["mix"][WIDTH:-1], out=self.space("hc", n, HIDDEN))
+            np.maximum(h, 0, out=h)
+            h[:, -1] = 1
+            t = targets.reshape(-1)
+            group, place, row = (t // FAN).astype(np.uint8), t % FAN, np.arange(n)
+            top = self.exp(np.matmul(h, w["top"], out=self.space("top", n, FAN)), limit)
+            got = top[row, group] / (top @ ONES[:FAN])[:, 0]
+            order = np.argsort(group, kind="stable")
+            leaf, _ = self.leaves(np.take(h, order, axis=0, out=self.space("hs", n, HIDDEN), mode="clip"), group[order], limit)
+            got[order] *= leaf[row, place[order]] / (leaf @ ONES[:FAN])[:, 0]
+            if not limit and not (got > 0).all():  # some exponential was beyond what a float holds
+                return self.score(inputs, targets, True)
+        return np.log(np.maximum(got, np.float32(1e-37))).reshape(targets.shape)
+
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray, limit: bool = False) -> tuple[float, np.ndarray]:
         """Mean loss of the scored targets and its gradient by all weights."""
-        w, g = self.w, Model(np.zeros(self.SIZE))
-        x, q, k, v, a, total = self.attend(inputs)
-        a /= total
-        c = a @ v
-        xs = np.concatenate([x[scored], c[scored]], 1)
-        z = xs @ w["mix"] + w["mix_bias"]
-        h = np.maximum(z, 0)
-        t = targets[scored]
-        n = len(t)
-        loss, dh = 0.0, np.zeros_like(h)
-
-        def soft(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-            nonlocal loss
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            at = np.arange(len(target)), target
-            loss -= float(np.log(p[at] + 1e-30).sum())
-            p[at] -= 1
-            return p / np.float32(n)
-
-        order = np.argsort(t, kind="stable")
-        for name, shift in (("top", 8), ("middle", 4), ("leaf", 0)):
-            ends = np.searchsorted(t[order] >> (shift + 4), np.arange(len(w[name]) + 1)).tolist()
-            for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
-                if i < j:
-                    at = order[i:j]
-                    d = soft(h[at] @ w[name][b] + w[f"{name}_bias"][b], (t[at] >> shift) & 15)
-                    g.w[name][b], g.w[f"{name}_bias"][b] = h[at].T @ d, d.sum(0)
-                    dh[at] += d @ w[name][b].T
-        dz = dh * (z > 0)
-        g.w["mix"][:], g.w["mix_bias"][:] = xs.T @ dz, dz.sum(0)
-        dxs = dz @ w["mix"].T
-        dx, dc = np.zeros_like(x), np.zeros_like(c)
-        dx[scored], dc[scored] = dxs[:, :WIDTH], dxs[:, WIDTH:]
-        da = dc @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        np.add.at(g.w["distance"], self.gap, ds.sum(0) * (self.mask == 0))
-        scale = np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-        flat = x.reshape(-1, WIDTH)
-        for name, dd in (("query", dq), ("key", dk), ("value", dv)):
-            g.w[name][:] = flat.T @ dd.reshape(-1, WIDTH)
-            dx += dd @ w[name].T
-        np.add.at(g.w["embed"], inputs.reshape(-1), dx.reshape(-1, WIDTH))
-        return loss / max(1, n), g.flat
+        w, flat = self.w, self.space("gradient", self.SIZE)
+        g, many, n = self.named(flat), len(inputs), targets.size
+        space, t, row = self.space, targets.reshape(-1), np.arange(targets.size)
+        group, place, blank = (t // FAN).astype(np.uint8), t % FAN, np.flatnonzero(~scored.reshape(-1))
+        self.tables = None
+
+        def soft(p: np.ndarray, target: np.ndarray, blank: np.ndarray) -> float:
+            """Exponentials become the gradient of the summed loss by logits, in place."""
+            p /= p @ ONES[:FAN]
+            right = p[row, target]
+            right[blank] = 1
+            p[row, target] -= 1
+            p[blank] = 0
+            return -float(np.log(right).sum())
+
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            x = np.take(w["embed"], inputs, axis=0, out=space("x", many, WINDOW, WIDTH), mode="clip")
+            both = np.matmul(x.reshape(-1, WIDTH), w["attend"], out=space("both2", many * WINDOW, 3 * WIDTH)).reshape(many, WINDOW, 3 * WIDTH)
+            q, k, v = both[:, CONTEXT:, :WIDTH], both[:, :, WIDTH : 2 * WIDTH], both[:, :, 2 * WIDTH :]
+            a = self.looks(q, k, limit)
+            a /= a @ ONES[:WINDOW]
+            xs = space("xs", many, STEP, 2 * WIDTH + 1)
+            xs[:, :, :WIDTH], xs[:, :, -1] = x[:, CONTEXT:], 1
+            xs[:, :, WIDTH:-1] = np.matmul(a, v, out=space("c", many, STEP, WIDTH))
+            xs = xs.reshape(n, -1)
+            h = np.matmul(xs, w["mix"], out=space("h2", n, HIDDEN))
+            np.maximum(h, 0, out=h)
+            h[:, -1] = 1
+            top = self.exp(np.matmul(h, w["top"], out=space("top", n, FAN)), limit)
+            loss = soft(top, group, blank)
+            order = np.argsort(group, kind="stable")
+            hs = np.take(h, order, axis=0, out=space("hs", n, HIDDEN), mode="clip")
+            leaf, parts = self.leaves(hs, group[order], limit)
+            loss += soft(leaf, place[order], np.flatnonzero(~scored.reshape(-1)[order]))
+        if not limit and not math.isfinite(loss):
+            return self.gradient(inputs, targets, scored, True)
+        np.matmul(h.T, top, out=g["top"])
+        dh, back = np.matmul(top, w["top"].T, out=space("dh", n, HIDDEN)), space("back", n, HIDDEN)
+        g["leaf"][:] = 0
+        for b, i, j in parts:
+            np.matmul(hs[i:j].T, leaf[i:j], out=g["leaf"][b])
+            np.matmul(leaf[i:j], w["leaf"][b].T, out=back[i:j])
+        dh[order] += back
+        dh *= h > 0
+        dh[:, -1] = 0
+        np.matmul(xs.T, dh, out=g["mix"])
+        dxs = np.matmul(dh, w["mix"].T, out=space("dxs", n, 2 * WIDTH + 1)).reshape(many, STEP, -1)
+        dc = dxs[:, :, WIDTH:-1]
+        da = np.matmul(dc, v.transpose(0, 2, 1), out=space("da", many, STEP, WINDOW))
+        da -= np.multiply(da, a, out=space("daa", many, STEP, WINDOW)) @ ONES[:WINDOW]
+        da *= a
+        g["distance"][:] = np.bincount(self.GAP[self.SEEN], (np.ones(many, np.float32) @ da.reshape(many, -1)).reshape(STEP, WINDOW)[self.SEEN], WINDOW)
+        dboth = space("dboth", many, WINDOW, 3 * WIDTH)
+        dboth[:, :CONTEXT, :WIDTH] = 0
+        dboth[:, CONTEXT:, :WIDTH] = da @ k
+        dboth[:, :, WIDTH : 2 * WIDTH] = da.transpose(0, 2, 1) @ q
+        dboth[:, :, 2 * WIDTH :] = a.transpose(0, 2, 1) @ dc
+        dboth = dboth.reshape(-1, 3 * WIDTH)
+        np.matmul(x.reshape(-1, WIDTH).T, dboth, out=g["attend"])
+        dx = np.matmul(dboth, w["attend"].T, out=space("dx", many * WINDOW, WIDTH)).reshape(x.shape)
+        dx[:, CONTEXT:] += dxs[:, :, :WIDTH]
+        ids = inputs.reshape(-1)
+        by_id = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[by_id], prepend=-1))
+        g["embed"][:] = 0
+        g["embed"][ids[by_id[first]]] = np.add.reduceat(dx.reshape(-1, WIDTH)[by_id], first)
+        flat *= np.float32(1 / (n - len(blank)))
+        return loss / (n - len(blank)), flat
 
 
 class Trainer:
@@ -223,29 +284,34 @@ class Trainer:
         loss, g = self.model.gradient(*batch)
         self.t += 1
         self.m += np.float32(0.1) * (g - self.m)
-        self.v += np.float32(0.01) * (g * g - self.v)
-        rate = self.rate * min(1.0, self.t / 20)
-        self.model.flat -= np.float32(rate) * (self.m / np.float32(1 - 0.9**self.t)) / (np.sqrt(self.v / np.float32(1 - 0.99**self.t)) + np.float32(1e-7))
+        np.multiply(g, g, out=g)
+        g -= self.v
+        self.v += np.float32(0.01) * g
+        rate = self.rate * min(1.0, self.t / 20) * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        np.sqrt(self.v, out=g)
+        g += np.float32(1e-7)
+        np.divide(self.m, g, out=g)
+        g *= np.float32(rate)
+        self.model.flat -= g
         return loss
 
+    def learn(self, texts: list[np.ndarray]) -> int:
+        """A step for every BATCH windows of the texts, which are taken in a seeded random order; how many windows there were."""
+        all_ = Windows(texts)
+        order = np.random.default_rng(len(all_)).permutation(len(all_))
+        for i in range(0, len(order), BATCH):
+            self.step(all_.block(order[i : i + BATCH]))
+        return len(all_)
+
 
-def batches_of(texts: list[np.ndarray], most: int) -> Iterator[tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[int]]]:
-    """Windows of consecutive texts, about `most` a batch, with the number of scored ids of each text; a long text spans batches."""
-    held, counts, size = [], [], 0
-    for ids in texts:
-        i, t, s = windows(ids)
-        for a in range(0, len(i), most):
-            held.append((i[a : a + most], t[a : a + most], s[a : a + most]))
-            counts.append(int(s[a : a + most].sum()))
-            size += len(held[-1][0])
-            if size >= most:
-                yield tuple(map(np.concatenate, zip(*held, strict=True))), counts
-                held, counts, size = [], [], 0
-            elif a + most < len(i):
-                raise AssertionError
-        counts.append(-1)  # the text ends here
-    if held or counts:
-        yield (tuple(map(np.concatenate, zip(*held, strict=True))) if held else None), counts
+def score_texts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of each text."""
+    all_ = Windows(texts)
+    sums = np.empty(len(all_))
+    for i in range(0, len(all_), BLOCK):
+        inputs, targets, scored = all_.block(slice(i, i + BLOCK))
+        sums[i : i + BLOCK] = (model.score(inputs, targets) * scored).sum(1, dtype=np.float64)
+    return np.add.reduceat(sums, np.cumsum(all_.counts) - all_.counts) / math.log(10)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -273,10 +339,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def subword_frequency(counts: DataFrame, ranks: dict[bytes, int]) -> np.ndarray:
     """How often each id occurs in the training part, from its word counts: VOCABULARY sums."""
-    sent = counts.sparkSession.sparkContext.broadcast(ranks)
+    sent = counts.sparkSession.sparkContext.broadcast((ranks, bpe.digest(ranks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        sub, sums = subwords(sent.value), np.zeros(VOCABULARY, np.int64)
+        sub, sums = subwords(*sent.value), np.zeros(VOCABULARY, np.int64)
         for batch in batches:
             ids = sub.encode([[w] for w in batch.column(0).to_pylist()])
             if ids:
@@ -289,14 +355,15 @@ def subword_frequency(counts: DataFrame, ranks: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-_SUB: list = []
+_SUB: dict[str, Subwords] = {}
 
 
-def subwords(ranks: dict[bytes, int]) -> Subwords:
-    """One for each worker process."""
-    if not _SUB:
-        _SUB.append(Subwords(ranks))
-    return _SUB[0]
+def subwords(ranks: dict[bytes, int], key: str) -> Subwords:
+    """One for each worker process and vocabulary; key: its digest."""
+    if key not in _SUB:
+        _SUB.clear()
+        _SUB[key] = Subwords(ranks)
+    return _SUB[key]
 
 
 def averaged(copies: DataFrame) -> np.ndarray | None:
@@ -325,22 +392,17 @@ def of_round(docs: DataFrame, r: int, rounds: int) -> DataFrame:
 
 def train(docs: DataFrame, ranks: dict[bytes, int], frequency: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Weights after `rounds` of local training, which take in every document once, and averaging."""
-    model = Model.start(frequency)
+    model, key = Model.start(frequency), bpe.digest(ranks)
     for r in range(rounds):
-        sent = docs.sparkSession.sparkContext.broadcast((ranks, model.flat, RATE / (1 + r)))
+        sent = docs.sparkSession.sparkContext.broadcast((ranks, key, model.flat, RATE / (1 + r)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[dict]:
-            ranks, flat, rate = sent.value
-            sub, own, seen = subwords(ranks), Model(flat), 0
-            trainer = Trainer(own, rate)
+            ranks, key, flat, rate = sent.value
+            sub, trainer, seen = subwords(ranks, key), Trainer(Model(flat), rate), 0
             for batch in common.by_size(batches, 1, 1 << 20):
-                ids = sub.encode([[*words_of(t), END_WORD] for t in batch.column(1).to_pylist()])
-                for win, _ in batches_of(ids, 64):
-                    if win is not None:
-                        trainer.step(win)
-                        seen += len(win[0])
+                seen += trainer.learn(sub.encode([[*words_of(t), END_WORD] for t in batch.column(1).to_pylist()]))
             if seen:
-                yield {"n": [seen], "w": [own.flat.tobytes()]}
+                yield {"n": [seen], "w": [trainer.model.flat.tobytes()]}
 
         mean = averaged(common.arrow_map(of_round(docs, r, rounds), run, "n long, w binary"))
         if mean is not None:
@@ -350,32 +412,20 @@ def train(docs: DataFrame, ranks: dict[bytes, int], frequency: np.ndarray, round
 
 def scores(docs: DataFrame, ranks: dict[bytes, int], model: Model, frequent: dict[bytes, int]) -> DataFrame:
     """For every row: tokens, the model's score, and the base sums of frequent words; other words and their counts are listed."""
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, model.flat, {w: math.log10(c + 1) for w, c in frequent.items()}))
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, bpe.digest(ranks), model.flat, {w: math.log10(c + 1) for w, c in frequent.items()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        ranks, flat, logs = sent.value
-        sub, model = subwords(ranks), Model(flat)
-        for batch in common.by_size(batches, 1, 2 << 20):
+        ranks, key, flat, logs = sent.value
+        sub, model = subwords(ranks, key), Model(flat)
+        for batch in common.by_size(batches, 1, 1 << 20):
             texts = [[*words_of(t), END_WORD] for t in batch.column(1).to_pylist()]
             sums, n_known, rare = [], [], []
             for ws in texts:
-                found = list(map(logs.get, ws))
-                own = [x for x in found if x is not None]
-                sums.append(math.fsum(own))
-                n_known.append(len(own))
-                rare.append([w for w, x in zip(ws, found, strict=True) if x is None])
-            score, total = [], 0.0
-            for win, counts in batches_of(sub.encode(texts), 768):
-                got = model.score(*win) if win is not None else np.zeros(0)
-                at = 0
-                for c in counts:
-                    if c < 0:
-                        score.append(total / math.log(10))
-                        total = 0.0
-                    else:
-                        total += float(got[at : at + c].sum(dtype=np.float64))
-                        at += c
-            yield {"doc_id": batch.column(0), "n_tokens": [len(ws) for ws in texts], "score": score, "base": sums, "known": n_known, "rare": rare}
+                found = list(map(logs.get, ws, repeat(0.0)))  # no logarithm of a count and one is zero
+                sums.append(math.fsum(found))
+                n_known.append(len(ws) - found.count(0.0))
+                rare.append([w for w, x in zip(ws, found, strict=True) if not x] if n_known[-1] < len(ws) else [])
+            yield {"doc_id": batch.column(0), "n_tokens": [len(ws) for ws in texts], "score": score_texts(model, sub.encode(texts)), "base": sums, "known": n_known, "rare": rare}
 
     return common.arrow_map(docs, run, "doc_id long, n_tokens long, score double, base double, known long, rare array<binary>")
 

@@ -244,21 +244,23 @@ def test_stages_with_odd_rows(spark, sf):
 
 
 def test_windows_score_each_token_once():
-    for n in (1, 2, 31, 32, 33, 56, 57, 200):
-        ids = np.arange(n)
-        inputs, targets, scored = attention.windows(ids)
-        assert targets[scored].tolist() == ids.tolist()
-        assert inputs[scored].tolist() == [attention.END, *ids[:-1].tolist()]
-        assert scored[1:, : attention.CONTEXT].sum() == 0
+    texts = [np.append(np.arange(n - 1), attention.END).astype("<u2") for n in (1, 2, 23, 24, 25, 48, 49, 200)]
+    found = attention.Windows(texts)
+    inputs, targets, scored = found.block(slice(None))
+    assert targets[scored].tolist() == np.concatenate(texts).tolist()
+    want = np.concatenate([[attention.END, *x[:-1]] for x in texts])
+    assert inputs[:, attention.CONTEXT :][scored].tolist() == want.tolist()
+    last = inputs[-1][: attention.CONTEXT + 1]
+    assert last.tolist() == texts[-1][192 - 9 : 192].tolist()
 
 
 def test_gradient_and_score():
     rng = np.random.default_rng(0)
     m = attention.Model.start(np.ones(attention.VOCABULARY))
-    batch = attention.windows(rng.integers(0, 4000, 70))
+    batch = attention.Windows([rng.integers(0, attention.END, n).astype("<u2") for n in (70, 5)]).block(slice(None))
     loss, g = m.gradient(*batch)
-    assert abs(-m.score(*batch).mean() - loss) < 1e-4
-    g = attention.Model(g)
+    assert abs(-m.score(*batch[:2])[batch[2]].mean() - loss) < 1e-4
+    g = attention.Model(g.copy())
     for name in m.SHAPES:
         at = np.unravel_index(np.abs(g.w[name]).argmax(), g.w[name].shape)
         old, e = m.w[name][at], 1e-2
@@ -273,14 +275,46 @@ def test_gradient_and_score():
 def test_probabilities_sum_to_one():
     m = attention.Model.start(np.random.default_rng(1).random(attention.VOCABULARY))
     m.flat += np.random.default_rng(2).standard_normal(m.SIZE).astype(np.float32) * 0.1
-    inputs, targets, scored = attention.windows(np.array([5, 77, attention.END]))
+    inputs, targets, _ = attention.Windows([np.array([5, 77, attention.END], "<u2")]).block(slice(None))
     total = 0.0
     for t in range(0, attention.VOCABULARY):
         targets[0, 1] = t
-        total += math.exp(m.score(inputs, targets, scored)[1])
+        total += math.exp(m.score(inputs, targets)[0, 1])
     assert abs(total - 1) < 1e-3
 
 
+def plain_score(m, ids):
+    """log10 probability of one text, token by token, in float64 and without batches."""
+    w = {k: x.astype(float) for k, x in m.w.items()}
+    d, total = attention.WIDTH, 0.0
+    before = [attention.END] * (attention.CONTEXT + 1)
+    seq = before + list(ids)
+    for p, t in enumerate(ids):
+        first = p // attention.STEP * attention.STEP  # where the window's inputs begin, in seq
+        seen = seq[first : p + len(before)]
+        x = [w["embed"][i] for i in seen]
+        proj = [e @ w["attend"] for e in x]
+        q = proj[-1][:d]
+        s = np.array([q @ y[d : 2 * d] + w["distance"][len(seen) - 1 - i] for i, y in enumerate(proj)])
+        a = np.exp(s) / np.exp(s).sum()
+        c = sum(k * y[2 * d :] for k, y in zip(a, proj, strict=True))
+        h = np.maximum(np.concatenate([x[-1], c, [1.0]]) @ w["mix"], 0)
+        h[-1] = 1
+        group, place = divmod(int(t), attention.FAN)
+        for logits, k in ((h @ w["top"], group), (h @ w["leaf"][group], place)):
+            total += logits[k] - math.log(np.exp(logits).sum())
+    return total / math.log(10)
+
+
+def test_score_equals_plain_attention():
+    rng = np.random.default_rng(3)
+    m = attention.Model.start(rng.random(attention.VOCABULARY))
+    m.flat += rng.standard_normal(m.SIZE).astype(np.float32) * 0.1
+    texts = [np.append(rng.integers(0, attention.END, n), attention.END).astype("<u2") for n in (0, 1, 30, 31, 32, 100, 500)]
+    for got, ids in zip(attention.score_texts(m, texts), texts, strict=True):
+        assert abs(got - plain_score(m, ids)) < 1e-4 * len(ids)
+
+
 def test_base_score_and_odd_rows(spark, sf):
     rows = [(r.doc_id, r.text) for r in common.documents(spark, sf).collect()] + [(7000, None), (7001, ""), (7001, ""), (7002, "THE the É é\x0b" * 3)]
     words = lambda t: [*(t or "").encode().lower().split(), b"\n"]
@@ -306,14 +340,18 @@ def test_rare_words_are_joined(spark, sf, monkeypatch):
         assert abs(r.base_score - want[r.doc_id]) < 1e-7 * abs(want[r.doc_id])
 
 
-def test_training_lowers_the_loss(spark):
+def test_the_model_is_trained(spark):
+    """Held-out text scores far above subword frequencies, on a small table too."""
+    docs = common.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text")
     ranks = {t: r for t, r in bpe.vocabulary()[0].items() if r < attention.END}
-    texts = [r.text for r in common.documents(spark, "/root/testdata/sf0.01").limit(60).collect()]
-    ids = attention.Subwords(ranks).encode([[*attention.words_of(t), attention.END_WORD] for t in texts])
-    model = attention.Model.start(np.bincount(np.concatenate(ids), minlength=attention.VOCABULARY))
-    trainer = attention.Trainer(model, attention.RATE)
-    losses = [trainer.step(b) for _ in range(2) for b, _ in attention.batches_of(ids, 64) if b is not None]
-    assert np.mean(losses[-5:]) < np.mean(losses[:5]) - 0.2
+    out = common.held_out("doc_id", 7, 2)
+    frequency = attention.subword_frequency(attention.word_counts(docs.where(~out)), ranks)
+    model = attention.train(docs.where(~out), ranks, frequency)
+    words = [[*attention.words_of(r.text), attention.END_WORD] for r in docs.where(out).collect()]
+    ids = attention.Subwords(ranks).encode(words)
+    n = sum(map(len, words))
+    plain = np.log10((frequency + 0.1) / (frequency + 0.1).sum())
+    assert attention.score_texts(model, ids).sum() / n > sum(plain[x].sum() for x in ids) / n + 1.5
 
 
 def test_every_document_trains(spark, sf):
