@@ -48,9 +48,24 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodegraph_path = path
+    _TABLES.append(out)
     return out
 
 
+#: Tables that stored() wrote and that are still there.
+_TABLES: list[DataFrame] = []
+
+
+def so_far() -> int:
+    """A mark for drop_since()."""
+    return len(_TABLES)
+
+
+def drop_since(mark: int, *keep: DataFrame) -> None:
+    """Delete the tables that were stored after a mark, but for those that are still read."""
+    drop(*[t for t in _TABLES[mark:] if all(t is not k for k in keep)])
+
+
 def fresh(columns: Iterable[str], name: str) -> str:
     """A name that none of the columns has, whatever their case."""
     taken = {c.lower() for c in columns}
@@ -70,6 +85,7 @@ def drop(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._lodegraph_path)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _TABLES[:] = [t for t in _TABLES if t is not df]
     if tables:
         free(tables[0].sparkSession)
 

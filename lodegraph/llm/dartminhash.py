@@ -251,7 +251,7 @@ def across(bucket: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, th, class_id (smallest doc_id of the group), w_id and w_th (its first row) of every row; all but doc_id and th null without words."""
-    source = keyed(docs)
+    mark, source = common.so_far(), keyed(docs)
     rows = common.stored(sketch(source), "sketch")
     # one row for each distinct weighted set, with its first row
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
@@ -262,7 +262,7 @@ def classes(docs: DataFrame) -> DataFrame:
     bucket = common.stored(members.join(shared, "key"), "buckets")
     # who meets the most others is the likely origin of a group of copies, and leads
     mass = common.stored(bucket.groupBy("id").agg(F.sum("m").alias("mass")), "mass")
-    lead = bucket.join(mass, "id").groupBy("key").agg(F.max(F.struct("mass", "id", "n")).alias("l")).select("key", F.col("l.id").alias("lead"), F.col("l.n").alias("ln"))
+    lead = common.stored(bucket.join(mass, "id").groupBy("key").agg(F.max(F.struct("mass", "id", "n")).alias("l")).select("key", F.col("l.id").alias("lead"), F.col("l.n").alias("ln")), "leaders")
     close = F.least("n", "ln") >= THRESHOLD * F.greatest("n", "ln")  # else the sets can't be as like
     pairs = bucket.join(lead, "key").where((F.col("id") != F.col("lead")) & close).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     heads = mass.select("id").join(texts.select("id", "first"), "id").select("id", F.col("first.doc_id").alias("h_id"), F.col("first.th").alias("h_th"))
@@ -276,6 +276,7 @@ def classes(docs: DataFrame) -> DataFrame:
     firsts = texts.select("k", "id", "first").join(labels, "id", "left").select("k", "first", F.coalesce("c", "id").alias("c"))
     ids = firsts.groupBy("c").agg(F.min("first").alias("w"))
     named = common.stored(firsts.join(ids, "c").select("k", F.col("w.doc_id").alias("class_id"), F.col("w.doc_id").alias("w_id"), F.col("w.th").alias("w_th")), "named")
+    common.drop_since(mark, rows, named)
     return rows.join(named, "k", "left").select("doc_id", "th", "class_id", "w_id", "w_th")
 
 
@@ -294,15 +295,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows go one by one, by doc_id and text: another text under the same doc_id
     stays. Rows without a word stay all.
     """
-    found = common.stored(classes(docs.select("doc_id", "text")).where("w_th is not null"), "classes")
+    mark = common.so_far()
+    found = classes(docs.select("doc_id", "text")).where("w_th is not null")
     wins = (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))
-    judged = found.groupBy("doc_id", "th").agg(F.max(wins).alias("wins"), F.count("*").alias("times")).where("not wins or times > 1")
     th, g_id, g_th, wins_, times = (common.fresh(docs.columns, x) for x in ("th", "g_id", "g_th", "wins", "times"))
-    judged = judged.toDF(g_id, g_th, wins_, times)
-    both = docs.withColumn(th, F.xxhash64(F.col("text").cast("string"))).join(judged, (F.col(th) == F.col(g_th)) & F.col("doc_id").cast("long").eqNullSafe(F.col(g_id)), "left")
-    both = common.stored(both.where(F.coalesce(F.col(wins_), F.lit(True))), "kept")
-    again = both.where(F.col(times) > 1)
-    alone = both.where(F.col(times).isNull()).select(*docs.columns)
+    judged = common.stored(found.groupBy("doc_id", "th").agg(F.max(wins).alias("wins"), F.count("*").alias("times")).where("not wins or times > 1").toDF(g_id, g_th, wins_, times), "judged")
+    common.drop_since(mark, judged)
+    rows = docs.withColumn(th, F.xxhash64(F.col("text").cast("string")))
+    same = (F.col(th) == F.col(g_th)) & F.col("doc_id").cast("long").eqNullSafe(F.col(g_id))
+    alone = rows.join(judged, same, "left_anti").select(*docs.columns)
+    again = judged.where(F.col(wins_))
     if again.isEmpty():
         return alone
-    return alone.unionByName(again.dropDuplicates([th, "doc_id"]).select(*docs.columns))
+    return alone.unionByName(rows.join(again, same, "left_semi").dropDuplicates([th, "doc_id"]).select(*docs.columns))
