@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Extensions and the languages they name.
+# The extensions that are searched, and the languages they name.
 LANGUAGES = {
-    "rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "c": "c", "h": "c",
-    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala",
-    "sh": "shell", "bash": "shell", "zsh": "shell", "sql": "sql", "md": "markdown", "yaml": "yaml", "yml": "yaml", "toml": "toml", "json": "json", "lua": "lua",
-    "r": "r", "ex": "elixir", "exs": "elixir", "erl": "erlang", "hs": "haskell", "ml": "ocaml", "vue": "vue", "svelte": "svelte",
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "pyi": "python",
+    "rs": "rust", "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "rb": "ruby", "php": "php", "c": "c", "h": "c",
+    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "cs": "csharp", "swift": "swift", "ex": "elixir", "exs": "elixir", "erl": "erlang", "hrl": "erlang",
+    "hs": "haskell", "ml": "ocaml", "mli": "ocaml", "lua": "lua", "sh": "shell", "bash": "shell", "zsh": "shell", "sql": "sql", "vue": "vue", "svelte": "svelte",
+    "md": "markdown", "yaml": "yaml", "yml": "yaml", "toml": "toml", "json": "json",
+}
+# The extensions that the code graph knows, and the languages they name.
+TRACE_LANGUAGES = {
+    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "py": "python", "pyi": "python", "rs": "rust", "go": "go", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "cxx": "cpp", "java": "java", "rb": "ruby",
+    "php": "php", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "cs": "csharp", "lua": "lua", "sh": "bash", "bash": "bash", "zsh": "bash", "json": "json",
+    "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "css": "css", "scss": "css", "sass": "css", "less": "css",
+    "sql": "sql", "zig": "zig", "ex": "elixir", "exs": "elixir", "erl": "erlang", "hrl": "erlang", "hs": "haskell", "lhs": "haskell", "ml": "ocaml", "mli": "ocaml",
+    "scala": "scala", "sc": "scala", "clj": "clojure", "cljs": "clojure", "cljc": "clojure", "v": "verilog", "vh": "verilog", "svelte": "svelte", "vue": "vue",
 }
-TRACE_LANGUAGES = {k: ("bash" if v == "shell" else v) for k, v in LANGUAGES.items() if v not in ("markdown", "yaml", "toml", "json")} | {"mts": "typescript", "cts": "typescript", "mjs": "javascript", "cjs": "javascript", "html": "html", "css": "css", "zig": "zig", "clj": "clojure", "v": "verilog"}
+# Searched by the library's walk, not by the index command's.
 DOCUMENTS = ("md", "yaml", "yml", "toml", "json")
-IGNORED = ("node_modules", ".git", "target", "dist", "build", "__pycache__", ".venv", "vendor")
-#: Marker files in order of priority, and the type of project they name.
-MARKERS = {"Cargo.toml": "rust", "package.json": "node", "pyproject.toml": "python", "setup.py": "python", "requirements.txt": "python", "go.mod": "go", "pom.xml": "java", "build.gradle": "java", "Gemfile": "ruby", "composer.json": "php", "mix.exs": "elixir", "CMakeLists.txt": "cpp", "Makefile": "make", ".git": "git"}
+# Ignored unless told otherwise.
+IGNORED = ("node_modules", ".git", "dist", "build", "__pycache__", "*.min.js", "*.map")
+# Files that mark the root of a project, in order of priority, and the type that they name. The engine's own mark stands first.
+MARKERS = {
+    ".lodegraph": "lodegraph", ".git": "git", "package.json": "nodejs", "Cargo.toml": "rust", "pyproject.toml": "python", "setup.py": "python", "go.mod": "go", "pom.xml": "java", "build.gradle": "java",
+    "Gemfile": "ruby", "composer.json": "php", "mix.exs": "elixir", "deno.json": "deno", "bun.lockb": "bun",
+}
 
 
 def extension(path: Column) -> Column:
@@ -48,8 +64,11 @@ def ignored(path: Column, patterns: list[str] | tuple[str, ...] = IGNORED) -> Co
     return hit
 
 
+HIDDEN = re.compile(r"(^|/)\.[^/.]")
+
+
 def hidden(path: Column) -> Column:
-    return path.rlike(r"(^|/)\.[^/.]")
+    return path.rlike(HIDDEN.pattern)
 
 
 def project_types(entries: DataFrame) -> DataFrame:

@@ -24,6 +24,12 @@ def symbol_rows(symbols: DataFrame, edges: DataFrame, refs: DataFrame, files: Da
     return out.na.fill(0, ["refs", "callers", "callees"]).na.fill(False, ["dead"])
 
 
+def with_cycles(rows: DataFrame, cycles: DataFrame) -> DataFrame:
+    """Rows with in_cycle: whether a symbol's file is in a cycle of files."""
+    c = cycles.select(F.col("node").alias("file_id"), F.lit(True).alias("in_cycle")).distinct()
+    return rows.join(c, "file_id", "left").na.fill(False, ["in_cycle"])
+
+
 def symbol_list(rows: DataFrame, kind: str | None = None, state: str | None = None, search: str | None = None, limit: int = 200) -> DataFrame:
     if kind:
         rows = rows.where(F.col("kind") == kind)
@@ -41,12 +47,14 @@ def cross_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "from_symbol").join(b, "to_symbol").where("from_file <> to_file").select("from_file", "to_file")
 
 
-def file_nodes(rows: DataFrame, cross: DataFrame, cycles: DataFrame, limit: int = 100) -> DataFrame:
-    """A row for each file with symbols: symbols, dead, imports, exports, in_cycle; the largest `limit`."""
+def file_nodes(rows: DataFrame, cross: DataFrame, cycles: DataFrame, limit: int = 100, state: str | None = None) -> DataFrame:
+    """A row for each file with symbols: symbols, dead, imports, exports, in_cycle; with dead ones or in a cycle only, if a state says so; the largest `limit`."""
     n = rows.groupBy("file_id", "path").agg(F.count("*").alias("symbols"), F.count_if("dead").alias("dead"), F.count_if("is_entry").alias("exports"))
     i = cross.groupBy(F.col("from_file").alias("file_id")).agg(F.count("*").alias("imports"))
     c = cycles.select(F.col("node").alias("file_id"), F.lit(True).alias("in_cycle"))
-    return n.join(i, "file_id", "left").join(c, "file_id", "left").na.fill(0, ["imports"]).na.fill(False, ["in_cycle"]).orderBy(F.desc("symbols"), "file_id").limit(limit)
+    out = n.join(i, "file_id", "left").join(c, "file_id", "left").na.fill(0, ["imports"]).na.fill(False, ["in_cycle"])
+    out = out.where("dead > 0") if state == "dead" else out.where("in_cycle") if state == "cycle" else out
+    return out.orderBy(F.desc("symbols"), "file_id").limit(limit)
 
 
 def file_links(cross: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -72,6 +80,13 @@ def rollup(rows: DataFrame, cycles: DataFrame, base: str | None = None) -> DataF
     return out.select("path", F.size(F.split("path", "/")).alias("depth"), "value", "dead", "files", "in_cycle", F.floor(100 * (F.col("value") - F.col("dead")) / F.col("value")).alias("health"))
 
 
+def totals(rows: DataFrame, cycles: DataFrame) -> DataFrame:
+    """files, symbols, dead, cycle_files, health over everything, in one pass."""
+    f = with_cycles(rows, cycles)
+    out = f.agg(F.count_distinct("file_id").alias("files"), F.count("*").alias("symbols"), F.count_if("dead").alias("dead"), F.count_distinct(F.when(F.col("in_cycle"), F.col("file_id"))).alias("cycle_files"))
+    return out.withColumn("health", F.floor(100 * (F.col("symbols") - F.col("dead")) / F.col("symbols")))
+
+
 def nested(rows: list[dict], root: str = "") -> list[dict]:
     """Roll-up rows as a tree: directories first, then by name without case. For output on the driver."""
     by_parent: dict[str, list[dict]] = {}
@@ -94,15 +109,32 @@ def health(rows: DataFrame, worst: int = 5, least: int = 3) -> DataFrame:
 
 
 def connections(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """from_symbol, to_symbol, count, files: call sites between two symbols and the files they stand in."""
-    s = symbols.select(F.col("symbol_id").alias("from_symbol"), "file_id")
-    return edges.join(s, "from_symbol").groupBy("from_symbol", "to_symbol").agg(F.count("*").alias("count"), F.count_distinct("file_id").alias("files"))
+    """from, to, kind, count, files: links between two names and the files they stand in. Links without a kind are calls."""
+    kind = F.col("kind") if "kind" in edges.columns else F.lit("call")
+    e = edges.select("from_symbol", "to_symbol", kind.alias("kind"))
+    a, b = symbols.select(F.col("symbol_id").alias("from_symbol"), F.col("name").alias("from"), "file_id"), symbols.select(F.col("symbol_id").alias("to_symbol"), F.col("name").alias("to"))
+    return e.join(a, "from_symbol").join(b, "to_symbol").groupBy("from", "to", "kind").agg(F.count("*").alias("count"), F.count_distinct("file_id").alias("files"))
+
+
+def loose_connections(rows: DataFrame) -> DataFrame:
+    """The connections where no links are known: from, to, kind, count, files by the first symbol of each name that has callers or callees."""
+    r = rows.where("callers > 0 or callees > 0").groupBy("name").agg(F.min_by(F.col("callers") + F.col("callees"), "symbol_id").alias("count"))
+    return r.select(F.col("name").alias("from"), F.lit("(various)").alias("to"), F.lit("reference").alias("kind"), "count", F.lit(1).cast("long").alias("files"))
+
+
+def sorted_table(df: DataFrame, column: str, numeric: bool, descending: bool = False, key: str = "symbol_id") -> DataFrame:
+    """Rows by a column, numbers as such and text without case, ties by key."""
+    c = F.col(column) if numeric else F.lower(F.col(column).cast("string"))
+    return df.orderBy(c.desc() if descending else c.asc(), key)
 
 
-def matrix(cross: DataFrame, first: int = 40) -> DataFrame:
-    """a, b, w: symmetric weights between the first files."""
-    both = cross.toDF("a", "b").unionByName(cross.select(F.col("to_file").alias("a"), F.col("from_file").alias("b")))
-    return both.where((F.col("a") < first) & (F.col("b") < first)).groupBy("a", "b").agg(F.count("*").alias("w"))
+def matrix(cross: DataFrame, nodes: DataFrame, first: int = 40) -> DataFrame:
+    """a, b, w: symmetric weights between the first `first` nodes of the file graph, in its order (most symbols, then id)."""
+    kept = F.broadcast(nodes.orderBy(F.desc("symbols"), "file_id").limit(first).select("file_id"))  # at most `first` rows
+    e = cross.join(kept.withColumnRenamed("file_id", "from_file"), "from_file", "left_semi").join(kept.withColumnRenamed("file_id", "to_file"), "to_file", "left_semi")
+    e = e.groupBy("from_file", "to_file").agg(F.count("*").alias("w"))
+    both = e.toDF("a", "b", "w").unionByName(e.toDF("b", "a", "w"))
+    return both.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
 def roles(cross: DataFrame, most: int = 20) -> DataFrame:
@@ -115,6 +147,18 @@ def roles(cross: DataFrame, most: int = 20) -> DataFrame:
     return d.withColumn("role", role).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("file", "role", "n_in", "n_out")
 
 
+COLUMNS = ("entry", "internal", "leaf")
+
+
+def role_links(cross: DataFrame, kept: DataFrame) -> DataFrame:
+    """from_file, to_file, weight between kept files (file, role) whose roles stand beside each other."""
+    at = F.array_position(F.array(*map(F.lit, COLUMNS)), F.col("role"))
+    k = kept.select("file", at.alias("at"))
+    e = cross.groupBy("from_file", "to_file").agg(F.count("*").alias("weight"))
+    both = e.join(k.toDF("from_file", "x"), "from_file").join(k.toDF("to_file", "y"), "to_file")
+    return both.where(F.abs(F.col("x") - F.col("y")) == 1).select("from_file", "to_file", "weight")
+
+
 def severity(size: Column) -> Column:
     return F.when(size > 5, "critical").when(size > 3, "high").otherwise("medium")
 
@@ -128,6 +172,20 @@ def cycles_table(found: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.select("component", "size", severity(F.col("size")).alias("severity"), F.array_join(F.transform("m", lambda x: x["node"].cast("string")), ",").alias("members"), F.array_join(F.transform("m", lambda x: x["shown"]), ",").alias("display"))
 
 
+def ordered_cycles(table: DataFrame, by: str = "size") -> DataFrame:
+    """Rows of cycles_table by size, number of files, or the first symbol's name."""
+    first = F.substring_index("display", ",", 1)
+    order = {"size": F.desc("size"), "files": F.desc(F.size(F.array_distinct(F.split("members", ",")))), "alpha": F.lower(first).asc()}[by]
+    return table.orderBy(order, "component")
+
+
+def detail(refs: DataFrame, tokens: DataFrame, symbol_id: int, most: int = 20) -> DataFrame:
+    """kind, n, files: the first `most` references to a symbol by kind, and the files that all of its references of the kind stand in."""
+    r = refs.where(F.col("symbol_id") == symbol_id).select("token_id", F.col("kind").alias("rkind")).join(tokens.select("token_id", "file_id", "line"), "token_id")
+    files = r.groupBy("rkind").agg(F.count_distinct("file_id").alias("files"))
+    return r.orderBy("file_id", "line", "token_id").limit(most).groupBy("rkind").agg(F.count("*").alias("n")).join(files, "rkind").select(F.col("rkind").alias("kind"), "n", "files")
+
+
 # -- query language -----------------------------------------------------------
 
 KINDS = {"function", "method", "class", "struct", "enum", "interface", "type", "constant", "variable", "module"}
@@ -157,7 +215,7 @@ def parse(query: str) -> dict:
             if value.lower() in KINDS:
                 f.setdefault("kinds", []).append(value.lower())
         elif key == "state":
-            if value in ("dead", "used", "cycle"):
+            if value in ("dead", "used", "cycle", "entry"):
                 f["state"] = value
         elif key == "file":
             f["file"] = value
@@ -174,8 +232,26 @@ def parse(query: str) -> dict:
     return f
 
 
+# Search lines that are kept ready.
+PRESETS = {"dead": "state:dead", "cycles": "state:cycle", "entry points": "entry:true", "most used": "refs:>10"}
+
+
+def to_query(f: dict) -> str:
+    """The search line of filters, as parse() gives them. Upper bounds of references and entry:false have no form, and go."""
+    out = [f"kind:{k}" for k in f.get("kinds", [])]
+    out += [f"state:{f['state']}"] if f.get("state") else []
+    out += [f"file:{f['file']}"] if f.get("file") else []
+    low, high = f.get("refs", (None, None))
+    out += [f"refs:{low}"] if low is not None and low == high else [f"refs:>{low}"] if low is not None else []
+    for key in ("callers", "callees"):
+        if f.get(key, (None, None))[0]:
+            out.append(f"has:{key}")
+    out += ["entry:true"] if f.get("entry") else []
+    return " ".join([*out, f["text"]] if f.get("text") else out)
+
+
 def matching(rows: DataFrame, query: str) -> DataFrame:
-    """Symbol rows that a search line selects. `>n` means n or more, `<n` n or fewer."""
+    """Symbol rows that a search line selects. `>n` means n or more, `<n` n or fewer; state:cycle needs a column in_cycle."""
     f = parse(query)
     if f["text"]:
         t = f["text"].lower()
@@ -186,6 +262,10 @@ def matching(rows: DataFrame, query: str) -> DataFrame:
         rows = rows.where(F.col("dead") | (F.col("refs") == 0))
     elif f.get("state") == "used":
         rows = rows.where(~F.col("dead") & (F.col("refs") > 0))
+    elif f.get("state") == "cycle":
+        rows = rows.where(F.col("in_cycle"))
+    elif f.get("state") == "entry":
+        rows = rows.where(F.col("is_entry"))
     if f.get("file"):
         rows = rows.where(F.col("path").rlike(glob(f["file"])))
     for key in ("refs", "callers", "callees"):
@@ -211,20 +291,35 @@ def entry_table(rows: DataFrame) -> DataFrame:
 
 # -- display ------------------------------------------------------------------
 
-SECRET = ("*.env", ".env*", "*secret*", "*credential*", "*.pem", "*.key", "*password*", "*token*")
+# Paths that are hidden while others look on.
+SECRET = (".env*", "*secret*", "*credential*", "**/config/production.*", "**/*.pem", "**/*.key", "**/secrets/**", "**/.aws/**", "**/.ssh/**")
+
+
+def whole_glob(pattern: str) -> str:
+    """A glob over whole paths as a regex: stars cross folders, `**/` stands for any number of them."""
+    out, i = "", 0
+    while i < len(pattern):
+        if pattern.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif pattern[i] == "*":
+            out, i = out + ".*", i + 1
+        else:
+            out, i = out + ("." if pattern[i] == "?" else re.escape(pattern[i])), i + 1
+    return f"^{out}$"
 
 
 def redacted(path: Column, patterns: tuple[str, ...] = SECRET, on: bool = True) -> Column:
-    """Names of files that a pattern covers, hidden; the folder and the extension stay."""
+    """Names of files that a pattern covers, or whose path holds one without its outer stars, hidden; the folder and the extension stay."""
     if not on:
         return path
-    name = F.element_at(F.split(path, "/"), -1)
     hit = F.lit(False)
     for p in patterns:
-        hit = hit | name.rlike(glob(p) + "$") | F.lower(path).contains(p.replace("*", "").lower())
+        hit = hit | path.rlike(whole_glob(p))
+        if core := p.strip("*").lower():
+            hit = hit | F.lower(path).contains(core)
+    name = F.element_at(F.split(path, "/"), -1)
     folder = F.regexp_extract(path, r"^(.*/)[^/]*$", 1)
-    ext = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
-    return F.when(hit, F.concat(folder, F.lit("[HIDDEN]"), ext)).otherwise(path)
+    return F.when(hit, F.concat(folder, F.lit("[HIDDEN]"), F.regexp_extract(name, r"^.+(\.[^.]*)$", 1))).otherwise(path)
 
 
 def short_path(path: Column) -> Column:
@@ -233,6 +328,12 @@ def short_path(path: Column) -> Column:
     return F.when(F.size(parts) > 3, F.concat(F.lit(".../"), F.array_join(F.slice(parts, F.lit(-2), F.lit(2)), "/"))).otherwise(path)
 
 
+def short_label(name: Column, pixels: int) -> Column:
+    """A label that fits a width, at six pixels a character; nothing where fewer than four characters fit."""
+    n = pixels // 6
+    return F.when(F.char_length(name) <= n, name).otherwise(F.lit("") if n <= 3 else F.concat(F.substring(name, 1, n - 2), F.lit("..")))
+
+
 def escaped(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(a), F.lit(b))

@@ -24,6 +24,61 @@ def csv_header(df: DataFrame) -> str:
     return ",".join(df.columns)
 
 
+# The columns of each analysis' CSV form.
+HEADERS = {
+    "trace": ("path_num", "entry_point", "entry_kind", "step", "symbol", "file", "line"),
+    "refs": ("file", "line", "column", "kind", "context", "enclosing_symbol"),
+    "dead": ("name", "kind", "file", "line", "reason"),
+    "flow": ("path", "step", "variable", "action", "file", "line", "expression"),
+    "impact": ("type", "value"),
+    "module": ("type", "value"),
+    "pattern": ("file", "line", "column", "matched_text", "context"),
+    "scope": ("type", "name", "kind", "defined_at"),
+    "stats": ("metric", "value"),
+}
+
+
+def table_of(operation: str, df: DataFrame) -> DataFrame:
+    """A result in the columns of its CSV form: missing ones are empty, contexts are cut to their first line. One row of totals turns into rows of two columns."""
+    head = HEADERS[operation]
+    if len(head) == 2 and not set(head) <= set(df.columns):
+        pairs = F.array(*[F.struct(F.lit(c).alias(head[0]), F.col(c).cast("string").alias(head[1])) for c in df.columns])
+        return df.select(F.inline(pairs))
+    one = lambda c: F.trim(F.substring_index(F.coalesce(F.col(c), F.lit("")), "\n", 1)).alias(c) if c in ("context", "expression") else F.col(c)
+    return df.select(*[one(c) if c in df.columns else F.lit("").alias(c) for c in head])
+
+
+def csv_text(operation: str, df: DataFrame, limit: int = 10_000) -> str:
+    """The CSV form of the first `limit` rows of a result, with its header, for display; csv_rows() writes results of any size."""
+    t = table_of(operation, df)
+    return "\n".join([",".join(t.columns), *[r.value for r in csv_rows(t.limit(limit)).collect()], ""])
+
+
+TITLES = {"trace": "TRACE", "refs": "REFS", "dead": "DEAD CODE ANALYSIS", "flow": "DATA FLOW", "impact": "IMPACT ANALYSIS", "module": "MODULE", "pattern": "PATTERN", "scope": "SCOPE AT", "stats": "CODEBASE STATISTICS"}
+
+
+def plain_text(operation: str, df: DataFrame, subject: str = "", limit: int = 1000) -> str:
+    """A result as plain text for display: a title, a rule, and a line for each of the first `limit` rows; files stand above their rows."""
+    t = table_of(operation, df)
+    rows = [r.asDict() for r in t.limit(limit).collect()]
+    out, last = [TITLES[operation] + (f": {subject}" if subject else ""), f"Found: {len(rows)}", "-" * 60], None
+    for r in rows:
+        if "file" in r and r["file"] != last:
+            last = r["file"]
+            out += ["", f"{last}:"]
+        cells = [str(v) for k, v in r.items() if k not in ("file", "line", "column") and v not in (None, "")]
+        place = ":".join(str(r[k]) for k in ("line", "column") if r.get(k) not in (None, ""))
+        out.append("  " + " ".join([*([place] if place else []), *cells]))
+    return "\n".join(out) + "\n"
+
+
+def boxed(operation: str, df: DataFrame, subject: str = "", width: int = 78, limit: int = 1000) -> str:
+    """plain_text in a box of lines; long lines are cut for the eye, with dots."""
+    fit = lambda x: x[: width - 3] + "..." if len(x) > width else x.ljust(width)
+    lines = plain_text(operation, df, subject, limit).rstrip("\n").split("\n")
+    return "\n".join(["╔" + "═" * width + "╗", *["║" + fit(x) + "║" for x in lines], "╚" + "═" * width + "╝"]) + "\n"
+
+
 def dot_rows(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Edge lines of a DOT graph."""
     q = lambda c: F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('\\"')), F.lit('"'))

@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stored
 
 SMALL = 100_000  # edges up to which components are found on the driver
 
@@ -37,6 +37,26 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None, backward: b
     return seen
 
 
+def distances(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
+    """seed, depth, n: how many nodes have their shortest distance from each seed at each depth, however far.
+
+    Only pairs of seed and node are kept, not paths; each level is written once and read by the next ones.
+    """
+    a, b = ("to_symbol", "from_symbol") if backward else ("from_symbol", "to_symbol")
+    steps = stored(edges.where(f"{a} is not null and {b} is not null").select(F.col(a).alias("at"), F.col(b).alias("next")).distinct(), "steps")
+    seen = front = stored(seeds.select("seed", F.col("seed").alias("node")).distinct(), "level")
+    out = front.groupBy("seed").agg(F.lit(0).alias("depth"), F.count("*").alias("n"))
+    for d in count(1):
+        go = front.join(steps, front["node"] == steps["at"]).select("seed", F.col("next").alias("node")).distinct()
+        front = stored(go.join(seen, ["seed", "node"], "left_anti"), "level")
+        if front.isEmpty():
+            return out
+        out = out.unionByName(front.groupBy("seed").agg(F.lit(d).alias("depth"), F.count("*").alias("n")))
+        seen = seen.unionByName(front)
+        if d % 16 == 0:  # so that the plan of a long walk stays small
+            seen, out = stored(seen, "level"), stored(out, "levels")
+
+
 def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """node, component (its smallest node) of the strongly connected components of edges (a, b) with two nodes or more.
 

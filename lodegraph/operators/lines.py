@@ -12,7 +12,7 @@ def line_array(content: Column) -> Column:
     """Lines of a text: no empty line after a last line end, no carriage return at a line's end; none for an empty text."""
     parts = F.split(content, "\n", -1)
     cut = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.transform(cut, lambda x: F.regexp_replace(x, r"\r+$", ""))
+    return F.when(content.contains("\r"), F.transform(cut, lambda x: F.regexp_replace(x, r"\r+$", ""))).otherwise(cut)
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -57,22 +57,37 @@ def chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFr
     return out.select(F.concat_ws(":", "path", "start_line", "end_line").alias("id"), "file_id", "path", "language", F.array_join("xs", "\n").alias("content"), "start_line", "end_line", F.sha2(F.array_join("xs", "\n"), 256).alias("content_hash"), "xs")
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def function_name(line: Column) -> Column:
     """The name that a line declares as a function, else null."""
-    t = F.trim(line)
-    head = F.when(t.rlike(r"^(export )?(async )?(fn |function |def |func )"), F.trim(F.substring_index(F.regexp_replace(t, r"^(export )?(async )?(fn |function |def |func )", ""), "(", 1)))
-    arrow = F.when(t.rlike(r"^(export )?(const|let|var) ") & (t.contains("=>") | t.contains("function")), F.regexp_extract(t, r"^(?:export )?(?:const|let|var) +([A-Za-z0-9_$]+)", 1))
-    return F.nullif(F.coalesce(head, arrow), F.lit(""))
+    t = trimmed(line)
+    after = lambda head, end: trimmed(F.substring_index(F.substring(t, F.lit(len(head) + 1), F.length(t)), end, 1))
+    valued = t.contains("=>") | t.contains("function")
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for head in ("fn ", "function ", "def ", "func "):
+        out = out.when(t.startswith(head), after(head, "("))
+    out = out.when(t.rlike("^(const|let|var) ") & valued, F.regexp_replace(F.get(F.split(t, r"(?U)\s+"), 1), "[= ]+$", ""))
+    out = out.when(t.startswith("export function "), after("export function ", "(")).when(t.startswith("export const ") & valued, after("export const ", "="))
+    return F.nullif(out, F.lit(""))
 
 
 def class_name(line: Column) -> Column:
-    t = F.trim(line)
-    return F.nullif(F.regexp_extract(t, r"^(?:pub )?(?:class|struct|impl(?:<[^>]*>)?) +([A-Za-z0-9_]+)", 1), F.lit(""))
+    """The name that a line declares as a class or struct, or whose implementation it opens, else null."""
+    t = trimmed(line)
+    out = F.when(t.startswith("class "), F.regexp_extract(t, "^class ([^ {(:]*)", 1)).when(t.rlike("^(pub )?struct "), F.regexp_extract(t, "^(?:pub )?struct ([^ {(<]*)", 1))
+    return F.nullif(out.when(t.rlike("^impl[ <]"), F.regexp_extract(t, r"(?U)^impl[<\p{L}\p{N}_,]*+>*+\s*+([^ {<]*)", 1)), F.lit(""))
 
 
 def method_name(line: Column) -> Column:
-    t = F.trim(line)
-    return F.nullif(F.when(t.contains("pub ") & t.contains("fn "), F.regexp_extract(t, r"fn +([A-Za-z0-9_]+)", 1)).when(t.startswith("async "), F.regexp_extract(t, r"^async +(?:fn +|function +|def +)?([A-Za-z0-9_]+)", 1)), F.lit(""))
+    """The name that a line declares as a method, else null."""
+    t = trimmed(line)
+    upto = lambda x: trimmed(F.substring_index(x, "(", 1))
+    out = F.when(t.contains("pub ") & t.contains("fn "), upto(F.substring(t, F.locate("fn ", t) + 3, F.length(t))))
+    return F.nullif(out.when(t.startswith("async "), upto(F.substring(t, F.lit(7), F.length(t)))), F.lit(""))
 
 
 def chunk_symbol(xs: Column) -> Column:
@@ -93,30 +108,29 @@ def pattern(lines_: DataFrame, regex: str) -> DataFrame:
 
 
 def enclosing_block(lines_: DataFrame, at: DataFrame, most: int = 60) -> DataFrame:
-    """file_id, line, first, last of the brace block around each wanted line, sought within most / 2 lines on both sides; null without one.
+    """file_id, line, first, last of the brace block around each wanted line, sought within most / 2 lines on both sides.
 
-    Running depths are sums over the bounded neighbourhood of each line.
+    Upward, the block begins at the line that opens at least as many braces as were closed on the way; downward,
+    it ends at the line that closes as many as were opened. Where none does so nearby, the search's last line counts,
+    and the wanted line itself at the file's ends.
     """
     half = most // 2
     want = at.select("file_id", F.col("line").alias("at_line")).distinct()
-    need = want.select("file_id", "at_line", F.explode(F.sequence(F.greatest(F.col("at_line") - half, F.lit(1)), F.col("at_line") + half)).alias("line"))
+    need = want.select("file_id", "at_line", F.explode(F.sequence(F.greatest(F.col("at_line") - half - 1, F.lit(1)), F.col("at_line") + half + 1)).alias("line"))
     rows = need.join(lines_, ["file_id", "line"]).select("file_id", "at_line", "line", F.regexp_count("text", F.lit(r"\{")).alias("o"), F.regexp_count("text", F.lit(r"\}")).alias("c"))
     near = rows.groupBy("file_id", "at_line").agg(F.array_sort(F.collect_list(F.struct("line", "o", "c"))).alias("xs"))
-    up = F.filter("xs", lambda x: (x["line"] < F.col("at_line")) | ((x["line"] == F.col("at_line")) & (x["o"] > 0)))
-    # walking up, the block starts where more braces open than were closed below it
     state = "struct<depth:int,line:int>"
     none = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("line")).cast(state)
 
-    def back(s: Column, x: Column) -> Column:
-        d = s["depth"] + x["c"] - x["o"]
-        return F.when(s["line"].isNotNull(), s).otherwise(F.struct(d.alias("depth"), F.when(d < 0, x["line"]).alias("line")).cast(state))
-
-    first = F.aggregate(F.reverse(up), none, back)["line"]
-    found = near.select("file_id", F.col("at_line").alias("line"), "xs", first.alias("first"))
+    def step(more: str, less: str, ends: str):
+        def take(s: Column, x: Column) -> Column:
+            d = s["depth"] + x[more] - x[less]
+            done = ((d <= 0) & (x[ends] > 0)) | (F.abs(x["line"] - F.col("at_line")) > half)
+            return F.when(s["line"].isNotNull(), s).otherwise(F.struct(d.alias("depth"), F.when(done, x["line"]).alias("line")).cast(state))
 
-    def ahead(s: Column, x: Column) -> Column:
-        d = s["depth"] + x["o"] - x["c"]
-        return F.when(s["line"].isNotNull(), s).otherwise(F.struct(d.alias("depth"), F.when(d <= 0, x["line"]).alias("line")).cast(state))
+        return take
 
-    last = F.aggregate(F.filter("xs", lambda x: x["line"] >= F.col("first")), none, ahead)["line"]
-    return found.select("file_id", "line", "first", F.when(F.col("first").isNotNull(), last).alias("last"))
+    up, down = F.filter("xs", lambda x: x["line"] <= F.col("at_line")), F.filter("xs", lambda x: x["line"] >= F.col("at_line"))
+    first, last = F.aggregate(F.reverse(up), none, step("c", "o", "o"))["line"], F.aggregate(down, none, step("o", "c", "c"))["line"]
+    here = F.exists("xs", lambda x: x["line"] == F.col("at_line"))  # no block around a line that isn't there
+    return near.where(here).select("file_id", F.col("at_line").alias("line"), F.coalesce(first, F.col("at_line")).alias("first"), F.coalesce(last, F.col("at_line")).alias("last"))

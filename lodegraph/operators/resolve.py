@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 BUCKET = 64  # lines
 
 
-def enclosing(at: DataFrame, symbols: DataFrame, key: str = "token_id", bucket: int = BUCKET) -> DataFrame:
-    """key, symbol_id, name of the smallest symbol around each (key, file_id, line), the smallest id on ties.
+def around_lines(lines: DataFrame, symbols: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """file_id, line, symbol_id, name of the smallest symbol around each (file_id, line), the smallest id on ties.
 
     An interval join as an equi-join: symbols of ordinary length are listed under each block of
     lines that they touch; the few that span many blocks go by file and are cut to the wanted
     lines. Distinct lines are resolved once.
     """
-    lines = at.select("file_id", "line").distinct().withColumn("k", F.floor(F.col("line") / bucket))
+    lines = lines.select("file_id", "line").distinct().withColumn("k", F.floor(F.col("line") / bucket))
     span = symbols.select("file_id", "symbol_id", "name", "start_line", "end_line", F.floor(F.col("start_line") / bucket).alias("k0"), F.floor(F.col("end_line") / bucket).alias("k1"))
     short = span.where("k1 - k0 <= 16").withColumn("k", F.explode(F.sequence("k0", "k1")))
     long = span.where("k1 - k0 > 16")
@@ -24,25 +24,44 @@ def enclosing(at: DataFrame, symbols: DataFrame, key: str = "token_id", bucket:
     hits = lines.join(short.drop("k0", "k1"), ["file_id", "k"]).where(inside).groupBy("file_id", "line").agg(best)
     more = lines.join(long.drop("k0", "k1"), "file_id").where(inside).groupBy("file_id", "line").agg(best)
     one = hits.unionByName(more).groupBy("file_id", "line").agg(F.min("s").alias("s"))
-    return at.join(one, ["file_id", "line"]).select(key, F.col("s.symbol_id").alias("symbol_id"), F.col("s.name").alias("name"))
+    return one.select("file_id", "line", F.col("s.symbol_id").alias("symbol_id"), F.col("s.name").alias("name"))
 
 
-def calls(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
-    """token_id, caller (null outside any symbol), target, line: each call token with every symbol of its name."""
-    t = tokens.where("kind = 'call'")
-    targets = t.join(symbols.select("name", F.col("symbol_id").alias("target")), "name").select("token_id", "target", "line")
-    callers = enclosing(t, symbols).select("token_id", F.col("symbol_id").alias("caller"))
-    return targets.join(callers, "token_id", "left")
+def enclosing(at: DataFrame, symbols: DataFrame, key: str = "token_id", bucket: int = BUCKET) -> DataFrame:
+    """key, symbol_id, name of the smallest symbol around each (key, file_id, line)."""
+    return at.select(key, "file_id", "line").join(around_lines(at, symbols, bucket), ["file_id", "line"]).select(key, "symbol_id", "name")
+
+
+def call_sites(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
+    """name, caller, line, n: calls of a name inside a symbol, by line. Counted before any name meets the symbols that bear it."""
+    t = tokens.where("kind = 'call'").groupBy("file_id", "line", "name").agg(F.count("*").alias("n"))
+    e = around_lines(t, symbols).select("file_id", "line", F.col("symbol_id").alias("caller"))
+    return t.join(e, ["file_id", "line"]).groupBy("name", "caller", "line").agg(F.sum("n").alias("n"))
+
+
+def call_edge_counts(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
+    """from_symbol, to_symbol, line, n call sites; each call goes to every symbol of its name, never to its caller."""
+    targets = symbols.select("name", F.col("symbol_id").alias("target"))
+    return call_sites(tokens, symbols).join(targets, "name").where("caller <> target").select(F.col("caller").alias("from_symbol"), F.col("target").alias("to_symbol"), "line", "n")
 
 
 def call_edges(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
     """from_symbol, to_symbol, line: a row for each call site, no self edges."""
-    return calls(tokens, symbols).where("caller is not null and caller <> target").select(F.col("caller").alias("from_symbol"), F.col("target").alias("to_symbol"), "line")
+    c = call_edge_counts(tokens, symbols)
+    return c.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).select("from_symbol", "to_symbol", "line")
+
+
+def call_ref_counts(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
+    """symbol_id, n: calls inside any symbol; recursion counts."""
+    n = call_sites(tokens, symbols).groupBy("name").agg(F.sum("n").alias("n"))
+    return symbols.select("name", "symbol_id").join(n, "name").select("symbol_id", "n")
 
 
 def call_refs(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
     """token_id, symbol_id, kind of calls inside a symbol; recursion counts."""
-    return calls(tokens, symbols).where("caller is not null").select("token_id", F.col("target").alias("symbol_id"), F.lit("call").alias("kind"))
+    t = tokens.where("kind = 'call'")
+    inside = t.join(around_lines(t, symbols).select("file_id", "line"), ["file_id", "line"], "left_semi").select("token_id", "name")
+    return inside.join(symbols.select("name", "symbol_id"), "name").select("token_id", "symbol_id", F.lit("call").alias("kind"))
 
 
 def construction_refs(tokens: DataFrame, symbols: DataFrame) -> DataFrame:

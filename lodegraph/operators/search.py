@@ -74,19 +74,38 @@ def without_overlaps(hits: DataFrame) -> DataFrame:
     return grouped.select("path", F.explode(F.aggregate("xs", F.array().cast(kind), step)).alias("x")).select("path", "x.id", "x.start_line", "x.end_line", "x.score")
 
 
+# Folders and names of tests and of generated files, and what a hit in them is worth.
+TEST_FOLDERS = ("test", "tests", "__tests__", "spec", "__mocks__")
+TEST_ENDS = ("_test.go", "_test.rs", ".test.ts", ".test.tsx", ".test.js", ".test.jsx", ".spec.ts", ".spec.tsx", ".spec.js", ".spec.jsx")
+GENERATED_FOLDERS = ("generated", "gen", "dist", "build", ".next", "node_modules")
+GENERATED_ENDS = (".min.js", ".min.css", ".generated.ts", ".g.dart", ".pb.go")
+EXACT, IN_TEST, IN_GENERATED = 2.0, 0.5, 0.3
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
 def is_test_path(path: Column) -> Column:
+    """A test by a folder on the way (not the first of a relative path), or by the file's name."""
     p = F.lower(path)
-    return p.rlike(r"(^|/)(tests?|__tests__|specs?)/") | p.rlike(r"(_test|\.test|_spec|\.spec)\.[a-z]+$") | p.rlike(r"(^|/)test_[^/]*$")
+    name = F.element_at(F.split(p, "/"), -1)
+    return _any(p.contains(f"/{x}/") for x in TEST_FOLDERS) | _any(name.endswith(x) for x in TEST_ENDS) | name.startswith("test_") | (name == "conftest.py")
 
 
 def is_generated_path(path: Column) -> Column:
+    """A generated file by a folder on the way (not the first of a relative path), or by the file's name."""
     p = F.lower(path)
-    return p.rlike(r"(^|/)(dist|build|target|node_modules|vendor|generated)/") | p.rlike(r"(\.min\.|\.generated\.|_pb2?\.)")
+    name = F.element_at(F.split(p, "/"), -1)
+    return _any(p.contains(f"/{x}/") for x in GENERATED_FOLDERS) | _any(name.endswith(x) for x in GENERATED_ENDS) | name.contains(".bundle.")
 
 
 def boosted(score: Column, path: Column, exact: Column) -> Column:
     """Exact symbol matches double, tests halve, generated files count three tenths."""
-    return score * F.when(exact, 2.0).otherwise(1.0) * F.when(is_test_path(path), 0.5).otherwise(1.0) * F.when(is_generated_path(path), 0.3).otherwise(1.0)
+    return score * F.when(exact, EXACT).otherwise(1.0) * F.when(is_test_path(path), IN_TEST).otherwise(1.0) * F.when(is_generated_path(path), IN_GENERATED).otherwise(1.0)
 
 
 def filtered(docs: DataFrame, paths: list[str] | None = None, include_tests: bool = True) -> DataFrame:
@@ -129,10 +148,72 @@ def semantic(docs: DataFrame, query: str, limit: int = 20, reranker: Callable[[s
 
 # -- natural language ----------------------------------------------------------
 
-QUESTIONS = ("how", "what", "where", "why", "when", "which", "who", "find", "show", "list", "explain", "does", "is", "are", "can")
+# Beginnings of questions, and words that sentences have and names don't.
+QUESTIONS = ("how", "what", "where", "when", "why", "which", "who", "does", "is", "are", "can", "show", "find", "list")
+COMMON = ("the", "a", "an", "to", "from", "in", "of", "for", "with", "by", "all", "every", "any")
 
 
 def natural(query: Column) -> Column:
-    """Whether a query reads like a sentence: three words or more, with a question mark or a leading or inner question word."""
-    words = F.filter(F.split(F.lower(F.trim(query)), r"\s+"), lambda x: x != "")
-    return (F.size(words) >= 3) & (query.contains("?") | F.arrays_overlap(words, F.array(*map(F.lit, QUESTIONS))))
+    """Whether a query reads like a sentence: two words or more that begin like a question, or three or more with a common word."""
+    low = F.lower(query)
+    words = F.filter(F.split(low, r"(?U)\s+"), lambda x: x != "")
+    question = _any(low.startswith(x) for x in QUESTIONS)
+    common = F.arrays_overlap(words, F.array(*map(F.lit, COMMON)))
+    return (F.size(words) >= 2) & (question | (common & (F.size(words) >= 3)))
+
+
+# -- replies of models ----------------------------------------------------------
+
+
+def _json(reply: str, opening: str, closing: str):
+    """The JSON value that a reply is, or that stands between its outermost brackets; None without one."""
+    import json
+
+    a, b = reply.find(opening), reply.rfind(closing)
+    for part in (reply, reply[a : b + 1] if 0 <= a < b else ""):
+        try:
+            return json.loads(part)
+        except ValueError:
+            continue
+    return None
+
+
+def parsed_names(reply: str) -> list[str]:
+    """The names in a reply to a query for related symbols; none if it can't be read."""
+    found = _json(reply, "[", "]")
+    return [x for x in found if isinstance(x, str)] if isinstance(found, list) else []
+
+
+def parsed_indices(reply: str, n: int) -> list[int]:
+    """The indices below n in a reply to a rerank request; all in order if it can't be read."""
+    found = _json(reply, "[", "]")
+    if not isinstance(found, list) or not all(isinstance(x, int) for x in found):
+        return list(range(n))
+    return [x for x in found if 0 <= x < n]
+
+
+def parsed_analysis(reply: str) -> dict | None:
+    """intent, symbols and filters of a reply to a question in natural language."""
+    found = _json(reply, "{", "}")
+    return {"intent": found.get("intent"), "symbols": found.get("symbols") or [], "filters": found.get("filters")} if isinstance(found, dict) else None
+
+
+LONGEST_NAME, MOST_NAMES = 15, 10
+
+
+def expanded(query: str, expander: Callable[[str], str] | None = None, natural_language: bool | None = None) -> list[str]:
+    """Names to trace for a query: what an expander replies, up to MOST_NAMES, the query itself without one or without a reply.
+
+    A long query that isn't natural language is a name already.
+    """
+    if expander is None or (not natural_language and len(query.encode()) > LONGEST_NAME):
+        return [query]
+    return parsed_names(expander(query))[:MOST_NAMES] or [query]
+
+
+def reordered(rows: list, ask: Callable[[list], str] | None, least: int = 4) -> list:
+    """Rows in the order of a reply's indices, those that it leaves out behind; unchanged without a model or for fewer than `least`."""
+    if ask is None or len(rows) < least:
+        return list(rows)
+    order = list(dict.fromkeys(parsed_indices(ask(rows), len(rows))))
+    return [rows[i] for i in order] + [x for i, x in enumerate(rows) if i not in set(order)]

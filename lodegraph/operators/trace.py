@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ranked
 from . import graph, resolve
 
 # -- filters ------------------------------------------------------------------
@@ -39,6 +40,45 @@ def simple_kind(kind: Column) -> Column:
     return F.when(kind.isin("call", "construction"), "call").when(kind.isin("write", "type_annotation", "import", "export"), kind).otherwise("read")
 
 
+def reference_list(name: str, symbols: DataFrame, tokens: DataFrame, refs: DataFrame, files: DataFrame, lines_: DataFrame | None = None, path: str | None = None, kind: str | None = None, context: int = 0, limit: int | None = None) -> DataFrame:
+    """path, line, col, kind, enclosing (name of the smallest symbol around), context of references, by path, line, column and token.
+
+    The limit cuts the ordered list; counts by kind and file go by references(), before any limit. Context needs
+    the files' lines, and is sought for the rows of the list only.
+    """
+    found = references(name, symbols, tokens, refs, kind).join(files.select("file_id", "path"), "file_id")
+    if path:
+        found = found.where(F.col("path").contains(path))
+    found = found.orderBy("path", "line", "col", "token_id")
+    found = found.limit(limit) if limit is not None else found
+    around = resolve.around_lines(found, symbols).select("file_id", "line", F.col("name").alias("enclosing"))
+    out = found.join(around, ["file_id", "line"], "left")
+    if lines_ is not None:
+        from . import lines
+
+        near = lines.context(lines_, found.select("file_id", "line").distinct(), context, context).select("file_id", "line", "context")
+        out = out.join(near, ["file_id", "line"], "left")
+    else:
+        out = out.withColumn("context", F.lit(None).cast("string"))
+    return out.select("token_id", "path", "line", "col", "kind", "enclosing", "context")
+
+
+def pattern_list(regex: str, lines_: DataFrame, files: DataFrame, symbols: DataFrame, path: str | None = None, context: int = 0, limit: int | None = None) -> DataFrame:
+    """path, file_id, line, col, matched, enclosing, context of the lines that match, by path and line; the limit cuts the ordered list.
+
+    Files are narrowed by path before any line is searched; context is sought for the rows of the list only.
+    """
+    from . import lines
+
+    f = files.select("file_id", "path")
+    f = f.where(F.col("path").contains(path)) if path else f
+    found = lines.pattern(lines_.join(f.select("file_id"), "file_id", "left_semi"), regex).join(f, "file_id").orderBy("path", "line")
+    found = found.limit(limit) if limit is not None else found
+    around = resolve.around_lines(found, symbols).select("file_id", "line", F.col("name").alias("enclosing"))
+    near = lines.context(lines_, found.select("file_id", "line"), context, context).select("file_id", "line", "context")
+    return found.join(around, ["file_id", "line"], "left").join(near, ["file_id", "line"], "left").select("path", "file_id", "line", "col", "matched", "enclosing", "context")
+
+
 def references(name: str, symbols: DataFrame, tokens: DataFrame, refs: DataFrame, kind: str | None = None) -> DataFrame:
     """token_id, file_id, line, col, kind: references to symbols of the name, and tokens of the name that stand elsewhere."""
     ids = symbols.where(F.col("name") == name).select("symbol_id")
@@ -51,9 +91,8 @@ def references(name: str, symbols: DataFrame, tokens: DataFrame, refs: DataFrame
 
 def flow(name: str, tokens: DataFrame, files: DataFrame) -> DataFrame:
     """Tokens of a name in order of path, line and column: the first defines, calls pass on, others read."""
-    t = tokens.where(F.col("name") == name).join(files, "file_id")
-    n = F.row_number().over(Window.orderBy("path", "line", "col", "token_id"))
-    return t.withColumn("step", n).select("step", F.when(F.col("step") == 1, "define").when(F.col("kind") == "call", "pass_to_function").otherwise("read").alias("action"), "path", "line", "col")
+    t = tokens.where(F.col("name") == name).join(files.select("file_id", "path"), "file_id")
+    return ranked(t, "step", "path", "line", "col", "token_id").select("step", F.when(F.col("step") == 1, "define").when(F.col("kind") == "call", "pass_to_function").otherwise("read").alias("action"), "path", "line", "col")
 
 
 # -- walks --------------------------------------------------------------------
@@ -87,13 +126,44 @@ def impact(symbols: DataFrame, edges: DataFrame, targets: DataFrame, max_depth:
     return out.select(F.col("seed").alias("symbol_id"), "direct", "transitive", "files", "entries", risk(F.col("entries"), F.col("files"), F.col("direct")).alias("risk"))
 
 
+def named_target(symbols: DataFrame, target: str) -> DataFrame:
+    """Symbols of a name, which may stand behind a file and a colon; the file doesn't narrow the search."""
+    return symbols.where(F.col("name") == target.rpartition(":")[2])
+
+
+def impact_names(symbols: DataFrame, edges: DataFrame, files: DataFrame, target: str, max_depth: int = 10) -> DataFrame:
+    """what (direct or transitive), shown, depth: `name (file:line)` of direct callers, `name (depth d)` of those further up, each once."""
+    seeds = named_target(symbols, target).select(F.col("symbol_id").alias("seed"))
+    r = graph.reach(edges, seeds, max_depth, backward=True).where("depth > 0").groupBy("node").agg(F.min("depth").alias("depth"))
+    s = r.join(symbols.withColumnRenamed("symbol_id", "node"), "node").join(files.select("file_id", "path"), "file_id")
+    place = F.concat("name", F.lit(" ("), "path", F.lit(":"), F.col("start_line").cast("string"), F.lit(")"))
+    far = F.concat("name", F.lit(" (depth "), F.col("depth").cast("string"), F.lit(")"))
+    return s.select(F.when(F.col("depth") == 1, "direct").otherwise("transitive").alias("what"), F.when(F.col("depth") == 1, place).otherwise(far).alias("shown"), "depth").distinct()
+
+
 def call_depths(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """max_depth, avg_depth over entry points: each one's largest shortest distance downward."""
     seeds = symbols.where("is_entry").select(F.col("symbol_id").alias("seed"))
-    d = graph.reach(edges, seeds, None).groupBy("seed").agg(F.max("depth").alias("d"))
+    d = graph.distances(edges, seeds).groupBy("seed").agg(F.max("depth").alias("d"))
     return d.agg(F.coalesce(F.max("d"), F.lit(0)).alias("max_depth"), F.round(F.coalesce(F.avg("d"), F.lit(0.0)), 4).alias("avg_depth"))
 
 
+def best_paths(symbols: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: int = 50, most: int = 5) -> DataFrame:
+    """target, place, entry, depth, chain: up to `most` paths from entry points for each target, the shortest first."""
+    w = Window.partitionBy("target").orderBy("depth", "entry")
+    return entry_paths(symbols, edges, targets, max_depth).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("target", "place", "entry", "depth", "chain")
+
+
+def cycle_paths(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """component, chain: one shortest cycle through the smallest node of each component; edges (a, b), found (node, component)."""
+    inside = edges.join(found.toDF("a", "component"), "a").join(found.toDF("b", "other"), "b").where("component = other and a <> b").select(F.col("a").alias("from_symbol"), F.col("b").alias("to_symbol"), F.lit(0).alias("line")).distinct()
+    roots = found.select(F.col("component").alias("seed")).distinct()
+    reached = graph.reach(inside, roots, None)
+    back = reached.join(inside.select(F.col("from_symbol").alias("node"), F.col("to_symbol").alias("seed")), ["node", "seed"])
+    best = back.groupBy("seed").agg(F.min(F.struct("depth", "node", "chain")).alias("m"))
+    return best.select(F.col("seed").alias("component"), F.concat("m.chain", F.array("seed")).alias("chain"))
+
+
 # -- dead code ----------------------------------------------------------------
 
 

@@ -20,13 +20,30 @@ def page_files(spark, sf):
     return A.read(spark, sf, "pages").select(F.col("page_id").alias("file_id"), F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.lit("javascript").alias("language"), F.col("html").alias("content"))
 
 
-@query("x8_extract")
+def words(names) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in sorted(names)) + ")"
+
+
+HTML = f"""called AS (SELECT page_id, unnest(regexp_extract_all(html, '([a-zA-Z_][a-zA-Z0-9_]*)\\s*\\(', 1)) AS name FROM pages),
+calls AS (SELECT * FROM called WHERE name NOT IN {words(X.KEYWORDS)} AND name NOT IN {words(X.JAVASCRIPT_BUILTINS)}),
+named AS (SELECT page_id, unnest(regexp_extract_all(html, '[a-zA-Z_][a-zA-Z0-9_]*')) AS name FROM pages),
+words AS (SELECT * FROM named WHERE length(name) > 1 AND name NOT IN {words(X.KEYWORDS)}),
+built AS (SELECT page_id, unnest(regexp_extract_all(html, '\\bnew\\s+([A-Za-z_$][0-9A-Za-z_$]+)', 1)) AS name FROM pages)"""
+
+
+@query("x8_extract", f"""SELECT page_id AS file_id, 'call' AS what, count(*) AS n FROM calls GROUP BY 1 UNION ALL SELECT page_id, 'token', count(*) FROM words GROUP BY 1
+UNION ALL SELECT page_id, 'type', count(*) FROM built WHERE name NOT IN {words(X.KEYWORDS)} AND name NOT IN {words(X.JAVASCRIPT_BUILTINS)} GROUP BY 1 UNION ALL SELECT page_id, 'scope', 1 FROM pages WHERE trim(html) <> ''""", HTML)
 def x8(spark, sf):
-    """Rows of all pages by kind; patterns in Python have no form in SQL."""
-    return X.extract(page_files(spark, sf)).groupBy("file_id", "what").agg(F.count("*").alias("n"))
+    """Rows of all pages by kind, but for declarations and imports, which cross lines: those have golden files in the tests."""
+    return X.extract(page_files(spark, sf)).where("what not in ('symbol', 'import')").groupBy("file_id", "what").agg(F.count("*").alias("n"))
+
+
+@query("x17_calls", "SELECT page_id AS file_id, name, count(*) AS n FROM calls GROUP BY ALL", HTML)
+def x17(spark, sf):
+    return X.extract(page_files(spark, sf)).where("what = 'call'").groupBy("file_id", "name").agg(F.count("*").alias("n"))
 
 
-@query("x20_tokens")
+@query("x20_tokens", "SELECT name, count(*) AS n FROM words GROUP BY 1", HTML)
 def x20(spark, sf):
     return X.extract(page_files(spark, sf)).where("what = 'token'").groupBy("name").agg(F.count("*").alias("n"))
 
@@ -86,9 +103,9 @@ def o5(spark, sf):
     return O.dot_rows(A.file_edges(spark, sf), "a", "b").distinct()
 
 
-@query("o6_markdown", "SELECT '| ' || file_id || ' | ' || path || ' |' AS value FROM files")
+@query("o6_markdown", "SELECT '| ' || file_id || ' | ' || path || ' |' AS value FROM paths")
 def o6(spark, sf):
-    return O.markdown_rows(A.files(spark, sf).select("file_id", "path"))
+    return O.markdown_rows(A.paths(spark, sf).select("file_id", "path"))
 
 
 @query("o7_preview", "SELECT id, array_to_string(list_transform(string_split(content, chr(10))[1:3], lambda x: CASE WHEN length(x) > 80 THEN substring(x, 1, 77) || '...' ELSE x END), chr(10)) AS shown FROM chunks", CHUNKS)

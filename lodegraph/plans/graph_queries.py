@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import dashboard as D
 from ..operators import graph as G
 from ..operators import trace as T
+from ..session import ranked
 from ..sources import adapters as A
-from .registry import query
+from .registry import ORACLE, QUERIES, query
 from .symbol_queries import CROSS, NAME, ROWS, cross, rows
 
 DEPTH = 10
@@ -82,18 +83,34 @@ def t10(spark, sf):
     return T.impact(A.symbols(spark, sf), A.edges(spark, sf), targets(spark, sf), DEPTH)
 
 
-@query("w14_impact", IMPACT.format(risk=RISK, where="WHERE depth > 0"), UP)
+@query("w14_impact", IMPACT.format(risk=RISK, where="WHERE depth > 0"), walk("from_symbol", "to_symbol", BY_NAME, IMPACT_DEPTH))
 def w14(spark, sf):
     return T.impact(A.symbols(spark, sf), A.edges(spark, sf), targets(spark, sf), IMPACT_DEPTH, False)
 
 
+@query("t10_impact_names", """SELECT DISTINCT CASE WHEN depth = 1 THEN 'direct' ELSE 'transitive' END AS what, CASE WHEN depth = 1 THEN name || ' (' || path || ':' || start_line || ')' ELSE name || ' (depth ' || depth || ')' END AS shown, depth
+FROM (SELECT node, min(depth) AS depth FROM dist WHERE depth > 0 GROUP BY 1) JOIN symbols ON symbol_id = node JOIN files USING (file_id)""", UP)
+def t10n(spark, sf):
+    return T.impact_names(A.symbols(spark, sf), A.edges(spark, sf), A.files(spark, sf), f"src/any.rs:{NAME}", DEPTH)
+
+
 @query("w9_callers_depth", "SELECT seed AS symbol_id, node AS caller, depth FROM dist WHERE depth > 0", UP)
 def w9(spark, sf):
     r = G.reach(A.edges(spark, sf), targets(spark, sf).select(F.col("symbol_id").alias("seed")), DEPTH, backward=True)
     return r.where("depth > 0").select(F.col("seed").alias("symbol_id"), F.col("node").alias("caller"), "depth")
 
 
-@query("t17_depth", "SELECT coalesce(max(m), 0) AS max_depth, round(coalesce(avg(m), 0), 4) AS avg_depth FROM (SELECT seed, max(depth) AS m FROM dist GROUP BY 1)", walk("to_symbol", "from_symbol", "is_entry", DEPTH))
+#: Shortest distances without a limit: a pair of seed and node is a key, and comes once.
+FAR = """far(seed, node, depth) USING KEY (seed, node) AS (SELECT symbol_id, symbol_id, 0 FROM symbols WHERE is_entry
+  UNION SELECT f.seed, e.to_symbol, min(f.depth) + 1 FROM far f JOIN edges e ON e.from_symbol = f.node WHERE NOT EXISTS (SELECT 1 FROM recurring.far r WHERE r.seed = f.seed AND r.node = e.to_symbol) GROUP BY 1, 2)"""
+
+
+@query("w14_paths", "SELECT target, place, entry, depth, chain FROM (SELECT seed AS target, node AS entry, depth, chain, row_number() OVER (PARTITION BY seed ORDER BY depth, node)::INT AS place FROM chains JOIN symbols ON symbol_id = node WHERE is_entry) WHERE place <= 5", UP_CHAINS)
+def w14p(spark, sf):
+    return T.best_paths(A.symbols(spark, sf), A.edges(spark, sf), targets(spark, sf), DEPTH).withColumn("chain", chain())
+
+
+@query("t17_depth", "SELECT coalesce(max(m), 0)::INT AS max_depth, round(coalesce(avg(m), 0), 4) AS avg_depth FROM (SELECT seed, max(depth) AS m FROM far GROUP BY 1)", FAR)
 def t17(spark, sf):
     return T.call_depths(A.symbols(spark, sf), A.edges(spark, sf))
 
@@ -127,12 +144,30 @@ def w15(spark, sf):
     return D.cycles_table(scc(spark, sf), A.symbols(spark, sf))
 
 
-@query("c10_cycles_by_size", "SELECT component, n AS size, row_number() OVER (ORDER BY n DESC, component)::INT AS rank FROM (SELECT component, count(*) AS n FROM scc GROUP BY 1)", SCC)
+@query("c10_cycles_by_size", "SELECT component, n AS size, CASE WHEN n >= 6 THEN 'critical' WHEN n >= 4 THEN 'high' ELSE 'medium' END AS severity, row_number() OVER (ORDER BY n DESC, component)::INT AS rank FROM (SELECT component, count(*) AS n FROM scc GROUP BY 1)", SCC)
 def c10(spark, sf):
-    from pyspark.sql.window import Window
+    n = scc(spark, sf).groupBy("component").agg(F.count("*").alias("size")).withColumn("severity", D.severity(F.col("size")))
+    return ranked(n, "rank", F.desc("size"), "component")
+
+
+@query("c10_cycles_by_name", "SELECT component, shown FROM (SELECT component, arg_min(shown, node) AS shown FROM scc JOIN firsts ON file_id = node GROUP BY 1) ORDER BY lower(shown), component LIMIT 5", f"{SCC}, {FIRST}")
+def c10a(spark, sf):
+    t = D.ordered_cycles(D.cycles_table(scc(spark, sf), A.symbols(spark, sf)), "alpha").limit(5)
+    return t.select("component", F.substring_index("display", ",", 1).alias("shown"))
+
+
+@query("t12_cycle_paths", """SELECT seed AS component, chain || '>' || seed AS chain FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS rn FROM chains JOIN edges2 ON a = node AND b = seed) WHERE rn = 1""",
+       SCC + """, edges2 AS (SELECT e.a, e.b, x.component AS c FROM file_edges e JOIN scc x ON x.node = e.a JOIN scc y ON y.node = e.b AND y.component = x.component),
+walk AS (SELECT DISTINCT component AS seed, component AS node, 0 AS d FROM scc UNION SELECT seed, b, d + 1 FROM walk JOIN edges2 ON a = node AND c = seed WHERE d < 100), dist AS (SELECT seed, node, min(d) AS depth FROM walk GROUP BY ALL),
+pre AS (SELECT n.seed, n.node, n.depth, min(p.node) AS pred FROM dist n JOIN edges2 e ON e.b = n.node JOIN dist p ON p.seed = n.seed AND p.node = e.a AND p.depth = n.depth - 1 GROUP BY ALL),
+chains AS (SELECT seed, node, 0 AS depth, node::VARCHAR AS chain FROM dist WHERE depth = 0 UNION ALL SELECT p.seed, p.node, p.depth, c.chain || '>' || p.node FROM chains c JOIN pre p ON p.seed = c.seed AND p.pred = c.node AND p.depth = c.depth + 1)""")
+def t12p(spark, sf):
+    return T.cycle_paths(A.file_edges(spark, sf), scc(spark, sf)).select("component", chain().alias("chain"))
+
 
-    n = scc(spark, sf).groupBy("component").agg(F.count("*").alias("size"))
-    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "component")))
+@query("c2_cycle_state", "SELECT symbol_id FROM rows WHERE file_id IN (SELECT node FROM scc) AND contains(lower(name), 'red')", f"{ROWS}, {SCC}")
+def c2c(spark, sf):
+    return D.matching(D.with_cycles(rows(spark, sf), scc(spark, sf)), "red state:cycle").select("symbol_id")
 
 
 NODES = f"""{ROWS}, {CROSS}, {SCC}, nodes AS (SELECT r.file_id, path, count(*) AS symbols, count(*) FILTER (dead) AS dead, count(*) FILTER (is_entry) AS exports, coalesce(any_value(i.n), 0) AS imports, r.file_id IN (SELECT node FROM scc) AS in_cycle
@@ -148,11 +183,31 @@ def w3(spark, sf):
     return nodes(spark, sf)
 
 
+@query("w1_stats", """SELECT (SELECT count(*) FROM files) AS files, count(*) AS symbols, count(*) FILTER (dead) AS dead, (SELECT count(DISTINCT component) FROM scc) AS cycles, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'method') AS methods,
+ count(*) FILTER (kind = 'class') AS classes, count(*) FILTER (kind = 'variable') AS variables, count(*) FILTER (kind = 'interface') AS interfaces, count(*) FILTER (kind = 'type_alias') AS types FROM rows""", f"{ROWS}, {SCC}")
+def w1(spark, sf):
+    kinds = (("function", "functions"), ("method", "methods"), ("class", "classes"), ("variable", "variables"), ("interface", "interfaces"), ("type_alias", "types"))
+    r = rows(spark, sf).agg(F.count("*").alias("symbols"), F.count_if("dead").alias("dead"), *[F.count_if(F.col("kind") == k).alias(n) for k, n in kinds])
+    one = scc(spark, sf).agg(F.count_distinct("component").alias("cycles"))
+    return r.join(F.broadcast(A.files(spark, sf).agg(F.count("*").alias("files")))).join(F.broadcast(one))
+
+
+@query("w3_dead_nodes", "SELECT r.file_id, count(*) FILTER (dead) AS dead FROM rows r GROUP BY 1 HAVING count(*) FILTER (dead) > 0 ORDER BY count(*) DESC, r.file_id LIMIT 100", ROWS)
+def w3d(spark, sf):
+    return D.file_nodes(rows(spark, sf), cross(spark, sf), scc(spark, sf), state="dead").select("file_id", "dead")
+
+
 @query("w3_edges", "SELECT from_file, to_file, count(*) AS weight FROM cross_edges WHERE from_file IN (SELECT file_id FROM nodes) AND to_file IN (SELECT file_id FROM nodes) GROUP BY ALL", NODES)
 def w3e(spark, sf):
     return D.file_links(cross(spark, sf), nodes(spark, sf))
 
 
+@query("c14_matrix", """SELECT a, b, count(*) AS w FROM (SELECT from_file AS a, to_file AS b FROM kept UNION ALL SELECT to_file, from_file FROM kept) GROUP BY ALL""",
+       f"{NODES}, first AS (SELECT file_id FROM nodes ORDER BY symbols DESC, file_id LIMIT 40), kept AS (SELECT * FROM cross_edges WHERE from_file IN (SELECT file_id FROM first) AND to_file IN (SELECT file_id FROM first))")
+def c14(spark, sf):
+    return D.matrix(cross(spark, sf), nodes(spark, sf))
+
+
 TREE = f"""{ROWS}, {SCC}, per AS (SELECT file_id, path, count(*) AS value, count(*) FILTER (dead) AS dead, file_id IN (SELECT node FROM scc) AS in_cycle FROM rows GROUP BY ALL),
 tree AS (SELECT p AS path, len(string_split(p, '/'))::INT AS depth, sum(value)::BIGINT AS value, sum(dead)::BIGINT AS dead, count(*) AS files, bool_or(in_cycle) AS in_cycle, floor(100 * (sum(value) - sum(dead)) / sum(value))::BIGINT AS health
  FROM (SELECT *, array_to_string(string_split(path, '/')[1:n], '/') AS p FROM (SELECT *, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM per)) GROUP BY 1)"""
@@ -168,9 +223,14 @@ def w4b(spark, sf):
     return D.rollup(rows(spark, sf), scc(spark, sf), "src/core/a").where(F.col("path").startswith("src/core/a/"))
 
 
-@query("w5_totals", "SELECT files, value AS symbols, dead, health FROM tree WHERE depth = 1", TREE)
+@query("w5_totals", "SELECT count(DISTINCT file_id) AS files, count(*) AS symbols, count(*) FILTER (dead) AS dead, count(DISTINCT file_id) FILTER (file_id IN (SELECT node FROM scc)) AS cycle_files, floor(100 * count(*) FILTER (NOT dead) / count(*))::BIGINT AS health FROM rows", f"{ROWS}, {SCC}")
 def w5(spark, sf):
-    return D.rollup(rows(spark, sf), scc(spark, sf)).where("depth = 1").select("files", F.col("value").alias("symbols"), "dead", "health")
+    return D.totals(rows(spark, sf), scc(spark, sf))
+
+
+@query("w8_symbol", "SELECT symbol_id, name, path, refs, callers, callees, dead, is_entry, file_id IN (SELECT node FROM scc) AS in_cycle FROM rows WHERE symbol_id IN (77, 3, 10)", f"{ROWS}, {SCC}")
+def w8(spark, sf):
+    return D.with_cycles(rows(spark, sf).where(F.col("symbol_id").isin(77, 3, 10)), scc(spark, sf)).select("symbol_id", "name", "path", "refs", "callers", "callees", "dead", "is_entry", "in_cycle")
 
 
 @query("w6_tree", "SELECT path, depth, row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY depth = 4, lower(path))::INT AS place FROM tree", TREE)
@@ -210,3 +270,17 @@ def t24(spark, sf):
 
     steps = t4(spark, sf).groupBy("target", "entry").agg(F.array_sort(F.collect_list(F.struct("step", "name"))).alias("xs"))
     return steps.select("target", "entry", O.chain_text(F.transform("xs", lambda x: x["name"])).alias("shown"))
+
+
+#: The analyses of one name or of the whole, and the queries that give their rows.
+ANALYSES = {"trace": "t1_paths", "refs": "t5_refs", "callers": "t8_callers", "callees": "t9_callees", "writes": "t6_writes", "type": "t6_types", "impact": "t10_impact", "dead": "t18_dead", "flow": "t13_flow", "module": "t11_exports", "cycles": "w15_cycles", "scope": "t15_scope", "stats": "t16_kinds"}
+
+
+@query("t22_counts", "\nUNION ALL\n".join(f"SELECT '{name}' AS operation, count(*) AS n FROM ({ORACLE[q]})" for name, q in ANALYSES.items()))
+def t22c(spark, sf):
+    """The number of rows that each analysis has."""
+    parts = [QUERIES[q](spark, sf).agg(F.lit(name).alias("operation"), F.count("*").alias("n")) for name, q in ANALYSES.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

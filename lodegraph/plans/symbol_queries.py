@@ -109,12 +109,12 @@ def b3(spark, sf):
 
 @query("b4_resolve", "SELECT e.symbol_id AS from_symbol, s.symbol_id AS to_symbol, t.line, count(*) AS n FROM tokens t JOIN symbols s ON s.name = t.name JOIN enc e USING (token_id) WHERE t.kind = 'call' AND e.symbol_id <> s.symbol_id GROUP BY ALL", ENCLOSING)
 def b4(spark, sf):
-    return R.call_edges(A.tokens(spark, sf), A.symbols(spark, sf)).groupBy("from_symbol", "to_symbol", "line").agg(F.count("*").alias("n"))
+    return R.call_edge_counts(A.tokens(spark, sf), A.symbols(spark, sf))
 
 
 @query("b5_call_refs", "SELECT s.symbol_id, count(*) AS n FROM tokens t JOIN symbols s ON s.name = t.name JOIN enc e USING (token_id) WHERE t.kind = 'call' GROUP BY 1", ENCLOSING)
 def b5(spark, sf):
-    return R.call_refs(A.tokens(spark, sf), A.symbols(spark, sf)).groupBy("symbol_id").agg(F.count("*").alias("n"))
+    return R.call_ref_counts(A.tokens(spark, sf), A.symbols(spark, sf))
 
 
 @query("b6_enclosing", "SELECT token_id, symbol_id FROM enc", ENCLOSING)
@@ -127,6 +127,16 @@ def b7(spark, sf):
     return R.construction_refs(A.tokens(spark, sf), A.symbols(spark, sf)).groupBy("symbol_id").agg(F.count("*").alias("n"))
 
 
+@query("b10_tables", "SELECT 'edges' AS name, count(*) AS n FROM edges UNION ALL SELECT 'tokens', count(*) FROM tokens UNION ALL SELECT 'refs', count(*) FROM refs")
+def b10(spark, sf):
+    """The kept tables, written anew."""
+    out = None
+    for name, df in A.build(spark, sf).items():
+        one = df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("b13_delete_by_path", "SELECT file_id FROM docfiles WHERE NOT contains(path, 'src1')")
 def b13(spark, sf):
     gone = A.documents(spark, sf).where(F.col("path").contains("src1")).select("path")
@@ -164,6 +174,11 @@ def t5(spark, sf):
     return found(spark, sf)
 
 
+@query("t5_list", """SELECT token_id, path, line, col, kind, e.name AS enclosing FROM (SELECT f.*, path FROM found f JOIN files USING (file_id) WHERE contains(path, 'core') ORDER BY path, line, col, token_id LIMIT 50) LEFT JOIN enc e USING (token_id)""", f"{REFS}, {ENCLOSING}")
+def t5l(spark, sf):
+    return T.reference_list(NAME, A.symbols(spark, sf), A.tokens(spark, sf), A.refs(spark, sf), A.files(spark, sf), path="core", limit=50).drop("context")
+
+
 @query("t5_by_kind", "SELECT kind, count(*) AS n FROM found GROUP BY 1", REFS)
 def t5k(spark, sf):
     return found(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))
@@ -224,9 +239,12 @@ def t16(spark, sf):
     return A.symbols(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("t16_extensions", "SELECT ext, count(*) AS n FROM files GROUP BY 1")
+@query("t16_extensions", "SELECT lower(ext) AS ext, count(*) AS n FROM paths GROUP BY 1")
 def t16e(spark, sf):
-    return A.files(spark, sf).groupBy("ext").agg(F.count("*").alias("n"))
+    from ..functions import paths
+
+    ext = F.coalesce(F.nullif(paths.extension(F.col("path")), F.lit("")), F.lit("unknown"))
+    return A.paths(spark, sf).groupBy(ext.alias("ext")).agg(F.count("*").alias("n"))
 
 
 @query("t16_top_refs", "SELECT name, count(*) AS n FROM refs JOIN symbols USING (symbol_id) GROUP BY 1 ORDER BY n DESC, name LIMIT 10")
@@ -273,12 +291,6 @@ def t23(spark, sf):
     return A.symbols(spark, sf).groupBy("file_id", "kind").agg(F.count("*").alias("n")).join(A.files(spark, sf), "file_id").select("path", "kind", "n")
 
 
-@query("w1_stats", "SELECT (SELECT count(*) FROM files) AS files, count(*) AS symbols, count(*) FILTER (dead) AS dead, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'method') AS methods, count(*) FILTER (kind = 'class') AS classes, count(*) FILTER (kind = 'variable') AS variables FROM rows", ROWS)
-def w1(spark, sf):
-    r = rows(spark, sf).agg(F.count("*").alias("symbols"), F.count_if("dead").alias("dead"), *[F.count_if(F.col("kind") == k).alias(n) for k, n in (("function", "functions"), ("method", "methods"), ("class", "classes"), ("variable", "variables"))])
-    return r.join(F.broadcast(A.files(spark, sf).agg(F.count("*").alias("files"))))
-
-
 @query("w2_list", "SELECT symbol_id, refs, callers, callees, dead FROM rows WHERE kind = 'method' AND dead AND contains(lower(name), 'e') ORDER BY symbol_id LIMIT 200", ROWS)
 def w2(spark, sf):
     return D.symbol_list(rows(spark, sf), "method", "dead", "E").select("symbol_id", "refs", "callers", "callees", "dead")
@@ -289,11 +301,6 @@ def w7(spark, sf):
     return rows(spark, sf).where("path = 'src/api/b/file_1.py'").select("symbol_id", "name", "start_line", "refs", "dead")
 
 
-@query("w8_symbol", "SELECT symbol_id, name, path, refs, callers, callees, dead, is_entry FROM rows WHERE symbol_id = 77", ROWS)
-def w8(spark, sf):
-    return rows(spark, sf).where("symbol_id = 77").select("symbol_id", "name", "path", "refs", "callers", "callees", "dead", "is_entry")
-
-
 @query("w12_callees", "SELECT from_symbol, s.symbol_id, s.name, line FROM edges JOIN symbols s ON s.symbol_id = to_symbol")
 def w12(spark, sf):
     return A.edges(spark, sf).join(A.symbols(spark, sf), F.col("to_symbol") == F.col("symbol_id")).select("from_symbol", "symbol_id", "name", "line")
@@ -325,11 +332,40 @@ def c8(spark, sf):
     return D.entry_table(rows(spark, sf)).select("symbol_id")
 
 
-@query("c9_connections", "SELECT from_symbol, to_symbol, count(*) AS count, count(DISTINCT file_id) AS files FROM edges JOIN symbols ON symbol_id = from_symbol GROUP BY ALL")
+@query("c9_connections", """SELECT a.name AS "from", b.name AS "to", 'call' AS kind, count(*) AS count, count(DISTINCT a.file_id) AS files FROM edges JOIN symbols a ON a.symbol_id = from_symbol JOIN symbols b ON b.symbol_id = to_symbol GROUP BY ALL""")
 def c9(spark, sf):
     return D.connections(A.edges(spark, sf), A.symbols(spark, sf))
 
 
+@query("c9_loose", """SELECT name AS "from", '(various)' AS "to", 'reference' AS kind, arg_min(callers + callees, symbol_id)::BIGINT AS count, 1::BIGINT AS files FROM rows WHERE callers > 0 OR callees > 0 GROUP BY name""", ROWS)
+def c9f(spark, sf):
+    return D.loose_connections(rows(spark, sf))
+
+
+@query("c6_sort", "SELECT symbol_id, name FROM rows ORDER BY lower(name) DESC, symbol_id LIMIT 100", ROWS)
+def c6(spark, sf):
+    return D.sorted_table(rows(spark, sf), "name", False, True).limit(100).select("symbol_id", "name")
+
+
+@query("c21_detail", """SELECT kind, n, files FROM (SELECT kind, count(*) AS n FROM (SELECT r.kind FROM refs r JOIN tokens t USING (token_id) WHERE symbol_id = 77 ORDER BY t.file_id, t.line, token_id LIMIT 20) GROUP BY 1)
+JOIN (SELECT r.kind, count(DISTINCT t.file_id) AS files FROM refs r JOIN tokens t USING (token_id) WHERE symbol_id = 77 GROUP BY 1) USING (kind)""")
+def c21d(spark, sf):
+    return D.detail(A.refs(spark, sf), A.tokens(spark, sf), 77)
+
+
+@query("c20_labels", "SELECT symbol_id, CASE WHEN length(name) <= 8 THEN name ELSE left(name, 6) || '..' END AS label FROM symbols")
+def c20l(spark, sf):
+    return A.symbols(spark, sf).select("symbol_id", D.short_label(F.col("name"), 50).alias("label"))
+
+
+@query("o4_refs_csv", """SELECT path || ',' || line || ',' || col || ',' || kind || ',,' || coalesce(e.name, '') AS value FROM found JOIN files USING (file_id) LEFT JOIN enc e USING (token_id)""", f"{REFS}, {ENCLOSING}")
+def o4r(spark, sf):
+    from ..operators import export as O
+
+    r = T.reference_list(NAME, A.symbols(spark, sf), A.tokens(spark, sf), A.refs(spark, sf), A.files(spark, sf))
+    return O.csv_rows(O.table_of("refs", r.withColumnsRenamed({"path": "file", "col": "column", "enclosing": "enclosing_symbol"})))
+
+
 @query("c11_health", "SELECT *, CASE WHEN pct >= 70 THEN 'good' WHEN pct >= 40 THEN 'fair' ELSE 'poor' END AS class FROM (SELECT path, count(*) AS total, count(*) FILTER (dead) AS dead, floor(100.0 * count(*) FILTER (NOT dead) / count(*) + 0.5)::BIGINT AS pct FROM rows GROUP BY path HAVING count(*) >= 3) ORDER BY pct, path LIMIT 5", ROWS)
 def c11(spark, sf):
     return D.health(rows(spark, sf))
@@ -345,11 +381,6 @@ def c13(spark, sf):
     return rows(spark, sf).agg(F.round(100.0 * F.count_if("dead") / F.count("*"), 4).cast("double").alias("dead_pct"), F.round(100.0 * F.count_if(~F.col("dead")) / F.count("*"), 4).cast("double").alias("health_pct"))
 
 
-@query("c14_matrix", "SELECT a, b, count(*) AS w FROM (SELECT from_file AS a, to_file AS b FROM cross_edges UNION ALL SELECT to_file, from_file FROM cross_edges) WHERE a < 40 AND b < 40 GROUP BY ALL", CROSS)
-def c14(spark, sf):
-    return D.matrix(cross(spark, sf))
-
-
 @query("c15_roles", """SELECT file, role, n_in, n_out FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n_in + n_out DESC, file) AS rn FROM (
 SELECT file, CASE WHEN n_in = 0 THEN 'entry' WHEN n_out = 0 THEN 'leaf' ELSE 'internal' END AS role, n_in, n_out FROM (SELECT file, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out FROM (SELECT from_file AS file, 1 AS o, 0 AS i FROM d UNION ALL SELECT to_file, 0, 1 FROM d) GROUP BY file))) WHERE rn <= 20""",
        f"{CROSS}, d AS (SELECT DISTINCT from_file, to_file FROM cross_edges)")
@@ -357,6 +388,15 @@ def c15(spark, sf):
     return D.roles(cross(spark, sf))
 
 
+LINKED = f"""{CROSS}, d AS (SELECT DISTINCT from_file, to_file FROM cross_edges), deg AS (SELECT file, CASE WHEN n_in = 0 THEN 1 WHEN n_out = 0 THEN 3 ELSE 2 END AS pos, n_in + n_out AS n FROM (SELECT file, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT from_file AS file, 1 AS o, 0 AS i FROM d UNION ALL SELECT to_file, 0, 1 FROM d) GROUP BY file)),
+kept AS (SELECT file, pos FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, file) AS rn FROM deg) WHERE rn <= 20)"""
+
+
+@query("c15_links", "SELECT from_file, to_file, count(*) AS weight FROM cross_edges JOIN kept x ON x.file = from_file JOIN kept y ON y.file = to_file WHERE abs(x.pos - y.pos) = 1 GROUP BY ALL", LINKED)
+def c15l(spark, sf):
+    return D.role_links(cross(spark, sf), D.roles(cross(spark, sf)))
+
+
 @query("c17_tree_counts", "SELECT (SELECT count(*) FROM files) AS files, count(*) AS symbols, count(*) FILTER (dead) AS dead FROM rows", ROWS)
 def c17(spark, sf):
     return rows(spark, sf).agg(F.count_distinct("file_id").alias("files"), F.count("*").alias("symbols"), F.count_if("dead").alias("dead"))

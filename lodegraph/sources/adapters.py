@@ -4,14 +4,23 @@ files(file_id, path, language), symbols(symbol_id, name, file_id, kind, is_entry
 is_exported, start_line, end_line), edges(from_symbol, to_symbol, line),
 tokens(token_id, name, file_id, line, col, kind), refs(token_id, symbol_id, kind),
 scopes, documents as files with content, file_events, and a file graph.
+
+Tokens, references and edges are kept: the first query of an application that asks for
+them writes them to the shared folder, tokens in the order of names, so that looking up
+a name reads the row groups that hold it. build() makes them anew.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored_path
+
 FILES = 97
 MODULE = 10_000_000  # ids of the one class symbol that spans each file
 DIRS, SUBS, EXTENSIONS = ("core", "api", "web", "cli"), ("a", "b", "c"), ("rs", "py", "ts", "go", "js")
@@ -51,6 +60,34 @@ def symbols(spark: SparkSession, sf: str) -> DataFrame:
 FOUR = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def kept(*by: str):
+    """A table that is written once for an application, in the order of some columns."""
+
+    def wrap(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def written(spark: SparkSession, sf: str) -> str:
+            df = make(spark, sf)
+            return stored_path(df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df, make.__name__)
+
+        def fresh(spark: SparkSession, sf: str) -> DataFrame:
+            return spark.read.parquet(written(spark, sf))
+
+        @wraps(make)
+        def get(spark: SparkSession, sf: str) -> DataFrame:
+            key = (spark.sparkContext.applicationId, sf, make.__name__)
+            if key not in _KEPT:
+                _KEPT[key] = written(spark, sf)
+            return spark.read.parquet(_KEPT[key])
+
+        get.fresh = fresh
+        return get
+
+    return wrap
+
+
+@kept("from_symbol")
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*FOUR)
     li = read(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", *FOUR).withColumn("nxt", F.lead("l_partkey").over(w))
@@ -63,6 +100,7 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", *FOUR).withColumn("token_id", F.col("l_orderkey") * 64 + F.row_number().over(w))
 
 
+@kept("name", "token_id")
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     part = read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
     flag, n = F.col("l_returnflag"), F.col("l_linenumber")
@@ -70,12 +108,14 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _items(spark, sf).join(part, "l_partkey").select("token_id", "name", (F.col("l_suppkey") % FILES).alias("file_id"), ((F.col("l_partkey") * 7 + n * 13) % 1200 + 1).cast("int").alias("line"), F.col("l_quantity").cast("int").alias("col"), kind.alias("kind"))
 
 
+@kept("symbol_id", "token_id")
 def refs(spark: SparkSession, sf: str) -> DataFrame:
     flag, n = F.col("l_returnflag"), F.col("l_linenumber")
     kind = F.when(flag == "R", "call").when(n % 4 == 0, "write").when(n % 4 == 1, "type_annotation").when(n % 4 == 2, "construction").otherwise("read")
     return _items(spark, sf).where(F.col("l_partkey") % 7 != 0).select("token_id", F.col("l_partkey").alias("symbol_id"), kind.alias("kind"))
 
 
+@kept()
 def file_edges(spark: SparkSession, sf: str) -> DataFrame:
     """A sparse file graph with cycles of several sizes."""
     e = edges(spark, sf).select((F.col("from_symbol") % FILES).alias("a"), (F.col("to_symbol") % FILES).alias("b"))
@@ -83,12 +123,30 @@ def file_edges(spark: SparkSession, sf: str) -> DataFrame:
     return e.where((F.floor(a / 10) == F.floor(b / 10)) & ((a < b) | ((a + b) % 7 == 0)) & (a != b)).distinct()
 
 
+def build(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The kept tables, made anew."""
+    return {name: make.fresh(spark, sf) for name, make in (("edges", edges), ("tokens", tokens), ("refs", refs))}
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as source files: file_id, path, language, content."""
     i = F.col("doc_id")
     return read(spark, sf, "documents").select(i.alias("file_id"), F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), i.cast("string"), F.lit(".md"))).alias("path"), F.lit("markdown").alias("language"), F.col("text").alias("content"))
 
 
+FOLDERS = ("src", "src/tests", "pkg/__mocks__", "app/build", "web/.next", "lib/gen", "config", "home/.aws", "x/secrets", "docs")
+NAMES = ("main", "test_util", "conftest", "handler_test", "foo.spec", "api.min", "x.bundle.y", "production", "token", "my-secret", ".env")
+SUFFIXES = ("rs", "pyi", "kts", "mjs", "cjs", "hrl", "mli", "tsx", "md", "toml", "JSON", "go", "py", "key", "pem", "lhs", "zsh", "txt", "ts", "js", "css", "map", "mts")
+
+
+def paths(spark: SparkSession, sf: str) -> DataFrame:
+    """A source path for each document: file_id, path, folder, base, ext. Folders, names and extensions of many kinds."""
+    i = F.col("doc_id")
+    folder, base, ext = pick(FOLDERS, i), pick(NAMES, F.floor(i / 10)), pick(SUFFIXES, i * 7 + F.floor(i / 110))
+    rows = read(spark, sf, "documents").select(i.alias("file_id"), F.concat(F.lit("p"), i.cast("string"), F.lit("/"), folder).alias("folder"), base.alias("base"), ext.alias("ext"))
+    return rows.select("file_id", F.concat("folder", F.lit("/"), "base", F.lit("."), "ext").alias("path"), "folder", "base", "ext")
+
+
 def file_events(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events")
     return e.select(F.col("event_id").alias("seq"), "ts", (F.col("user_id") % 5).alias("project"), F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".rs")).alias("path"), F.when(F.col("event_type") == "error", "deleted").otherwise("changed").alias("action"))
@@ -121,6 +179,7 @@ refs AS (SELECT token_id, l_partkey AS symbol_id, CASE WHEN l_returnflag = 'R' T
 file_edges AS (SELECT DISTINCT a, b FROM (SELECT from_symbol % {FILES} AS a, to_symbol % {FILES} AS b FROM edges) WHERE a // 10 = b // 10 AND (a < b OR (a + b) % 7 = 0) AND a <> b),
 docfiles AS (SELECT doc_id AS file_id, source || '/' || lang || '/doc_' || doc_id || '.md' AS path, text AS content FROM documents),
 lines AS (SELECT file_id, unnest(range(1, len(xs) + 1))::INT AS line, rtrim(unnest(xs), chr(13)) AS text FROM (SELECT file_id, CASE WHEN content = '' THEN [] WHEN ends_with(content, chr(10)) THEN string_split(content, chr(10))[:-2] ELSE string_split(content, chr(10)) END AS xs FROM docfiles)),
+paths AS (SELECT file_id, folder || '/' || base || '.' || ext AS path, folder, base, ext FROM (SELECT doc_id AS file_id, 'p' || doc_id || '/' || {_list(FOLDERS, 'doc_id')} AS folder, {_list(NAMES, 'doc_id // 10')} AS base, {_list(SUFFIXES, 'doc_id * 7 + doc_id // 110')} AS ext FROM documents)),
 file_events AS (SELECT event_id AS seq, ts, user_id % 5 AS project, 'src/u' || user_id || '.rs' AS path, CASE WHEN event_type = 'error' THEN 'deleted' ELSE 'changed' END AS action FROM events),
 snaps AS (SELECT strftime(o_orderdate, '%Y%m') AS id, max(o_orderdate) AS created_at, count(DISTINCT o_custkey) AS files, count(*) AS symbols, count(*) FILTER (o_orderstatus = 'F') AS dead, count(*) FILTER (o_orderpriority = '1-URGENT') AS cycles, count(*) FILTER (o_orderstatus = 'P') AS entry_points FROM orders GROUP BY 1)
 """
