@@ -29,6 +29,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,6 @@ FREQUENT = 100_000
 #: No logit counts beyond this, so exponentials stay finite without a search for the largest.
 LIMIT = np.float32(40)
 ONES = np.ones((max(FAN, WINDOW), 1), np.float32)
-KNOWN = 300_000
 END_WORD = b"\n"  # no word holds white space, so this names the end
 
 
@@ -55,33 +55,27 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Subwords:
-    """Words to ids: the vocabulary's first ranks, then renumbered so that a class holds tokens of like beginnings."""
+    """Words to ids: the vocabulary's first ranks, then renumbered so that a class holds tokens of like beginnings.
+
+    Ids of new words are most of the work on text with many words, so the library's merges make them.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         kept = {t: r for t, r in ranks.items() if r < END}
         order = sorted(kept, key=lambda t: (not t.startswith(b" "), t))
-        self.codec = bpe.Bpe({t: kept[t] for t in order}, r"[\s\S]+", "<u2")
-        self.renumber = np.full(VOCABULARY, END, np.uint16)
+        self.codec = tiktoken.Encoding("subwords", pat_str=" [^ ]+", mergeable_ranks=kept, special_tokens={})
+        self.renumber = np.full(VOCABULARY, END, "<u2")
         self.renumber[[kept[t] for t in order]] = np.arange(len(order))
-        self.known: dict[bytes, bytes] = {END_WORD: np.array([END], "<u2").tobytes()}
 
     def encode(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        get = self.known.get
-        found = [list(map(get, ws)) for ws in texts]
-        new = list({w for ws, xs in zip(texts, found, strict=True) if None in xs for w, x in zip(ws, xs, strict=True) if x is None})
-        if new:
-            if len(self.known) + len(new) > KNOWN:
-                here = {w for ws in texts for w in ws}
-                self.known = {w: x for w, x in self.known.items() if w in here or w == END_WORD}
-            raw = self.codec.merge([b" " + w for w in new])
-            ids = self.renumber[np.frombuffer(b"".join(raw), "<u2")].astype("<u2").tobytes()
-            at = 0
-            for w, x in zip(new, raw, strict=True):
-                self.known[w] = ids[at : at + len(x)]
-                at += len(x)
-            get = self.known.__getitem__
-            found = [list(map(get, ws)) if None in xs else xs for ws, xs in zip(texts, found, strict=True)]
-        return [np.frombuffer(b"".join(xs), "<u2") for xs in found]
+        """Ids of lists of words, which may close with END_WORD."""
+        out = []
+        for ws in texts:
+            closed = ws[-1:] == [END_WORD]
+            words = ws[:-1] if closed else ws
+            ids = self.renumber[self.codec.encode_to_numpy((b" " + b" ".join(words)).decode())] if words else self.renumber[:0]
+            out.append(np.append(ids, np.uint16(END)).astype("<u2") if closed else ids)
+        return out
 
 
 class Windows:

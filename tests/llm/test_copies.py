@@ -340,6 +340,17 @@ def test_rare_words_are_joined(spark, sf, monkeypatch):
         assert abs(r.base_score - want[r.doc_id]) < 1e-7 * abs(want[r.doc_id])
 
 
+def test_subwords_follow_the_ranks():
+    ranks = {t: r for t, r in bpe.vocabulary()[0].items() if r < attention.END}
+    plain, sub, rng = bpe.Bpe(ranks, r"[\s\S]+", "<u2"), attention.Subwords(ranks), random.Random(2)
+    words = ["".join(rng.choice("abcdeéß漢1.,'") for _ in range(rng.randrange(1, 30))).encode() for _ in range(500)]
+    for w, ids in zip(words, sub.encode([[w] for w in words]), strict=True):
+        assert ids.tolist() == sub.renumber[np.frombuffer(plain.merge([b" " + w])[0], "<u2")].tolist()
+    whole = sub.encode([[*words, attention.END_WORD], [attention.END_WORD], []])
+    assert whole[0].tolist() == [x for ids in sub.encode([[w] for w in words]) for x in ids.tolist()] + [attention.END]
+    assert whole[1].tolist() == [attention.END] and len(whole[2]) == 0
+
+
 def test_the_model_is_trained(spark):
     """Held-out text scores far above subword frequencies, on a small table too."""
     docs = common.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text")
