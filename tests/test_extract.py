@@ -56,7 +56,7 @@ GOLDEN = {
     "haskell": ("swap' :: a -> a\n", {("swap'", "function", 1)}, set()),
     "go": ("import \"fmt\"\nfunc (r *Rec) Do(x int) {\n}\ntype T interface {\n}\n", {("Do", "function", 2), ("T", "interface", 4)}, {"fmt"}),
     "typescript": ("export interface I {}\nexport type Id<T> = T | null;\nexport const run = async (a) => 1;\nimport { x } from '@a/b';\n", {("I", "interface", 1), ("Id", "type_alias", 2), ("run", "function", 3)}, {"@a/b"}),
-    "kotlin": ("class K\nfun x() {}\n", {("K", "class", 1)}, set()),
+    "kotlin": ("class K\nfun x() {}\n", {("K", "class", 1), ("x", "method", 2)}, set()),
 }
 
 
