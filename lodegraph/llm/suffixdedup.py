@@ -40,7 +40,7 @@ from . import common, shingles
 LENGTH, PASSAGE = 400, 240
 SEGMENT = 1 << 16
 RUN = 4096
-HOT = 1 << 24
+HOT = 1 << 23  # takes about 70 bytes of memory a byte
 CHUNK = 1 << 18
 LARGE = 1 << 21  # ranks of so many places fit 21 bits, so that three make one sort key
 _bytes = [shingles.mix(np.arange(256, dtype=np.uint64) + np.uint64(1000 * i + 1)) for i in (1, 2)]
@@ -106,41 +106,67 @@ def pieces(text: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.n
 def suffix_order(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """The windows of all texts in suffix order (by bytes to a depth of `length`, then by place), and the common prefix of each with the one before, up to `length`."""
     sizes = np.array([len(t) - length + 1 for t in texts])
-    buf = np.frombuffer(b"".join(texts) + bytes(length + 8), np.uint8).astype(np.uint64)
-    x, at = buf, 1
+    buf = np.frombuffer(b"".join(texts) + bytes(length + 8), np.uint8)
+    x, at = buf.astype(np.uint64), 1
     while at < 8:
         x = (x[:-at] << np.uint64(8 * at)) | x[at:]
         at *= 2
     levels, depth = [(8, _rank(x))], 8
+    del x
     while depth * 2 <= length:
         rank = levels[-1][1]
         if depth * 3 <= length and len(buf) < LARGE:
-            rank, depth = _rank((rank[: -2 * depth] << np.uint64(42)) | (rank[depth:-depth] << np.uint64(21)) | rank[2 * depth :]), depth * 3
+            both = rank[: -2 * depth].astype(np.uint64) << np.uint64(42)
+            both |= rank[depth:-depth].astype(np.uint64) << np.uint64(21)
+            both |= rank[2 * depth :]
+            depth *= 3
         else:
-            rank, depth = _rank((rank[:-depth] << np.uint64(32)) | rank[depth:]), depth * 2
-        levels.append((depth, rank))
+            both = rank[:-depth].astype(np.uint64) << np.uint64(32)
+            both |= rank[depth:]
+            depth *= 2
+        levels.append((depth, _rank(both)))
+        del both
     rank, offsets = levels[-1][1], np.cumsum([0, *[len(t) for t in texts]])[:-1]
-    window = np.repeat(offsets - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    key = (rank[window] << np.uint64(32)) | rank[window + length - depth] if length >= 8 else x[window] >> np.uint64(64 - 8 * length)
-    order = np.argsort(key, kind="stable")
-    common_ = np.full(len(order), length)
+    window = (np.repeat(offsets - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())).astype(np.int32)
+    if length >= 8:
+        key = rank[window].astype(np.uint64) << np.uint64(32)
+        key |= rank[window + np.int32(length - depth)]
+    else:
+        key = np.zeros(len(window), np.uint64)
+        for k in range(length):
+            key = (key << np.uint64(8)) | buf[window + np.int32(k)]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    common_ = np.full(len(order), length, np.int16)
     common_[:1] = 0
-    differ = 1 + np.flatnonzero(key[order][1:] != key[order][:-1])
-    a, b = window[order[differ - 1]], window[order[differ]]
-    got = np.zeros(len(differ), np.int64)
-    for depth, rank in reversed(levels):
-        for _ in range(2):
-            ok = np.flatnonzero(got + depth <= length)
-            got[ok[rank[a[ok] + got[ok]] == rank[b[ok] + got[ok]]]] += depth
-    d = x[a + got] ^ x[b + got]
-    for k in range(1, 8):
-        got += d < np.uint64(1 << (64 - 8 * k))
-    common_[differ] = np.minimum(got, length)
+    key = key[order]
+    differ = (1 + np.flatnonzero(key[1:] != key[:-1])).astype(np.int32)
+    del key
+    for i in range(0, len(differ), CHUNK):  # a part at a time, for memory's sake
+        at = differ[i : i + CHUNK]
+        a, b = window[order[at - 1]], window[order[at]]
+        got = np.zeros(len(at), np.int32)
+        for depth, rank in reversed(levels):
+            for _ in range(2):
+                ok = np.flatnonzero(got + depth <= length)
+                got[ok[rank[a[ok] + got[ok]] == rank[b[ok] + got[ok]]]] += depth
+        on = np.arange(len(at))
+        for _ in range(7):
+            on = on[buf[a[on] + got[on]] == buf[b[on] + got[on]]]
+            got[on] += 1
+        common_[at] = np.minimum(got, length)
     return order, common_
 
 
 def _rank(x: np.ndarray) -> np.ndarray:
-    return np.unique(x, return_inverse=True)[1].astype(np.uint64)
+    """The place of each value among the distinct ones."""
+    order = np.argsort(x)
+    new = np.zeros(len(x), bool)
+    part = x[order]
+    np.not_equal(part[1:], part[:-1], out=new[1:])
+    del part
+    out = np.empty(len(x), np.uint32)
+    out[order] = np.cumsum(new, dtype=np.uint32)
+    return out
 
 
 def smaller(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -148,8 +174,8 @@ def smaller(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
 
     shared[i] is the common prefix of i with i - 1. Pointers jump over larger positions, all at once.
     """
-    at, low = np.arange(-1, len(position) - 1), shared.copy()
-    on = np.arange(1, len(position))
+    at, low = np.arange(-1, len(position) - 1, dtype=np.int32), shared.copy()
+    on = np.arange(1, len(position), dtype=np.int32)
     while len(on := on[position[at[on]] > position[on]]):
         via = at[on]
         low[on], at[on] = np.minimum(low[on], low[via]), at[via]
@@ -162,9 +188,9 @@ def factors(texts: list[bytes], length: int = LENGTH) -> list[tuple[np.ndarray,
     """For each window of each text, in the order of the texts: the longest previous factor, and the longest string that it shares with any other window; both up to `length`."""
     order, shared = suffix_order(texts, length)
     before = smaller(order, shared)
-    back = np.append(shared[1:], 0)  # with the one behind
+    back = np.append(shared[1:], shared[:0].dtype.type(0))  # with the one behind
     after = smaller(order[::-1], back[::-1])[::-1]
-    lpf, other = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    lpf, other = np.empty(len(order), np.int16), np.empty(len(order), np.int16)
     lpf[order], other[order] = np.maximum(before, after), np.maximum(shared, back)
     cuts = np.cumsum([len(t) - length + 1 for t in texts])[:-1]
     return list(zip(np.split(lpf, cuts), np.split(other, cuts), strict=True))
