@@ -87,7 +87,7 @@ class Bpe:
         pairs = [(a, b, rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
         left, right, merged = np.array(pairs or [(0, 0, 0)], np.int64).T[:, : len(pairs)]
         self.pairs = PairTable(left, right, merged)
-        self.merged = {(a << 32) | b: rank for a, b, rank in pairs}
+        self.merged: dict[int, int] = {}  # pairs by name, made where a long word needs them
         self.known: dict[str, bytes] = {}
 
     # -- pieces -----------------------------------------------------------
@@ -140,6 +140,9 @@ class Bpe:
         """Ids of one long piece: the pair of lowest rank, the leftmost of equal ones, is merged until none is left."""
         ids = self.byte[np.frombuffer(piece, np.uint8)]
         n, none = len(ids), int(NONE)
+        if not self.merged:
+            found = self.pairs.keys != EMPTY
+            self.merged = dict(zip(self.pairs.keys[found].tolist(), self.pairs.vals[found].tolist(), strict=True))
         rank = [*self.pairs.rank(ids[:-1], ids[1:]).tolist(), none]
         queue = [(r << 32) | i for i, r in enumerate(rank) if r != none]
         heapq.heapify(queue)

@@ -52,6 +52,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Rows that Spark hands to a worker at once.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 #: Tables that stored() wrote and that are still there.
 _TABLES: list[DataFrame] = []
 
@@ -118,6 +120,9 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     """mapInArrow whose function yields dicts of columns of equal length."""
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(fields)
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, "10000") == "10000":  # Spark's default, which is made for narrow rows; texts are wide
+        conf.set(BATCH, str(ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in fn(batches):
