@@ -16,14 +16,10 @@ def csv_cell(c: Column) -> Column:
 
 
 def csv_rows(df: DataFrame) -> DataFrame:
-    """Rows as CSV lines; the header is `csv_header`."""
+    """Rows as CSV lines, without a header."""
     return df.select(F.concat_ws(",", *[csv_cell(F.col(c)) for c in df.columns]).alias("value"))
 
 
-def csv_header(df: DataFrame) -> str:
-    return ",".join(df.columns)
-
-
 # The columns of each analysis' CSV form.
 HEADERS = {
     "trace": ("path_num", "entry_point", "entry_kind", "step", "symbol", "file", "line"),
@@ -106,10 +102,6 @@ def chain_text(names: Column) -> Column:
     return F.array_join(names, " -> ")
 
 
-def plain_rows(df: DataFrame, path: str = "path", line: str = "line", text: str = "name") -> DataFrame:
-    return df.select(F.concat(F.col(path), F.lit(":"), F.col(line).cast("string"), F.lit(": "), F.coalesce(F.col(text), F.lit(""))).alias("value"))
-
-
 def preview(content: Column, lines: int = 3, width: int = 80) -> Column:
     """The first lines of a hit, each cut to a width in characters."""
     first = F.slice(F.split(content, "\n"), F.lit(1), F.lit(lines))

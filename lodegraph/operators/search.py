@@ -21,12 +21,6 @@ def query_terms(spark, query: str) -> DataFrame:
     return q.groupBy("term").agg(F.count("*").cast("double").alias("weight"))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf of one field, with dl, the number of terms in it."""
-    t = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"))
-    return t.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
-
-
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
     """id, score of the documents with a query term in one field.
 

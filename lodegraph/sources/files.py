@@ -209,7 +209,3 @@ class Registry:
 
     def forget(self, path: str) -> list[dict]:
         return self._write([p for p in self.read() if p["path"] != path])
-
-
-def setting_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
