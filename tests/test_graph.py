@@ -141,3 +141,11 @@ def test_update_equals_rebuild(spark):
     less = incremental.update_graph(want, spark.createDataFrame([], FILES), spark.createDataFrame([(3,)], "file_id long"))
     assert sorted(r.name for r in less["symbols"].collect()) == ["bar", "baz", "qux"]
     assert sorted((r.from_symbol, r.to_symbol) for r in less["edges"].collect()) == sorted((r.from_symbol, r.to_symbol) for r in extract.build(spark.createDataFrame([a2, b], FILES))["edges"].collect())
+
+
+def test_constructions_are_counted_before_names_meet_symbols(spark, sf):
+    s = spark.createDataFrame([(i, n, 1, "class", False, False, 1, 9) for i, n in ((1, "A"), (2, "A"), (3, "B"), (4, "C"))], SYMBOLS)
+    t = spark.createDataFrame([(1, "A", "type"), (2, "A", "type"), (3, "B", "type"), (4, "C", "call"), (5, None, "type")], "token_id long, name string, kind string")
+    assert sorted(map(tuple, resolve.construction_ref_counts(t, s).collect())) == [(1, 2), (2, 2), (3, 1)]
+    plan = registry.queries()["b7_construction_refs"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [name" in plan[plan.index("Join") :]
