@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, stored
+from ..session import cut, drop, ranked, stored
 
+SEEDS = 64  # seeds of a block: the bits of a long
 SMALL = 100_000  # edges up to which components are found on the driver
 
 
@@ -37,24 +39,52 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None, backward: b
     return seen
 
 
-def distances(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
-    """seed, depth, n: how many nodes have their shortest distance from each seed at each depth, however far.
+def numbered(seeds: DataFrame) -> DataFrame:
+    """seed, block, bit: a place for every seed among blocks of SEEDS, in the order of their ids."""
+    at = ranked(seeds.select("seed").distinct(), "no", "seed")
+    return stored(at.select("seed", F.floor((F.col("no") - 1) / SEEDS).alias("block"), ((F.col("no") - 1) % SEEDS).alias("bit")), "seeds")
 
-    Only pairs of seed and node are kept, not paths; each level is written once and read by the next ones.
+
+def bits(mask: Column) -> Column:
+    """The places of the bits that are set in a mask."""
+    return F.filter(F.sequence(F.lit(0), F.lit(SEEDS - 1)), lambda i: F.call_function("getbit", mask, i) == 1)
+
+
+def spread(edges: DataFrame, places: DataFrame, max_depth: int | None, backward: bool = False) -> Iterator[tuple[int, DataFrame]]:
+    """(depth, state) level by level, up to max_depth or, with None, however far; at last the state in which nothing is new.
+
+    state: node, block, and as masks over the block's seeds those that have reached the node (seen) and
+    those whose shortest distance is this depth (new). A row stands for up to SEEDS pairs of seed and
+    node. A state is deleted when the next but one is asked for, so two are there at a time.
     """
     a, b = ("to_symbol", "from_symbol") if backward else ("from_symbol", "to_symbol")
     steps = stored(edges.where(f"{a} is not null and {b} is not null").select(F.col(a).alias("at"), F.col(b).alias("next")).distinct(), "steps")
-    seen = front = stored(seeds.select("seed", F.col("seed").alias("node")).distinct(), "level")
-    out = front.groupBy("seed").agg(F.lit(0).alias("depth"), F.count("*").alias("n"))
-    for d in count(1):
-        go = front.join(steps, front["node"] == steps["at"]).select("seed", F.col("next").alias("node")).distinct()
-        front = stored(go.join(seen, ["seed", "node"], "left_anti"), "level")
-        if front.isEmpty():
-            return out
-        out = out.unionByName(front.groupBy("seed").agg(F.lit(d).alias("depth"), F.count("*").alias("n")))
-        seen = seen.unionByName(front)
-        if d % 16 == 0:  # so that the plan of a long walk stays small
-            seen, out = stored(seen, "level"), stored(out, "levels")
+    mask = F.expr("shiftleft(1L, bit)")
+    state, old = stored(places.select(F.col("seed").alias("node"), "block", mask.alias("seen"), mask.alias("new")), "level"), None
+    for d in count():
+        yield d, state
+        if old is not None:
+            drop(old)
+        if d == max_depth or state.where("new <> 0").isEmpty():
+            drop(steps)
+            return
+        come = state.where("new <> 0").join(steps, F.col("node") == F.col("at")).groupBy(F.col("next").alias("node"), "block").agg(F.bit_or("new").alias("come"))
+        both = state.select("node", "block", "seen", F.lit(0).cast("long").alias("come")).unionByName(come.withColumn("seen", F.lit(0).cast("long")))
+        both = both.groupBy("node", "block").agg(F.bit_or("seen").alias("s"), F.bit_or("come").alias("c"))
+        s, c = F.col("s"), F.col("c")
+        old, state = state, stored(both.select("node", "block", s.bitwiseOR(c).alias("seen"), c.bitwiseAND(F.bitwise_not(s)).alias("new")), "level")
+
+
+def farthest(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
+    """seed, depth: the largest of the shortest distances from each seed, however far."""
+    places, out = numbered(seeds), None
+    for d, state in spread(edges, places, None, backward):
+        level = stored(state.where("new <> 0").groupBy("block").agg(F.bit_or("new").alias("new")).withColumn("depth", F.lit(d)), "levels")
+        out = level if out is None else out.unionByName(level)
+        if d % 16 == 15:  # so that the plan of a long walk stays small
+            out = stored(out, "levels")
+    drop(state)
+    return out.select("block", "depth", F.explode(bits(F.col("new"))).alias("bit")).groupBy("block", "bit").agg(F.max("depth").alias("depth")).join(places, ["block", "bit"]).select("seed", "depth")
 
 
 def components(edges: DataFrame, small: int = SMALL) -> DataFrame:

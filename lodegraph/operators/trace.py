@@ -144,8 +144,8 @@ def impact_names(symbols: DataFrame, edges: DataFrame, files: DataFrame, target:
 def call_depths(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """max_depth, avg_depth over entry points: each one's largest shortest distance downward."""
     seeds = symbols.where("is_entry").select(F.col("symbol_id").alias("seed"))
-    d = graph.distances(edges, seeds).groupBy("seed").agg(F.max("depth").alias("d"))
-    return d.agg(F.coalesce(F.max("d"), F.lit(0)).alias("max_depth"), F.round(F.coalesce(F.avg("d"), F.lit(0.0)), 4).alias("avg_depth"))
+    d = graph.farthest(edges, seeds)
+    return d.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"), F.round(F.coalesce(F.avg("depth"), F.lit(0.0)), 4).alias("avg_depth"))
 
 
 def best_paths(symbols: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: int = 50, most: int = 5) -> DataFrame:

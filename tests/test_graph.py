@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodegraph.operators import extract, graph, incremental, resolve, trace
 from lodegraph.plans import registry
@@ -149,3 +150,22 @@ def test_constructions_are_counted_before_names_meet_symbols(spark, sf):
     assert sorted(map(tuple, resolve.construction_ref_counts(t, s).collect())) == [(1, 2), (2, 2), (3, 1)]
     plan = registry.queries()["b7_construction_refs"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [name" in plan[plan.index("Join") :]
+
+
+def many_seeds(spark):
+    """A random graph, 150 of its symbols as seeds (more than a block holds), and what they call."""
+    rng = random.Random(8)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(260)]
+    s = symbols(spark, [(i, f"f{i}", i % 4 != 0) for i in range(200)])
+    e = edges(spark, [(a, b, 1) for a, b in pairs + pairs[:20]] + [(None, 3, 1), (3, None, 1)])
+    return s, e, neighbours(pairs)
+
+
+def test_farthest_of_many_seeds(spark):
+    s, e, calls = many_seeds(spark)
+    seeds = s.where("is_entry").select(F.col("symbol_id").alias("seed"))
+    got = {r.seed: r.depth for r in graph.farthest(e, seeds).collect()}
+    assert got == {i: max(distances(calls, i).values()) for i in range(200) if i % 4}
+    *_, (_, last) = graph.spread(e, graph.numbered(seeds), None)
+    pairs = sum(len(distances(calls, i)) for i in got)
+    assert last.count() < pairs / 10, "a row stands for a block of seeds, not for a pair"
