@@ -87,6 +87,20 @@ def farthest(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> Data
     return out.select("block", "depth", F.explode(bits(F.col("new"))).alias("bit")).groupBy("block", "bit").agg(F.max("depth").alias("depth")).join(places, ["block", "bit"]).select("seed", "depth")
 
 
+def surroundings(edges: DataFrame, seeds: DataFrame, max_depth: int, backward: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Who is reached within max_depth steps: node, block and masks own (the node is the seed), direct (one step) and far (more); and numbered(seeds)."""
+    places, none = numbered(seeds), F.lit(0).cast("long")
+    kinds, parts = ("own", "direct"), []
+    for d, state in spread(edges, places, max_depth, backward):
+        if d < len(kinds):
+            parts.append(stored(state.where("new <> 0").select("node", "block", none.alias("seen"), *[(F.col("new") if i == d else none).alias(k) for i, k in enumerate(kinds)]), "near"))
+    out = state.select("node", "block", "seen", *[none.alias(k) for k in kinds])
+    for p in parts:
+        out = out.unionByName(p)
+    out = out.groupBy("node", "block").agg(*[F.bit_or(k).alias(k) for k in ("seen", *kinds)])
+    return out.select("node", "block", *kinds, F.col("seen").bitwiseAND(F.bitwise_not(F.col("own").bitwiseOR(F.col("direct")))).alias("far")), places
+
+
 def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """node, component (its smallest node) of the strongly connected components of edges (a, b) with two nodes or more.
 

@@ -118,11 +118,14 @@ def risk(entries: Column, files: Column, direct: Column) -> Column:
 
 def impact(symbols: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: int = 10, with_target: bool = True) -> DataFrame:
     """symbol_id, direct, transitive, files, entries, risk: who is reached by walking up from each target."""
-    r = graph.reach(edges, targets.select(F.col("symbol_id").alias("seed")), max_depth, backward=True)
-    s = symbols.select(F.col("symbol_id").alias("node"), "file_id", "is_entry")
-    rows = r.join(s, "node")
-    own = rows if with_target else rows.where("depth > 0")
-    out = own.groupBy("seed").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"), F.count_distinct("file_id").alias("files"), F.count_if("is_entry").alias("entries"))
+    near, places = graph.surroundings(edges, targets.select(F.col("symbol_id").alias("seed")), max_depth, backward=True)
+    up = F.col("direct").bitwiseOR(F.col("far"))
+    rows = near.join(symbols.select(F.col("symbol_id").alias("node"), "file_id", "is_entry"), "node").withColumn("all", F.col("own").bitwiseOR(up) if with_target else up).where("`all` <> 0")
+    has = lambda mask: F.sum(F.call_function("getbit", F.col(mask), F.col("bit")).cast("long"))
+    sums = rows.withColumn("bit", F.explode(graph.bits(F.col("all")))).groupBy("block", "bit").agg(has("direct").alias("direct"), has("far").alias("transitive"), F.count_if("is_entry").alias("entries"))
+    by_file = rows.groupBy("block", "file_id").agg(F.bit_or("all").alias("all"))
+    files = by_file.withColumn("bit", F.explode(graph.bits(F.col("all")))).groupBy("block", "bit").agg(F.count("file_id").alias("files"))
+    out = sums.join(files, ["block", "bit"]).join(places, ["block", "bit"])
     return out.select(F.col("seed").alias("symbol_id"), "direct", "transitive", "files", "entries", risk(F.col("entries"), F.col("files"), F.col("direct")).alias("risk"))
 
 

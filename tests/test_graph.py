@@ -169,3 +169,18 @@ def test_farthest_of_many_seeds(spark):
     *_, (_, last) = graph.spread(e, graph.numbered(seeds), None)
     pairs = sum(len(distances(calls, i)) for i in got)
     assert last.count() < pairs / 10, "a row stands for a block of seeds, not for a pair"
+
+
+@pytest.mark.parametrize("with_target", [True, False])
+def test_impact_of_many_seeds(spark, with_target):
+    s, e, calls = many_seeds(spark)
+    callers = neighbours((b, a) for a, bs in calls.items() for b in bs)
+    got = {r.symbol_id: (r.direct, r.transitive, r.files, r.entries) for r in trace.impact(s, e, s.where("is_entry"), 4, with_target).collect()}
+    want = {}
+    for i in (i for i in range(200) if i % 4):
+        found = {n: d for n, d in distances(callers, i).items() if (0 if with_target else 1) <= d <= 4}
+        if found:
+            want[i] = (sum(d == 1 for d in found.values()), sum(d > 1 for d in found.values()), 1, sum(n % 4 != 0 for n in found))
+    assert got == want
+    rows, _ = graph.surroundings(e, s.where("is_entry").select(F.col("symbol_id").alias("seed")), 4, True)
+    assert set(rows.columns) == {"node", "block", "own", "direct", "far"}, "masks of seeds, no chains"
