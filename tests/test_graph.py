@@ -184,3 +184,10 @@ def test_impact_of_many_seeds(spark, with_target):
     assert got == want
     rows, _ = graph.surroundings(e, s.where("is_entry").select(F.col("symbol_id").alias("seed")), 4, True)
     assert set(rows.columns) == {"node", "block", "own", "direct", "far"}, "masks of seeds, no chains"
+
+
+def test_resolve_writes_no_tokens(spark, sf):
+    """Call edges need neither token ids nor other tokens, so the query reads the tables as they are."""
+    df = registry.queries()["b4_resolve"](spark, sf)
+    assert {f.rsplit("/", 1)[0].removeprefix("file://") for f in df.inputFiles()} == {sf}
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
