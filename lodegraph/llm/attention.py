@@ -12,8 +12,8 @@ frequencies over all of it; and gradient steps on every document, which are deal
 over ROUNDS rounds: in each, every partition trains its own copy from the common
 weights, and the copies are averaged by the windows they saw, level by level.
 
-The base score sums over words. Counts of the FREQUENT most frequent words are
-broadcast (a fixed bound); other words are joined by a shuffle.
+The base score sums over words. Counts of the most frequent words, FREQUENT at most,
+are broadcast (a fixed bound); other words are joined by a shuffle.
 
 Defined results: a null text counts as an empty one and has one token, the end;
 rows without a doc_id train and are not held out; repeated rows give repeated
@@ -66,14 +66,18 @@ class Subwords:
         self.codec = tiktoken.Encoding("subwords", pat_str=" [^ ]+", mergeable_ranks=kept, special_tokens={})
         self.renumber = np.full(VOCABULARY, END, "<u2")
         self.renumber[[kept[t] for t in order]] = np.arange(len(order))
+        self.openers = sum(t.startswith(b" ") for t in order)  # ids below this begin a word, and no others do
+
+    def cut(self, words: list[bytes]) -> np.ndarray:
+        """Ids of words, one word behind the other."""
+        return self.renumber[self.codec.encode_to_numpy((b" " + b" ".join(words)).decode())] if words else self.renumber[:0]
 
     def encode(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Ids of lists of words, which may close with END_WORD."""
         out = []
         for ws in texts:
             closed = ws[-1:] == [END_WORD]
-            words = ws[:-1] if closed else ws
-            ids = self.renumber[self.codec.encode_to_numpy((b" " + b" ".join(words)).decode())] if words else self.renumber[:0]
+            ids = self.cut(ws[:-1] if closed else ws)
             out.append(np.append(ids, np.uint16(END)).astype("<u2") if closed else ids)
         return out
 
@@ -90,14 +94,15 @@ class Windows:
         step = np.arange(self.counts.sum()) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
         self.start = np.repeat(starts, self.counts) + step * STEP
         self.valid = np.minimum(np.repeat(n, self.counts) - step * STEP, STEP)
+        self.rows = np.lib.stride_tricks.sliding_window_view(self.flat, WINDOW + 1)
 
     def __len__(self) -> int:
         return len(self.start)
 
     def block(self, which) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(inputs, targets, scored) of some windows: the last STEP inputs predict the targets."""
-        at = self.start[which][:, None]
-        return self.flat[at + np.arange(WINDOW)], self.flat[at + np.arange(CONTEXT + 1, WINDOW + 1)], np.arange(STEP) < self.valid[which][:, None]
+        rows = self.rows[self.start[which]]
+        return rows[:, :-1], rows[:, CONTEXT + 1 :], np.arange(STEP) < self.valid[which][:, None]
 
 
 class Model:
@@ -114,6 +119,7 @@ class Model:
     #: How far each scored place looks back, and where it may look.
     GAP = np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)
     SEEN = GAP >= 0
+    LOOKS, GAPS = np.flatnonzero(SEEN), GAP[SEEN]
 
     def __init__(self, flat: np.ndarray):
         self.flat = np.array(flat, np.float32)
@@ -143,14 +149,12 @@ class Model:
         m.w["leaf"][:, -1] = np.log(f / f.sum(1, keepdims=True))
         return m
 
-    def space(self, name: str, *shape: int) -> np.ndarray:
+    def space(self, name: str, many: int, *shape: int) -> np.ndarray:
         """Working memory that the next batch uses again: fresh pages cost more than the sums."""
         key = (name, *shape)
-        if key not in self.room:
-            if len(self.room) > 60:
-                self.room.clear()
-            self.room[key] = np.empty(shape, np.float32)
-        return self.room[key]
+        if key not in self.room or len(self.room[key]) < many:
+            self.room[key] = np.empty((many, *shape), np.float32)
+        return self.room[key][:many]
 
     def looks(self, q, k, limit: bool) -> np.ndarray:
         """Exponentials of the scored places' attention, before division by their sums."""
@@ -162,109 +166,122 @@ class Model:
     def exp(x: np.ndarray, limit: bool) -> np.ndarray:
         return np.exp(np.minimum(x, LIMIT, out=x) if limit else x, out=x)
 
-    def leaves(self, h: np.ndarray, group: np.ndarray, limit: bool) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """Exponentials of the second step's logits, for places in the order of their classes; and (class, from, to)."""
-        out, ends = self.space("leaf", len(h), FAN), np.searchsorted(group, np.arange(FAN + 1)).tolist()
-        parts = [(g, i, j) for g, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if i < j]
-        for g, i, j in parts:
-            np.matmul(h[i:j], self.w["leaf"][g], out=out[i:j])
-        return self.exp(out, limit), parts
+    @staticmethod
+    def parts(group: np.ndarray) -> list[tuple[int, int, int]]:
+        """(class, from, to) of places in the order of their classes."""
+        ends = np.searchsorted(group, np.arange(FAN + 1)).tolist()
+        return [(g, i, j) for g, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if i < j]
 
     def score(self, inputs: np.ndarray, targets: np.ndarray, limit: bool = False) -> np.ndarray:
         """Natural log probability of each target, in the shape of the targets."""
-        w, n = self.w, targets.size
+        w, n, space = self.w, targets.size, self.space
         if self.tables is None:  # what an id alone adds, for all ids; scores are made when training is over
             self.tables = w["embed"] @ w["attend"], w["embed"] @ w["mix"][:WIDTH] + w["mix"][-1]
+        t = targets.reshape(-1)
+        order = np.argsort((t // FAN).astype(np.uint8), kind="stable")
+        t = t[order].astype(np.intp)
+        ids, group, row = inputs.astype(np.intp), t // FAN, np.arange(n) * FAN
+        place = t - group * FAN
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            both = np.take(self.tables[0], inputs, axis=0, out=self.space("both", *inputs.shape, 3 * WIDTH), mode="clip")
+            both = np.take(self.tables[0], ids, axis=0, out=space("both", len(ids), WINDOW, 3 * WIDTH), mode="clip")
             a = self.looks(both[:, CONTEXT:, :WIDTH], both[:, :, WIDTH : 2 * WIDTH], limit)
-            c = np.matmul(a, both[:, :, 2 * WIDTH :], out=self.space("c", len(a), STEP, WIDTH))
-            c /= a @ ONES[:WINDOW]
-            h = np.take(self.tables[1], inputs[:, CONTEXT:], axis=0, out=self.space("h", *targets.shape, HIDDEN), mode="clip").reshape(n, HIDDEN)
-            h += np.matmul(c.reshape(n, WIDTH), w["mix"][WIDTH:-1], out=self.space("hc", n, HIDDEN))
+            c = np.matmul(a, both[:, :, 2 * WIDTH :], out=space("c", len(a), STEP, WIDTH)).reshape(n, WIDTH)
+            c /= a.reshape(n, WINDOW) @ ONES[:WINDOW]
+            # from here on, places stand in the order of their targets' classes
+            h = np.take(self.tables[1], ids[:, CONTEXT:].reshape(-1)[order], axis=0, out=space("h", n, HIDDEN), mode="clip")
+            h += np.matmul(np.take(c, order, axis=0, out=space("cs", n, WIDTH), mode="clip"), w["mix"][WIDTH:-1], out=space("hc", n, HIDDEN))
             np.maximum(h, 0, out=h)
             h[:, -1] = 1
-            t = targets.reshape(-1)
-            group, place, row = (t // FAN).astype(np.uint8), t % FAN, np.arange(n)
-            top = self.exp(np.matmul(h, w["top"], out=self.space("top", n, FAN)), limit)
-            got = top[row, group] / (top @ ONES[:FAN])[:, 0]
-            order = np.argsort(group, kind="stable")
-            leaf, _ = self.leaves(np.take(h, order, axis=0, out=self.space("hs", n, HIDDEN), mode="clip"), group[order], limit)
-            got[order] *= leaf[row, place[order]] / (leaf @ ONES[:FAN])[:, 0]
+            p = space("p", 2 * n, FAN)  # the first step's logits, then the second's
+            np.matmul(h, w["top"], out=p[:n])
+            for g, i, j in self.parts(group):
+                np.dot(h[i:j], w["leaf"][g], out=p[n + i : n + j])
+            sums, p = (self.exp(p, limit) @ ONES[:FAN]).reshape(2, n), p.reshape(2, -1)
+            got = p[0][row + group] / sums[0] * (p[1][row + place] / sums[1])
             if not limit and not (got > 0).all():  # some exponential was beyond what a float holds
                 return self.score(inputs, targets, True)
-        return np.log(np.maximum(got, np.float32(1e-37))).reshape(targets.shape)
+        out = np.empty(n, np.float32)
+        out[order] = np.log(np.maximum(got, np.float32(1e-37)))
+        return out.reshape(targets.shape)
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray, limit: bool = False) -> tuple[float, np.ndarray]:
-        """Mean loss of the scored targets and its gradient by all weights."""
-        w, flat = self.w, self.space("gradient", self.SIZE)
-        g, many, n = self.named(flat), len(inputs), targets.size
-        space, t, row = self.space, targets.reshape(-1), np.arange(targets.size)
-        group, place, blank = (t // FAN).astype(np.uint8), t % FAN, np.flatnonzero(~scored.reshape(-1))
+        """Mean loss of the scored targets and its gradient by all weights.
+
+        Scored places stand in the order of their targets' classes, and their hidden units and
+        logits lie by column, so that sums and quotients by place run over long rows.
+        """
+        w, flat, many, space = self.w, self.space("gradient", self.SIZE), len(inputs), self.space
+        g, ids, places = self.named(flat), inputs.astype(np.intp), many * STEP
+        at = np.flatnonzero(scored)
+        t = targets.reshape(-1)[at]
+        order = np.argsort((t // FAN).astype(np.uint8), kind="stable")
+        at, t = at[order], t[order].astype(np.intp)
+        n, group = len(at), t // FAN
+        parts, row = self.parts(group), np.arange(n)
+        right = np.concatenate([group * n + row, (t - group * FAN + FAN) * n + row])
         self.tables = None
-
-        def soft(p: np.ndarray, target: np.ndarray, blank: np.ndarray) -> float:
-            """Exponentials become the gradient of the summed loss by logits, in place."""
-            p /= p @ ONES[:FAN]
-            right = p[row, target]
-            right[blank] = 1
-            p[row, target] -= 1
-            p[blank] = 0
-            return -float(np.log(right).sum())
-
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            x = np.take(w["embed"], inputs, axis=0, out=space("x", many, WINDOW, WIDTH), mode="clip")
+            x = np.take(w["embed"], ids, axis=0, out=space("x", many, WINDOW, WIDTH), mode="clip")
             both = np.matmul(x.reshape(-1, WIDTH), w["attend"], out=space("both2", many * WINDOW, 3 * WIDTH)).reshape(many, WINDOW, 3 * WIDTH)
             q, k, v = both[:, CONTEXT:, :WIDTH], both[:, :, WIDTH : 2 * WIDTH], both[:, :, 2 * WIDTH :]
             a = self.looks(q, k, limit)
-            a /= a @ ONES[:WINDOW]
-            xs = space("xs", many, STEP, 2 * WIDTH + 1)
-            xs[:, :, :WIDTH], xs[:, :, -1] = x[:, CONTEXT:], 1
-            xs[:, :, WIDTH:-1] = np.matmul(a, v, out=space("c", many, STEP, WIDTH))
-            xs = xs.reshape(n, -1)
-            h = np.matmul(xs, w["mix"], out=space("h2", n, HIDDEN))
+            share = 1 / (a.reshape(places, WINDOW) @ ONES[:WINDOW])
+            c = np.matmul(a, v, out=space("c", many, STEP, WIDTH)).reshape(places, WIDTH)
+            c *= share
+            xs, own = space("xs", n, 2 * WIDTH + 1), ids[:, CONTEXT:].reshape(-1)[at]
+            xs[:, :WIDTH], xs[:, WIDTH:-1], xs[:, -1] = w["embed"].take(own, 0), c.take(at, 0), 1
+            h = np.matmul(w["mix"].T, xs.T, out=space("h2", HIDDEN * n).reshape(HIDDEN, n))
             np.maximum(h, 0, out=h)
-            h[:, -1] = 1
-            top = self.exp(np.matmul(h, w["top"], out=space("top", n, FAN)), limit)
-            loss = soft(top, group, blank)
-            order = np.argsort(group, kind="stable")
-            hs = np.take(h, order, axis=0, out=space("hs", n, HIDDEN), mode="clip")
-            leaf, parts = self.leaves(hs, group[order], limit)
-            loss += soft(leaf, place[order], np.flatnonzero(~scored.reshape(-1)[order]))
+            h[-1] = 1
+            p = space("p2", 2 * FAN * n).reshape(2, FAN, n)  # the first step's logits, then the second's
+            np.matmul(w["top"].T, h, out=p[0])
+            top, leaf = p
+            for b, i, j in parts:
+                np.matmul(w["leaf"][b].T, h[:, i:j], out=leaf[:, i:j])
+            self.exp(p, limit)
+            sums = p.sum(1)
+            loss = float(np.log(sums.reshape(-1) / p.reshape(-1)[right]).sum(dtype=np.float64))
         if not limit and not math.isfinite(loss):
             return self.gradient(inputs, targets, scored, True)
-        np.matmul(h.T, top, out=g["top"])
-        dh, back = np.matmul(top, w["top"].T, out=space("dh", n, HIDDEN)), space("back", n, HIDDEN)
+        p /= sums[:, None]
+        p.reshape(-1)[right] -= 1
+        np.matmul(h, top.T, out=g["top"])
+        dh = np.matmul(w["top"], top, out=space("dh", HIDDEN * n).reshape(HIDDEN, n))
+        back = space("back", HIDDEN * n).reshape(HIDDEN, n)
         g["leaf"][:] = 0
         for b, i, j in parts:
-            np.matmul(hs[i:j].T, leaf[i:j], out=g["leaf"][b])
-            np.matmul(leaf[i:j], w["leaf"][b].T, out=back[i:j])
-        dh[order] += back
+            np.matmul(h[:, i:j], leaf[:, i:j].T, out=g["leaf"][b])
+            np.matmul(w["leaf"][b], leaf[:, i:j], out=back[:, i:j])
+        dh += back
         dh *= h > 0
-        dh[:, -1] = 0
-        np.matmul(xs.T, dh, out=g["mix"])
-        dxs = np.matmul(dh, w["mix"].T, out=space("dxs", n, 2 * WIDTH + 1)).reshape(many, STEP, -1)
-        dc = dxs[:, :, WIDTH:-1]
+        dh[-1] = 0
+        np.matmul(xs.T, dh.T, out=g["mix"])
+        dxs = np.matmul(dh.T, w["mix"].T, out=space("dxs", n, 2 * WIDTH + 1))
+        dc = space("dc", places, WIDTH)
+        dc[:] = 0
+        dc[at] = dxs[:, WIDTH:-1]
+        dc *= share  # so the exponentials need no division
+        mean = (dc * c) @ ONES[:WIDTH]
+        dc = dc.reshape(many, STEP, WIDTH)
         da = np.matmul(dc, v.transpose(0, 2, 1), out=space("da", many, STEP, WINDOW))
-        da -= np.multiply(da, a, out=space("daa", many, STEP, WINDOW)) @ ONES[:WINDOW]
+        da -= mean.reshape(many, STEP, 1)
         da *= a
-        g["distance"][:] = np.bincount(self.GAP[self.SEEN], (np.ones(many, np.float32) @ da.reshape(many, -1)).reshape(STEP, WINDOW)[self.SEEN], WINDOW)
+        g["distance"][:] = np.bincount(self.GAPS, (np.ones(many, np.float32) @ da.reshape(many, -1))[self.LOOKS], WINDOW)
         dboth = space("dboth", many, WINDOW, 3 * WIDTH)
         dboth[:, :CONTEXT, :WIDTH] = 0
-        dboth[:, CONTEXT:, :WIDTH] = da @ k
-        dboth[:, :, WIDTH : 2 * WIDTH] = da.transpose(0, 2, 1) @ q
-        dboth[:, :, 2 * WIDTH :] = a.transpose(0, 2, 1) @ dc
+        np.matmul(da, k, out=dboth[:, CONTEXT:, :WIDTH])
+        np.matmul(da.transpose(0, 2, 1), q, out=dboth[:, :, WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dc, out=dboth[:, :, 2 * WIDTH :])
         dboth = dboth.reshape(-1, 3 * WIDTH)
         np.matmul(x.reshape(-1, WIDTH).T, dboth, out=g["attend"])
-        dx = np.matmul(dboth, w["attend"].T, out=space("dx", many * WINDOW, WIDTH)).reshape(x.shape)
-        dx[:, CONTEXT:] += dxs[:, :, :WIDTH]
-        ids = inputs.reshape(-1)
-        by_id = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[by_id], prepend=-1))
-        g["embed"][:] = 0
-        g["embed"][ids[by_id[first]]] = np.add.reduceat(dx.reshape(-1, WIDTH)[by_id], first)
-        flat *= np.float32(1 / (n - len(blank)))
-        return loss / (n - len(blank)), flat
+        inner = many * WINDOW
+        dx, taken = space("dx", WIDTH * (inner + n)).reshape(WIDTH, -1), np.concatenate([ids.reshape(-1), own])  # by input, then by scored place
+        np.matmul(w["attend"], dboth.T, out=dx[:, :inner])
+        dx[:, inner:] = dxs[:, :WIDTH].T
+        for i in range(WIDTH):
+            g["embed"][:, i] = np.bincount(taken, dx[i], VOCABULARY)
+        flat *= np.float32(1 / n)
+        return loss / n, flat
 
 
 class Trainer:
@@ -331,6 +348,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return common.arrow_map(docs, run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def spread(counts: DataFrame) -> tuple[int, int, int]:
+    """Tokens, distinct words, and the least count whose words, with all more frequent ones, are FREQUENT at most.
+
+    From how many words have each count, so the driver gets no words. Words of equal count are all frequent or none.
+    """
+    tokens = distinct = 0
+    least = None
+    for r in counts.groupBy("c").agg(F.count("*").alias("words")).orderBy(F.desc("c")).collect():
+        tokens, distinct = tokens + r.c * r.words, distinct + r.words
+        if distinct <= FREQUENT:
+            least = r.c
+    return tokens, distinct, tokens + 1 if least is None else least
+
+
 def subword_frequency(counts: DataFrame, ranks: dict[bytes, int]) -> np.ndarray:
     """How often each id occurs in the training part, from its word counts: VOCABULARY sums."""
     sent = counts.sparkSession.sparkContext.broadcast((ranks, bpe.digest(ranks)))
@@ -338,9 +369,14 @@ def subword_frequency(counts: DataFrame, ranks: dict[bytes, int]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         sub, sums = subwords(*sent.value), np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            ids = sub.encode([[w] for w in batch.column(0).to_pylist()])
-            if ids:
-                sums += np.bincount(np.concatenate(ids), np.repeat(batch.column(1).to_numpy(), [len(x) for x in ids]), VOCABULARY).astype(np.int64)
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            if END_WORD in words:
+                at = words.index(END_WORD)
+                sums[END] += n[at]
+                del words[at]
+                n = np.delete(n, at)
+            ids = sub.cut(words)
+            sums += np.bincount(ids, n[np.cumsum(ids < sub.openers) - 1], VOCABULARY).astype(np.int64)
         yield {"id": np.arange(VOCABULARY), "n": sums}
 
     out = np.zeros(VOCABULARY)
@@ -431,19 +467,18 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     training = rows.where(~out)
     counts = common.stored(word_counts(training), "words")
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent = counts.orderBy(F.desc("c"), "word").limit(FREQUENT)
-    frequent = {bytes(r.word): r.c for r in frequent.collect()}
+    tokens, distinct, least = spread(counts)
+    frequent = {bytes(r.word): r.c for r in counts.where(F.col("c") >= least).collect()}
     model = train(training, ranks, subword_frequency(counts, ranks))
     scored = common.stored(scores(rows, ranks, model, frequent).withColumn("rid", F.monotonically_increasing_id()), "scores")
-    # words beyond the frequent ones: counted by row, then joined to the counts of just those words
-    rare = scored.select("rid", F.explode("rare").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("tf"))
-    rest = rare.join(counts, "word").groupBy("rid").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.sum("tf").alias("n"))
+    # words beyond the frequent ones are joined to their counts
+    rare = scored.select("rid", F.explode("rare").alias("word"))
+    rest = rare.join(counts, "word").groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("*").alias("n"))
     both = scored.drop("rare").join(rest, "rid", "left")
-    total = math.log10(sums.n + sums.v + 1)
+    total = math.log10(tokens + distinct + 1)
     zero = lambda c: F.coalesce(c, F.lit(0))
     return both.select(
-        "doc_id", out.alias("held_out"), "n_tokens", (F.col("known") + zero(F.col("n"))).cast("long").alias("n_known"), F.lit(sums.n).cast("long").alias("train_tokens"),
+        "doc_id", out.alias("held_out"), "n_tokens", (F.col("known") + zero(F.col("n"))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero(F.col("more")) - F.col("n_tokens") * F.lit(total)).alias("base_score"), "score",
     )
 

@@ -340,6 +340,25 @@ def test_rare_words_are_joined(spark, sf, monkeypatch):
         assert abs(r.base_score - want[r.doc_id]) < 1e-7 * abs(want[r.doc_id])
 
 
+def test_words_of_equal_count_are_frequent_together(spark, monkeypatch):
+    counts = spark.createDataFrame([(f"w{i}".encode(), c) for i, c in enumerate([9, 5, 5, 5, 2, 1, 1])], "word binary, c long")
+    for most, least in ((100, 1), (7, 1), (6, 2), (5, 2), (4, 5), (3, 9), (1, 9), (0, 29)):
+        monkeypatch.setattr(attention, "FREQUENT", most)
+        assert attention.spread(counts) == (28, 7, least), most
+    assert attention.spread(counts.limit(0)) == (0, 0, 1)
+
+
+def test_subword_frequency_is_of_all_words(spark):
+    ranks = {t: r for t, r in bpe.vocabulary()[0].items() if r < attention.END}
+    words = [b"the", attention.END_WORD, "Straße漢".encode(), b"x" * 40, b"\x0c1,'".strip()]
+    counts = spark.createDataFrame([(w, 3 + i) for i, w in enumerate(words)], "word binary, c long")
+    want = np.zeros(attention.VOCABULARY)
+    for i, ids in enumerate(attention.Subwords(ranks).encode([[w] for w in words])):
+        np.add.at(want, ids, 3 + i)
+    assert attention.subword_frequency(counts, ranks).tolist() == want.tolist()
+    assert attention.subword_frequency(counts.limit(0), ranks).sum() == 0
+
+
 def test_subwords_follow_the_ranks():
     ranks = {t: r for t, r in bpe.vocabulary()[0].items() if r < attention.END}
     plain, sub, rng = bpe.Bpe(ranks, r"[\s\S]+", "<u2"), attention.Subwords(ranks), random.Random(2)
