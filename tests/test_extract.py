@@ -86,6 +86,32 @@ def test_prose_takes_no_powers_of_time():
     assert time.time() - began < 20
 
 
+def test_words_before_a_function_on_lines_above():
+    """Looking at one line only finds the same names as words and white space from any line before."""
+    import random
+    import re
+
+    whole = re.compile(r"(?m)^[\t ]*(?:public|private|protected|static|\s)*function\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(")
+    line = next(p for p, _, _ in extract._FUNCTIONS if not isinstance(p, str) and "protected" in p.pattern)
+    rng = random.Random(5)
+    parts = ["public", "private", "static", "protected", "function", "function f(", "function\n g (", " ", "\n", "\t", "\r\n", "\x0c", "\x85", "x", "(", "f", ";"]
+    found = 0
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        want = [(m[1], m.start(1), m.end()) for m in whole.finditer(text)]
+        assert [(m[1], m.start(1), m.end()) for m in line.finditer(text)] == want, text
+        found += bool(want)
+    assert found > 1000
+
+
+def test_blank_lines_take_no_square_of_time():
+    import time
+
+    began = time.process_time()
+    extract.by_pattern(" \n" * 20_000, "java")
+    assert time.process_time() - began < 5
+
+
 def test_ends():
     for text, start, end in (("f {\n {\n}\n}\nx", 1, 4), ("def a:\n  x\n\n# no\n  y\nz\n", 1, 5), ("a\n" + "  b\n" * 80, 1, 51), ("a", 1, 1), ("", 3, 3)):
         assert extract.Ends(extract.line_list(text))(start) == end, text
