@@ -15,6 +15,9 @@ weights, and the copies are averaged by the windows they saw, level by level.
 The base score sums over words. Counts of the most frequent words, FREQUENT at most,
 are broadcast (a fixed bound); other words are joined by a shuffle.
 
+Words are cut in Arrow, and what a word gives (ids, logarithm of its count) is made once
+for the rows of a batch. Ids are stored, so that training and scoring read no text.
+
 Defined results: a null text counts as an empty one and has one token, the end;
 rows without a doc_id train and are not held out; repeated rows give repeated
 results; an empty table gives no rows; only doc_id and text are read.
@@ -23,15 +26,16 @@ results; an empty table gives no rows; only doc_id and text are read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import bpe, common
 
@@ -44,6 +48,8 @@ WINDOW = STEP + CONTEXT
 BATCH, BLOCK = 96, 192  # windows of a gradient step, and scored at once: what stays in the processor's cache
 ROUNDS, RATE = 4, 0.02
 FREQUENT = 100_000
+KEPT = 600_000
+AT_ONCE = 4_000_000  # words that a task counts before it hands the counts on
 #: No logit counts beyond this, so exponentials stay finite without a search for the largest.
 LIMIT = np.float32(40)
 ONES = np.ones((max(FAN, WINDOW), 1), np.float32)
@@ -54,10 +60,20 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, as words_of() makes them, and where each text's words end among them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves empty ones
+    ends = np.cumsum(np.append(0, np.asarray(real)))[np.cumsum(pc.list_value_length(lists))]
+    return words.filter(real).cast(pa.binary()), ends
+
+
 class Subwords:
     """Words to ids: the vocabulary's first ranks, then renumbered so that a class holds tokens of like beginnings.
 
-    Ids of new words are most of the work on text with many words, so the library's merges make them.
+    Ids of new words are most of the work on text with many words, so the library's merges make them,
+    and up to KEPT words keep theirs from batch to batch.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -67,6 +83,7 @@ class Subwords:
         self.renumber = np.full(VOCABULARY, END, "<u2")
         self.renumber[[kept[t] for t in order]] = np.arange(len(order))
         self.openers = sum(t.startswith(b" ") for t in order)  # ids below this begin a word, and no others do
+        self.forget()
 
     def cut(self, words: list[bytes]) -> np.ndarray:
         """Ids of words, one word behind the other."""
@@ -81,6 +98,25 @@ class Subwords:
             out.append(np.append(ids, np.uint16(END)).astype("<u2") if closed else ids)
         return out
 
+    def forget(self) -> None:
+        """Words met so far: none but the end."""
+        self.place, self.flat, self.starts, self.sizes = {END_WORD: 0}, np.array([END], "<u2"), np.zeros(1, int), np.ones(1, int)
+
+    def by_word(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words met so far, one behind the other; where those of the given (distinct) words begin, and how many each has."""
+        if len(self.place) > KEPT:
+            self.forget()
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), int, len(words))
+        at = np.flatnonzero(place < 0)
+        if len(at):
+            new, place[at] = words[at].tolist(), np.arange(len(at)) + len(self.starts)
+            self.place.update(zip(new, place[at].tolist(), strict=True))
+            ids = self.cut(new)
+            starts = np.flatnonzero(ids < self.openers)
+            self.starts, self.sizes = np.append(self.starts, starts + len(self.flat)), np.append(self.sizes, np.diff(np.append(starts, len(ids))))
+            self.flat = np.append(self.flat, ids).astype("<u2")
+        return self.flat, self.starts[place], self.sizes[place]
+
 
 class Windows:
     """The windows of texts (arrays of ids that end with END), made block by block."""
@@ -125,7 +161,7 @@ class Model:
         self.flat = np.array(flat, np.float32)
         self.w = self.named(self.flat)
         self.room: dict[tuple, np.ndarray] = {}
-        self.tables: tuple[np.ndarray, np.ndarray] | None = None
+        self.tables: tuple[np.ndarray, ...] | None = None
 
     @classmethod
     def named(cls, flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -156,9 +192,15 @@ class Model:
             self.room[key] = np.empty((many, *shape), np.float32)
         return self.room[key][:many]
 
-    def looks(self, q, k, limit: bool) -> np.ndarray:
-        """Exponentials of the scored places' attention, before division by their sums."""
-        a = np.matmul(q, k.transpose(0, 2, 1), out=self.space("a", len(q), STEP, WINDOW))
+    def copy(self, name: str, x: np.ndarray) -> np.ndarray:
+        """x in working memory, without gaps."""
+        out = self.space(name, *x.shape)
+        out[:] = x
+        return out
+
+    def looks(self, q, columns, limit: bool) -> np.ndarray:
+        """Exponentials of the scored places' attention, before division by their sums; keys lie by column, which small products want."""
+        a = np.matmul(q, columns, out=self.space("a", len(q), STEP, WINDOW))
         a += np.where(self.SEEN, self.w["distance"][np.maximum(self.GAP, 0)], np.float32(-1e9))
         return self.exp(a, limit)
 
@@ -184,7 +226,7 @@ class Model:
         place = t - group * FAN
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             both = np.take(self.tables[0], ids, axis=0, out=space("both", len(ids), WINDOW, 3 * WIDTH), mode="clip")
-            a = self.looks(both[:, CONTEXT:, :WIDTH], both[:, :, WIDTH : 2 * WIDTH], limit)
+            a = self.looks(both[:, CONTEXT:, :WIDTH], self.copy("columns", both[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1)), limit)
             c = np.matmul(a, both[:, :, 2 * WIDTH :], out=space("c", len(a), STEP, WIDTH)).reshape(n, WIDTH)
             c /= a.reshape(n, WINDOW) @ ONES[:WINDOW]
             # from here on, places stand in the order of their targets' classes
@@ -207,8 +249,9 @@ class Model:
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray, limit: bool = False) -> tuple[float, np.ndarray]:
         """Mean loss of the scored targets and its gradient by all weights.
 
-        Scored places stand in the order of their targets' classes, and their hidden units and
-        logits lie by column, so that sums and quotients by place run over long rows.
+        Scored places stand in the order of their targets' classes. What is WIDTH wide lies by
+        column (its arrays end in T), so that sums and quotients by place run over long rows;
+        hidden units and logits lie by row, which makes the products faster.
         """
         w, flat, many, space = self.w, self.space("gradient", self.SIZE), len(inputs), self.space
         g, ids, places = self.named(flat), inputs.astype(np.intp), many * STEP
@@ -217,69 +260,76 @@ class Model:
         order = np.argsort((t // FAN).astype(np.uint8), kind="stable")
         at, t = at[order], t[order].astype(np.intp)
         n, group = len(at), t // FAN
-        parts, row = self.parts(group), np.arange(n)
-        right = np.concatenate([group * n + row, (t - group * FAN + FAN) * n + row])
+        parts, row = self.parts(group), np.arange(n) * FAN
+        right = np.concatenate([row + group, row + (t - group * FAN + n * FAN)])
         self.tables = None
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            x = np.take(w["embed"], ids, axis=0, out=space("x", many, WINDOW, WIDTH), mode="clip")
-            both = np.matmul(x.reshape(-1, WIDTH), w["attend"], out=space("both2", many * WINDOW, 3 * WIDTH)).reshape(many, WINDOW, 3 * WIDTH)
-            q, k, v = both[:, CONTEXT:, :WIDTH], both[:, :, WIDTH : 2 * WIDTH], both[:, :, 2 * WIDTH :]
-            a = self.looks(q, k, limit)
-            share = 1 / (a.reshape(places, WINDOW) @ ONES[:WINDOW])
-            c = np.matmul(a, v, out=space("c", many, STEP, WIDTH)).reshape(places, WIDTH)
-            c *= share
-            xs, own = space("xs", n, 2 * WIDTH + 1), ids[:, CONTEXT:].reshape(-1)[at]
-            xs[:, :WIDTH], xs[:, WIDTH:-1], xs[:, -1] = w["embed"].take(own, 0), c.take(at, 0), 1
-            h = np.matmul(w["mix"].T, xs.T, out=space("h2", HIDDEN * n).reshape(HIDDEN, n))
+            x = np.take(w["embed"], ids, axis=0, out=space("rows", many, WINDOW, WIDTH), mode="clip")
+            xT = self.copy("x", x.transpose(2, 0, 1))
+            bothT = np.matmul(w["attend"].T, xT.reshape(WIDTH, -1), out=space("both2", 3 * WIDTH * many * WINDOW).reshape(3 * WIDTH, -1)).reshape(-1, many, WINDOW)
+            qT, kT = bothT[:WIDTH, :, CONTEXT:].transpose(1, 0, 2), bothT[WIDTH : 2 * WIDTH].transpose(1, 0, 2)
+            vT = space("v", WIDTH + 1, many, WINDOW)
+            vT[:-1], vT[-1] = bothT[2 * WIDTH :], 1
+            vT = vT.transpose(1, 0, 2)
+            a = self.looks(qT.transpose(0, 2, 1), kT, limit)
+            cT = space("c", WIDTH + 1, many, STEP)  # by the sums of the exponentials, which come last
+            np.matmul(vT, a.transpose(0, 2, 1), out=cT.transpose(1, 0, 2))
+            share = 1 / cT[-1]
+            xsT = space("all", 2 * WIDTH + 1, many, STEP)
+            xsT[:WIDTH], xsT[-1] = xT[:, :, CONTEXT:], 1
+            cT = np.multiply(cT[:-1], share, out=xsT[WIDTH:-1])
+            xs = np.take(self.copy("all2", xsT.reshape(-1, places).T), at, axis=0, out=space("xs", n, 2 * WIDTH + 1), mode="clip")
+            h = np.matmul(xs, w["mix"], out=space("h2", n, HIDDEN))
             np.maximum(h, 0, out=h)
-            h[-1] = 1
-            p = space("p2", 2 * FAN * n).reshape(2, FAN, n)  # the first step's logits, then the second's
-            np.matmul(w["top"].T, h, out=p[0])
+            h[:, -1] = 1
+            p = space("p2", 2 * n, FAN).reshape(2, n, FAN)  # the first step's logits, then the second's
             top, leaf = p
+            np.matmul(h, w["top"], out=top)
             for b, i, j in parts:
-                np.matmul(w["leaf"][b].T, h[:, i:j], out=leaf[:, i:j])
+                np.dot(h[i:j], w["leaf"][b], out=leaf[i:j])
             self.exp(p, limit)
-            sums = p.sum(1)
-            loss = float(np.log(sums.reshape(-1) / p.reshape(-1)[right]).sum(dtype=np.float64))
+            sums = p.reshape(-1, FAN) @ ONES[:FAN]
+            loss = float(np.log(sums[:, 0] / p.reshape(-1)[right]).sum(dtype=np.float64))
         if not limit and not math.isfinite(loss):
             return self.gradient(inputs, targets, scored, True)
-        p /= sums[:, None]
+        p *= (1 / sums).reshape(2, n, 1)
         p.reshape(-1)[right] -= 1
-        np.matmul(h, top.T, out=g["top"])
-        dh = np.matmul(w["top"], top, out=space("dh", HIDDEN * n).reshape(HIDDEN, n))
-        back = space("back", HIDDEN * n).reshape(HIDDEN, n)
+        np.matmul(h.T, top, out=g["top"])
+        dh = np.matmul(top, w["top"].T, out=space("dh", n, HIDDEN))
+        back = space("back", n, HIDDEN)
         g["leaf"][:] = 0
         for b, i, j in parts:
-            np.matmul(h[:, i:j], leaf[:, i:j].T, out=g["leaf"][b])
-            np.matmul(w["leaf"][b], leaf[:, i:j], out=back[:, i:j])
+            np.dot(h[i:j].T, leaf[i:j], out=g["leaf"][b])
+            np.dot(leaf[i:j], w["leaf"][b].T, out=back[i:j])
         dh += back
         dh *= h > 0
-        dh[-1] = 0
-        np.matmul(xs.T, dh.T, out=g["mix"])
-        dxs = np.matmul(dh.T, w["mix"].T, out=space("dxs", n, 2 * WIDTH + 1))
-        dc = space("dc", places, WIDTH)
-        dc[:] = 0
-        dc[at] = dxs[:, WIDTH:-1]
-        dc *= share  # so the exponentials need no division
-        mean = (dc * c) @ ONES[:WIDTH]
-        dc = dc.reshape(many, STEP, WIDTH)
-        da = np.matmul(dc, v.transpose(0, 2, 1), out=space("da", many, STEP, WINDOW))
-        da -= mean.reshape(many, STEP, 1)
+        dh[:, -1] = 0
+        np.matmul(xs.T, dh, out=g["mix"])
+        dxs = space("dxs", n + 1, 2 * WIDTH + 1)
+        np.matmul(dh, w["mix"].T, out=dxs[:n])
+        dxs[n], where = 0, np.full(places, n)
+        where[at] = np.arange(n)
+        dxs = np.take(dxs, where, axis=0, out=space("dall", places, 2 * WIDTH + 1), mode="clip")
+        dxsT = self.copy("dxsT", dxs[:, :-1].T).reshape(2 * WIDTH, many, STEP)  # by window again
+        dcT = space("dc", WIDTH + 1, many, STEP)
+        np.multiply(dxsT[WIDTH:], share, out=dcT[:-1])  # so the exponentials need no division
+        np.negative((dcT[:-1] * cT).sum(0), out=dcT[-1])
+        dcT = dcT.transpose(1, 0, 2)
+        da = np.matmul(dcT.transpose(0, 2, 1), vT, out=space("da", many, STEP, WINDOW))
         da *= a
-        g["distance"][:] = np.bincount(self.GAPS, (np.ones(many, np.float32) @ da.reshape(many, -1))[self.LOOKS], WINDOW)
-        dboth = space("dboth", many, WINDOW, 3 * WIDTH)
-        dboth[:, :CONTEXT, :WIDTH] = 0
-        np.matmul(da, k, out=dboth[:, CONTEXT:, :WIDTH])
-        np.matmul(da.transpose(0, 2, 1), q, out=dboth[:, :, WIDTH : 2 * WIDTH])
-        np.matmul(a.transpose(0, 2, 1), dc, out=dboth[:, :, 2 * WIDTH :])
-        dboth = dboth.reshape(-1, 3 * WIDTH)
-        np.matmul(x.reshape(-1, WIDTH).T, dboth, out=g["attend"])
-        inner = many * WINDOW
-        dx, taken = space("dx", WIDTH * (inner + n)).reshape(WIDTH, -1), np.concatenate([ids.reshape(-1), own])  # by input, then by scored place
-        np.matmul(w["attend"], dboth.T, out=dx[:, :inner])
-        dx[:, inner:] = dxs[:, :WIDTH].T
+        g["distance"][:] = np.bincount(self.GAPS, da.sum(0).reshape(-1)[self.LOOKS], WINDOW)
+        dbothT = space("dboth", 3 * WIDTH, many, WINDOW)
+        dbothT[:WIDTH, :, :CONTEXT] = 0
+        np.matmul(kT, da.transpose(0, 2, 1), out=dbothT[:WIDTH, :, CONTEXT:].transpose(1, 0, 2))
+        np.matmul(qT, da, out=dbothT[WIDTH : 2 * WIDTH].transpose(1, 0, 2))
+        np.matmul(dcT[:, :-1], a, out=dbothT[2 * WIDTH :].transpose(1, 0, 2))
+        dbothT = dbothT.reshape(3 * WIDTH, -1)
+        np.matmul(xT.reshape(WIDTH, -1), dbothT.T, out=g["attend"])
+        dxT = np.matmul(w["attend"], dbothT, out=space("dx", WIDTH * many * WINDOW).reshape(WIDTH, -1))
+        dxT.reshape(WIDTH, many, WINDOW)[:, :, CONTEXT:] += dxsT[:WIDTH]
+        taken = ids.reshape(-1)
         for i in range(WIDTH):
-            g["embed"][:, i] = np.bincount(taken, dx[i], VOCABULARY)
+            g["embed"][:, i] = np.bincount(taken, dxT[i], VOCABULARY)
         flat *= np.float32(1 / n)
         return loss / n, flat
 
@@ -292,15 +342,17 @@ class Trainer:
         self.m, self.v, self.t = np.zeros(Model.SIZE, np.float32), np.zeros(Model.SIZE, np.float32), 0
 
     def step(self, batch) -> float:
+        """m and v are sums that decay by 0.9 and 0.99: ten times the mean of gradients, a hundred times that of their squares."""
         loss, g = self.model.gradient(*batch)
         self.t += 1
-        self.m += np.float32(0.1) * (g - self.m)
+        self.m *= np.float32(0.9)
+        self.m += g
         np.multiply(g, g, out=g)
-        g -= self.v
-        self.v += np.float32(0.01) * g
+        self.v *= np.float32(0.99)
+        self.v += g
         rate = self.rate * min(1.0, self.t / 20) * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         np.sqrt(self.v, out=g)
-        g += np.float32(1e-7)
+        g += np.float32(1e-6)
         np.divide(self.m, g, out=g)
         g *= np.float32(rate)
         self.model.flat -= g
@@ -329,21 +381,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, c over all the rows given; the end is a word too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        sums: Counter = Counter()
-
-        def out(sums: Counter) -> Iterator[dict]:
-            words, counts = list(sums), list(sums.values())
-            for i in range(0, len(words), 50_000):
-                yield {"word": words[i : i + 50_000], "c": counts[i : i + 50_000]}
-
+        def out(words: list[pa.Array], rows: int) -> Iterator[dict]:
+            if words:
+                sums = pc.value_counts(pa.chunked_array(words, pa.binary()))
+                for i in range(0, len(sums), 50_000):
+                    part = sums.slice(i, 50_000)
+                    yield {"word": part.field(0), "c": part.field(1)}
+            if rows:
+                yield {"word": [END_WORD], "c": [rows]}
+
+        held, rows = [], 0
         for batch in common.by_size(batches, 1):
-            for t in batch.column(1).to_pylist():
-                sums.update(words_of(t))
-            sums[END_WORD] += batch.num_rows
-            if len(sums) > 600_000:
-                yield from out(sums)
-                sums = Counter()
-        yield from out(sums)
+            held.append(split(batch.column(1))[0])
+            rows += batch.num_rows
+            if sum(map(len, held)) > AT_ONCE:
+                yield from out(held, rows)
+                held, rows = [], 0
+        yield from out(held, rows)
 
     return common.arrow_map(docs, run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -415,49 +469,91 @@ def averaged(copies: DataFrame) -> np.ndarray | None:
     return sum(r.n * np.frombuffer(r.w, np.float32).astype(float) for r in rows) / n if n else None
 
 
+def place(rounds: int):
+    """The round that trains on a row; every row has just one."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+
+
 def of_round(docs: DataFrame, r: int, rounds: int) -> DataFrame:
-    """The rows that round r trains on; every row falls into just one of the rounds."""
-    return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r)
+    """The rows that round r trains on."""
+    return docs.where(place(rounds) == r)
+
+
+def encoded(docs: DataFrame, ranks: dict[bytes, int], frequent: dict[bytes, int], rounds: int = ROUNDS) -> DataFrame:
+    """For every row: its ids and round of training, tokens, and the base sums of frequent words; other words are listed."""
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, bpe.digest(ranks), list(frequent), np.log10(np.array([*frequent.values(), 0]) + 1.0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        ranks, key, frequent, logs = sent.value  # no logarithm of a count and one is zero, but for the last, which is for other words
+        sub, frequent = subwords(ranks, key), pa.array(frequent, pa.binary())
+        for batch in common.by_size(batches, 1, 8 << 20):
+            words, ends = split(batch.column(1))
+            words = words.dictionary_encode()
+            distinct = pa.concat_arrays([words.dictionary, pa.array([END_WORD], pa.binary())])
+            code = np.insert(np.asarray(words.indices), ends, len(distinct) - 1)
+            names, ends = distinct.to_numpy(zero_copy_only=False), ends + np.arange(1, len(ends) + 1)
+            begins = np.append(0, ends[:-1])
+            found = logs[np.asarray(pc.fill_null(pc.index_in(distinct, frequent), len(frequent)))][code]
+            rare = np.flatnonzero(found == 0)
+            known = ends - begins - np.diff(np.searchsorted(rare, np.append(0, ends)))
+            listed = pa.ListArray.from_arrays(np.searchsorted(rare, np.append(0, ends)).astype(np.int32), distinct.take(pa.array(code[rare])))
+            # ids
+            flat, starts, sizes = sub.by_word(names)
+            many = sizes[code]
+            to = np.cumsum(many)
+            ids = flat[np.repeat(starts[code] - to + many, many) + np.arange(to[-1])]
+            yield {
+                "doc_id": batch.column(0), "round": batch.column(2), "n_tokens": ends - begins, "known": known, "rare": listed,
+                "base": [found[i:j].sum() for i, j in zip(begins.tolist(), ends.tolist(), strict=True)],
+                "ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, 2 * to[ends - 1])), pa.py_buffer(ids)]),
+            }
+
+    rows = docs.select("doc_id", "text", place(rounds).cast("int").alias("round"))
+    return common.arrow_map(rows, run, "doc_id long, round int, n_tokens long, known long, rare array<binary>, base double, ids binary")
+
+
+def arrays(ids: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u2") for x in ids]
 
 
 def train(docs: DataFrame, ranks: dict[bytes, int], frequency: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Weights after `rounds` of local training, which take in every document once, and averaging."""
-    model, key = Model.start(frequency), bpe.digest(ranks)
+    """Weights after `rounds` of training on documents (doc_id, text)."""
+    return train_encoded(encoded(docs, ranks, {}, rounds), frequency, rounds)
+
+
+def train_encoded(rows: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Weights after `rounds` of local training, which take in every row of encoded() once, and averaging."""
+    model = Model.start(frequency)
     for r in range(rounds):
-        sent = docs.sparkSession.sparkContext.broadcast((ranks, key, model.flat, RATE / (1 + r)))
+        sent = rows.sparkSession.sparkContext.broadcast((model.flat, RATE / (1 + r)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[dict]:
-            ranks, key, flat, rate = sent.value
-            sub, trainer, seen = subwords(ranks, key), Trainer(Model(flat), rate), 0
-            for batch in common.by_size(batches, 1, 1 << 20):
-                seen += trainer.learn(sub.encode([[*words_of(t), END_WORD] for t in batch.column(1).to_pylist()]))
+            flat, rate = sent.value
+            trainer, seen = Trainer(Model(flat), rate), 0
+            for batch in common.by_size(batches, 0, 1 << 20):
+                seen += trainer.learn(arrays(batch.column(0)))
             if seen:
                 yield {"n": [seen], "w": [trainer.model.flat.tobytes()]}
 
-        mean = averaged(common.arrow_map(of_round(docs, r, rounds), run, "n long, w binary"))
+        mean = averaged(common.arrow_map(rows.where(F.col("round") == r).select("ids"), run, "n long, w binary"))
         if mean is not None:
             model = Model(mean)
     return model
 
 
-def scores(docs: DataFrame, ranks: dict[bytes, int], model: Model, frequent: dict[bytes, int]) -> DataFrame:
-    """For every row: tokens, the model's score, and the base sums of frequent words; other words and their counts are listed."""
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, bpe.digest(ranks), model.flat, {w: math.log10(c + 1) for w, c in frequent.items()}))
+def scores(rows: DataFrame, model: Model) -> DataFrame:
+    """The model's score of every row of encoded()."""
+    sent = rows.sparkSession.sparkContext.broadcast(model.flat)
+    rows = rows.drop("rare", "round")
+    at = rows.columns.index("ids")
+    kept = [(i, f) for i, f in enumerate(rows.schema.fields) if i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        ranks, key, flat, logs = sent.value
-        sub, model = subwords(ranks, key), Model(flat)
-        for batch in common.by_size(batches, 1, 1 << 20):
-            texts = [[*words_of(t), END_WORD] for t in batch.column(1).to_pylist()]
-            sums, n_known, rare = [], [], []
-            for ws in texts:
-                found = list(map(logs.get, ws, repeat(0.0)))  # no logarithm of a count and one is zero
-                sums.append(math.fsum(found))
-                n_known.append(len(ws) - found.count(0.0))
-                rare.append([w for w, x in zip(ws, found, strict=True) if not x] if n_known[-1] < len(ws) else [])
-            yield {"doc_id": batch.column(0), "n_tokens": [len(ws) for ws in texts], "score": score_texts(model, sub.encode(texts)), "base": sums, "known": n_known, "rare": rare}
+        model = Model(sent.value)
+        for batch in common.by_size(batches, at, 1 << 20):
+            yield {"score": score_texts(model, arrays(batch.column(at)))} | {f.name: batch.column(i) for i, f in kept}
 
-    return common.arrow_map(docs, run, "doc_id long, n_tokens long, score double, base double, known long, rare array<binary>")
+    return common.arrow_map(rows, run, StructType([*(f for _, f in kept), StructField("score", DoubleType())]))
 
 
 def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -469,12 +565,13 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     counts = common.stored(word_counts(training), "words")
     tokens, distinct, least = spread(counts)
     frequent = {bytes(r.word): r.c for r in counts.where(F.col("c") >= least).collect()}
-    model = train(training, ranks, subword_frequency(counts, ranks))
-    scored = common.stored(scores(rows, ranks, model, frequent).withColumn("rid", F.monotonically_increasing_id()), "scores")
+    known = common.stored(encoded(rows, ranks, frequent).withColumn("rid", F.monotonically_increasing_id()), "ids")
+    model = train_encoded(known.where(~out), subword_frequency(counts, ranks))
+    scored = common.stored(scores(known, model), "scores")
     # words beyond the frequent ones are joined to their counts
-    rare = scored.select("rid", F.explode("rare").alias("word"))
+    rare = known.select("rid", F.explode("rare").alias("word"))
     rest = rare.join(counts, "word").groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("*").alias("n"))
-    both = scored.drop("rare").join(rest, "rid", "left")
+    both = scored.join(rest, "rid", "left")
     total = math.log10(tokens + distinct + 1)
     zero = lambda c: F.coalesce(c, F.lit(0))
     return both.select(

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -370,6 +371,34 @@ def test_subwords_follow_the_ranks():
     assert whole[1].tolist() == [attention.END] and len(whole[2]) == 0
 
 
+ODD_TEXTS = ["THE the É é\x0b" * 3, None, "", " \n\t ", " lead", "trail \x1f\x0c", "no\u00a0break\u2003here \x00 nul", "a\r\nb  c\x0bd", "x" * 3000, "İstanbul ſ K"]
+
+
+def test_words_cut_in_arrow():
+    rng = random.Random(4)
+    texts = [*ODD_TEXTS, *("".join(rng.choices(" \t\n\x0b\x0c\r\x1c\x85aBcÉ漢,", k=rng.randrange(40))) for _ in range(2000))]
+    words, ends = attention.split(pa.array(texts, pa.string()))
+    begins, words = [0, *ends.tolist()], words.to_pylist()
+    assert [words[i:j] for i, j in zip(begins, begins[1:], strict=False)] == [attention.words_of(t) for t in texts]
+    assert begins[-1] == len(words) and attention.split(pa.array([], pa.string()))[0].to_pylist() == []
+
+
+def test_each_text_is_encoded_once(spark):
+    """One pass over the texts gives what training, scoring and the base score take; from then on ids are read."""
+    ranks = {t: r for t, r in bpe.vocabulary()[0].items() if r < attention.END}
+    sub, texts = attention.Subwords(ranks), [*ODD_TEXTS, *ODD_TEXTS]
+    frequent = {b"the": 6, b"lead": 1, attention.END_WORD: 20}
+    rows = attention.encoded(frame(spark, list(enumerate(texts))), ranks, frequent).collect()
+    assert len(rows) == len(texts) and {r.round for r in rows} <= set(range(attention.ROUNDS))
+    for r in rows:
+        ws = [*attention.words_of(texts[r.doc_id]), attention.END_WORD]
+        assert np.frombuffer(r.ids, "<u2").tolist() == sub.encode([ws])[0].tolist()
+        assert (r.n_tokens, r.known, [bytes(w) for w in r.rare]) == (len(ws), sum(w in frequent for w in ws), [w for w in ws if w not in frequent])
+        assert abs(r.base - sum(math.log10(frequent[w] + 1) for w in ws if w in frequent)) < 1e-9
+    none = attention.encoded(frame(spark, [(1, "a")]), ranks, {}).first()
+    assert (none.known, [bytes(w) for w in none.rare]) == (0, [b"a", attention.END_WORD])
+
+
 def test_the_model_is_trained(spark):
     """Held-out text scores far above subword frequencies, on a small table too."""
     docs = common.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text")
