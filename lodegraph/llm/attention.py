@@ -48,8 +48,8 @@ WINDOW = STEP + CONTEXT
 BATCH, BLOCK = 96, 192  # windows of a gradient step, and scored at once: what stays in the processor's cache
 ROUNDS, RATE = 4, 0.02
 FREQUENT = 100_000
-KEPT = 600_000
-AT_ONCE = 4_000_000  # words that a task counts before it hands the counts on
+KEPT = 300_000  # words whose ids a worker keeps; more take memory
+AT_ONCE = 2_000_000  # words that a task counts before it hands the counts on
 #: No logit counts beyond this, so exponentials stay finite without a search for the largest.
 LIMIT = np.float32(40)
 ONES = np.ones((max(FAN, WINDOW), 1), np.float32)
@@ -501,7 +501,9 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], frequent: dict[bytes, int]
             flat, starts, sizes = sub.by_word(names)
             many = sizes[code]
             to = np.cumsum(many)
-            ids = flat[np.repeat(starts[code] - to + many, many) + np.arange(to[-1])]
+            at = np.repeat(starts[code] - to + many, many)
+            at += np.arange(len(at))  # in place: this is the longest array here
+            ids = flat[at]
             yield {
                 "doc_id": batch.column(0), "round": batch.column(2), "n_tokens": ends - begins, "known": known, "rare": listed,
                 "base": [found[i:j].sum() for i, j in zip(begins.tolist(), ends.tolist(), strict=True)],
