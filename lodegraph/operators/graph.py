@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
+from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, drop, ranked, stored
 
 SEEDS = 64  # seeds of a block: the bits of a long
+LOCAL = 5_000_000  # edges and symbols up to which every worker holds the graph of a walk
 SMALL = 100_000  # edges up to which components are found on the driver
 
 
@@ -57,8 +61,17 @@ def spread(edges: DataFrame, places: DataFrame, max_depth: int | None, backward:
     those whose shortest distance is this depth (new). A row stands for up to SEEDS pairs of seed and
     node. A state is deleted when the next but one is asked for, so two are there at a time.
     """
+    yield from leveled(stepped(edges, backward), places, max_depth)
+
+
+def stepped(edges: DataFrame, backward: bool = False) -> DataFrame:
+    """at, next: the distinct edges in the direction of a walk, in the shared folder."""
     a, b = ("to_symbol", "from_symbol") if backward else ("from_symbol", "to_symbol")
-    steps = stored(edges.where(f"{a} is not null and {b} is not null").select(F.col(a).alias("at"), F.col(b).alias("next")).distinct(), "steps")
+    return stored(edges.where(f"{a} is not null and {b} is not null").select(F.col(a).alias("at"), F.col(b).alias("next")).distinct(), "steps")
+
+
+def leveled(steps: DataFrame, places: DataFrame, max_depth: int | None) -> Iterator[tuple[int, DataFrame]]:
+    """spread() over stepped(), which is deleted at the end."""
     mask = F.expr("shiftleft(1L, bit)")
     state, old = stored(places.select(F.col("seed").alias("node"), "block", mask.alias("seen"), mask.alias("new")), "level"), None
     for d in count():
@@ -75,10 +88,16 @@ def spread(edges: DataFrame, places: DataFrame, max_depth: int | None, backward:
         old, state = state, stored(both.select("node", "block", s.bitwiseOR(c).alias("seen"), c.bitwiseAND(F.bitwise_not(s)).alias("new")), "level")
 
 
-def farthest(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
-    """seed, depth: the largest of the shortest distances from each seed, however far."""
+def farthest(edges: DataFrame, seeds: DataFrame, backward: bool = False, local: int = LOCAL) -> DataFrame:
+    """seed, depth: the largest of the shortest distances from each seed, however far.
+
+    A graph of up to `local` edges, which is checked, is walked by each task for its own seeds; a larger one level by level.
+    """
+    steps = stepped(edges, backward)
+    if steps.count() <= local:
+        return by_seeds(steps, seeds, None, farthest_of, "depth int")
     places, out = numbered(seeds), None
-    for d, state in spread(edges, places, None, backward):
+    for d, state in leveled(steps, places, None):
         level = stored(state.where("new <> 0").groupBy("block").agg(F.bit_or("new").alias("new")).withColumn("depth", F.lit(d)), "levels")
         out = level if out is None else out.unionByName(level)
         if d % 16 == 15:  # so that the plan of a long walk stays small
@@ -89,9 +108,14 @@ def farthest(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> Data
 
 def surroundings(edges: DataFrame, seeds: DataFrame, max_depth: int, backward: bool = False) -> tuple[DataFrame, DataFrame]:
     """Who is reached within max_depth steps: node, block and masks own (the node is the seed), direct (one step) and far (more); and numbered(seeds)."""
+    return near(stepped(edges, backward), seeds, max_depth)
+
+
+def near(steps: DataFrame, seeds: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """surroundings() over stepped()."""
     places, none = numbered(seeds), F.lit(0).cast("long")
     kinds, parts = ("own", "direct"), []
-    for d, state in spread(edges, places, max_depth, backward):
+    for d, state in leveled(steps, places, max_depth):
         if d < len(kinds):
             parts.append(stored(state.where("new <> 0").select("node", "block", none.alias("seen"), *[(F.col("new") if i == d else none).alias(k) for i, k in enumerate(kinds)]), "near"))
     out = state.select("node", "block", "seen", *[none.alias(k) for k in kinds])
@@ -101,6 +125,143 @@ def surroundings(edges: DataFrame, seeds: DataFrame, max_depth: int, backward: b
     return out.select("node", "block", *kinds, F.col("seen").bitwiseAND(F.bitwise_not(F.col("own").bitwiseOR(F.col("direct")))).alias("far")), places
 
 
+# -- walks inside a task ------------------------------------------------------
+
+
+def array(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def starts(at: np.ndarray, nodes: int) -> np.ndarray:
+    """Where each node's rows begin among rows in the order of nodes, and where the last one's end."""
+    return np.searchsorted(at, np.arange(nodes + 1, dtype=at.dtype))
+
+
+def rows_of(start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows each of the nodes has, and the places of all of them."""
+    first = start[at]
+    n = start[at + 1] - first
+    return n, np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def packed(steps: DataFrame, symbols: DataFrame | None) -> dict[str, np.ndarray]:
+    """The graph as arrays: sorted nodes, what follows each of them by place, and the file and entry mark of each symbol by node."""
+    found = steps.select("at", "next").toArrow()
+    at, to = array(found["at"]), array(found["next"])
+    ids, g = [np.unique(at), np.unique(to)], {}
+    if symbols is not None:
+        rows = symbols.where("symbol_id is not null").select("symbol_id", "file_id", F.coalesce("is_entry", F.lit(False)).alias("is_entry")).toArrow()
+        own = array(rows["symbol_id"])
+        ids.append(own)
+    nodes = g["nodes"] = np.unique(np.concatenate(ids))
+    at, to = (np.searchsorted(nodes, x).astype(np.int32) for x in (at, to))
+    order = np.argsort(at)
+    g["next"], g["start"] = to[order], starts(at[order], len(nodes))
+    if symbols is not None:
+        own = np.searchsorted(nodes, own).astype(np.int32)
+        order = np.argsort(own)
+        files = rows["file_id"].combine_chunks().dictionary_encode()
+        g["file"] = files.indices.fill_null(-1).to_numpy(zero_copy_only=False)[order]  # -1: null, which is no file
+        g["files"], g["is_entry"] = np.int64(len(files.dictionary)), array(rows["is_entry"])[order]
+        g["symbol"] = starts(own[order], len(nodes))
+    return g
+
+
+def by_seeds(steps: DataFrame, seeds: DataFrame, symbols: DataFrame | None, what: Callable, columns: str) -> DataFrame:
+    """seed and what(graph, places of up to SEEDS seeds) for all seeds. Each task walks the whole graph, which is broadcast, for its own seeds; steps are deleted."""
+    spark = seeds.sparkSession
+    graph = spark.sparkContext.broadcast(packed(steps, symbols))
+    drop(steps)
+    seeds = stored(seeds.select("seed").distinct(), "seeds")
+    blocks = ceil(seeds.count() / SEEDS)
+    tasks = max(1, min(blocks, max(4 * spark.sparkContext.defaultParallelism, blocks // SEEDS)))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = graph.value
+        for batch in batches:
+            for i in range(0, len(batch), SEEDS):
+                ids = batch.column(0).slice(i, SEEDS)
+                values = array(pa.chunked_array([ids.drop_null()]))
+                place = np.searchsorted(g["nodes"], values)
+                known = place < len(g["nodes"])
+                known[known] = g["nodes"][place[known]] == values[known]
+                all_ = np.full(len(ids), -1)
+                all_[np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))[known]] = place[known]
+                keep, out = what(g, all_)
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(keep)), *[pa.array(x[keep]) for x in out]], names=names)
+
+    schema = f"seed {seeds.schema['seed'].dataType.simpleString()}, {columns}"
+    names = [c.split()[0] for c in schema.split(", ")]
+    out = stored(seeds.repartitionByRange(tasks, "seed").sortWithinPartitions("seed").mapInArrow(walk, schema), "by_seeds")
+    graph.destroy()
+    drop(seeds)
+    return out
+
+
+def levels(g: dict[str, np.ndarray], seeds: np.ndarray, max_depth: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, nodes, masks) level by level: in a node's mask stand the seeds whose shortest distance is this depth. A seed without a place (-1) reaches nothing."""
+    start, to, seen = g["start"], g["next"], np.zeros(len(g["nodes"]), np.uint64)
+    mask = np.left_shift(np.uint64(1), np.arange(len(seeds), dtype=np.uint64))[seeds >= 0]
+    at = seeds[seeds >= 0]
+    for d in count():
+        if not len(at):
+            return
+        yield d, at, mask
+        if d == max_depth:
+            return
+        seen[at] |= mask
+        n, rows = rows_of(start, at)
+        nodes, come = to[rows], np.repeat(mask, n)
+        order = np.argsort(nodes)
+        nodes, come = nodes[order], come[order]
+        first = np.flatnonzero(np.diff(nodes, prepend=-1))
+        at = nodes[first]
+        mask = (np.bitwise_or.reduceat(come, first) if len(first) else come) & ~seen[at]
+        at, mask = at[mask != 0], mask[mask != 0]
+
+
+def counted(masks: np.ndarray, rows: int = 1 << 16) -> np.ndarray:
+    """How many of the masks each of SEEDS bits is set in."""
+    out = np.zeros(SEEDS, np.int64)
+    for i in range(0, len(masks), rows):
+        some = np.ascontiguousarray(masks[i : i + rows]).astype("<u8").view(np.uint8).reshape(-1, 8)
+        out += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return out
+
+
+def farthest_of(g: dict[str, np.ndarray], seeds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For all seeds: the largest shortest distance."""
+    far = np.zeros(SEEDS, np.int32)
+    for d, _, mask in levels(g, seeds, None):
+        far[counted(np.bitwise_or.reduce(mask, keepdims=True)) > 0] = d
+    return np.ones(len(seeds), bool), [far[: len(seeds)]]
+
+
+def impact_of(max_depth: int, with_target: bool) -> Callable:
+    """For the seeds that reach a symbol: direct, transitive, entries, files."""
+
+    def sums(g: dict[str, np.ndarray], seeds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        own, direct, far, entries = (np.zeros(SEEDS, np.int64) for _ in range(4))
+        files = np.zeros(g["files"] + 1, np.uint64)  # the last one: no file
+        for d, at, mask in levels(g, seeds, max_depth):
+            if d == 0 and not with_target:
+                continue
+            n, rows = rows_of(g["symbol"], at)
+            mask = np.repeat(mask, n)
+            (own, direct, far)[min(d, 2)][:] += counted(mask)
+            entries += counted(mask[g["is_entry"][rows]])
+            np.bitwise_or.at(files, g["file"][rows], mask)
+        k = len(seeds)
+        return (own + direct + far)[:k] > 0, [x[:k] for x in (direct, far, entries, counted(files[:-1]))]
+
+    return sums
+
+
+def impact_sums(steps: DataFrame, symbols: DataFrame, seeds: DataFrame, max_depth: int, with_target: bool) -> DataFrame:
+    """seed, direct, transitive, entries, files of who is reached within max_depth steps, for seeds that reach a symbol."""
+    return by_seeds(steps, seeds, symbols, impact_of(max_depth, with_target), "direct long, transitive long, entries long, files long")
+
+
 def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """node, component (its smallest node) of the strongly connected components of edges (a, b) with two nodes or more.
 

@@ -112,7 +112,7 @@ def w14p(spark, sf):
 
 @query("t17_depth", "SELECT coalesce(max(m), 0)::INT AS max_depth, round(coalesce(avg(m), 0), 4) AS avg_depth FROM (SELECT seed, max(depth) AS m FROM far GROUP BY 1)", FAR)
 def t17(spark, sf):
-    return T.call_depths(A.symbols(spark, sf), A.edges(spark, sf))
+    return T.call_depths(A.symbols(spark, sf), A.edges.once(spark, sf))
 
 
 SCC = """clo AS (SELECT a, b FROM file_edges UNION SELECT clo.a, e.b FROM clo JOIN file_edges e ON clo.b = e.a),

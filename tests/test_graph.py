@@ -191,3 +191,36 @@ def test_resolve_writes_no_tokens(spark, sf):
     df = registry.queries()["b4_resolve"](spark, sf)
     assert {f.rsplit("/", 1)[0].removeprefix("file://") for f in df.inputFiles()} == {sf}
     assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def jobs_of(spark, make):
+    """What make() gives, and how many jobs it took."""
+    sc = spark.sparkContext
+    before = set(sc.statusTracker().getJobIdsForGroup("walk"))
+    sc.setJobGroup("walk", "walk")
+    try:
+        return make(), len(set(sc.statusTracker().getJobIdsForGroup("walk")) - before)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def long_chain(spark):
+    """150 symbols in a row, the last of which calls the hundredth."""
+    return symbols(spark, [(i, f"f{i}", i in (0, 50)) for i in range(150)]), edges(spark, [(i, i + 1, 1) for i in range(149)] + [(149, 100, 1)])
+
+
+def test_depth_takes_no_job_for_a_level(spark):
+    s, e = long_chain(spark)
+    got, jobs = jobs_of(spark, lambda: [tuple(r) for r in trace.call_depths(s, e).collect()])
+    assert got == [(149, 124.0)] and jobs < 40
+
+
+@pytest.mark.parametrize("local", [0, graph.LOCAL])
+def test_farthest_both_ways(spark, local):
+    s, e, calls = many_seeds(spark)
+    seeds = s.where("is_entry").select(F.col("symbol_id").alias("seed")).unionByName(spark.createDataFrame([(900,), (None,), (1,)], "seed long"))
+    got = sorted((str(r.seed), r.depth) for r in graph.farthest(e, seeds, local=local).collect())
+    assert got == sorted([(str(i), max(distances(calls, i).values())) for i in range(200) if i % 4] + [("900", 0), ("None", 0)])
+    none = edges(spark, [])
+    assert {r.depth for r in graph.farthest(none, seeds, local=local).collect()} == {0}
+    assert graph.farthest(e, seeds.limit(0), local=local).count() == 0
