@@ -116,17 +116,29 @@ def risk(entries: Column, files: Column, direct: Column) -> Column:
     return F.when((entries > 10) | (files > 50), "critical").when((entries > 5) | (files > 20), "high").when((direct > 5) | (files > 5), "medium").otherwise("low")
 
 
-def impact(symbols: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: int = 10, with_target: bool = True) -> DataFrame:
-    """symbol_id, direct, transitive, files, entries, risk: who is reached by walking up from each target."""
-    near, places = graph.surroundings(edges, targets.select(F.col("symbol_id").alias("seed")), max_depth, backward=True)
+def impact(symbols: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: int = 10, with_target: bool = True, local: int = graph.LOCAL) -> DataFrame:
+    """symbol_id, direct, transitive, files, entries, risk: who is reached by walking up from each target.
+
+    A graph of up to `local` edges and symbols, which is checked, is walked by each task for its own targets; a larger one level by level.
+    """
+    seeds, steps = targets.select(F.col("symbol_id").alias("seed")), graph.stepped(edges, backward=True)
+    if steps.count() + symbols.count() <= local:
+        out = graph.impact_sums(steps, symbols, seeds, max_depth, with_target)
+    else:
+        out = impact_by_levels(symbols, steps, seeds, max_depth, with_target)
+    return out.select(F.col("seed").alias("symbol_id"), "direct", "transitive", "files", "entries", risk(F.col("entries"), F.col("files"), F.col("direct")).alias("risk"))
+
+
+def impact_by_levels(symbols: DataFrame, steps: DataFrame, seeds: DataFrame, max_depth: int, with_target: bool) -> DataFrame:
+    """seed, direct, transitive, entries, files: graph.impact_sums() for a graph of any size."""
+    near, places = graph.near(steps, seeds, max_depth)
     up = F.col("direct").bitwiseOR(F.col("far"))
     rows = near.join(symbols.select(F.col("symbol_id").alias("node"), "file_id", "is_entry"), "node").withColumn("all", F.col("own").bitwiseOR(up) if with_target else up).where("`all` <> 0")
     has = lambda mask: F.sum(F.call_function("getbit", F.col(mask), F.col("bit")).cast("long"))
     sums = rows.withColumn("bit", F.explode(graph.bits(F.col("all")))).groupBy("block", "bit").agg(has("direct").alias("direct"), has("far").alias("transitive"), F.count_if("is_entry").alias("entries"))
     by_file = rows.groupBy("block", "file_id").agg(F.bit_or("all").alias("all"))
     files = by_file.withColumn("bit", F.explode(graph.bits(F.col("all")))).groupBy("block", "bit").agg(F.count("file_id").alias("files"))
-    out = sums.join(files, ["block", "bit"]).join(places, ["block", "bit"])
-    return out.select(F.col("seed").alias("symbol_id"), "direct", "transitive", "files", "entries", risk(F.col("entries"), F.col("files"), F.col("direct")).alias("risk"))
+    return sums.join(files, ["block", "bit"]).join(places, ["block", "bit"]).select("seed", "direct", "transitive", "entries", "files")
 
 
 def named_target(symbols: DataFrame, target: str) -> DataFrame:

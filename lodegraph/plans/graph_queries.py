@@ -85,7 +85,7 @@ def t10(spark, sf):
 
 @query("w14_impact", IMPACT.format(risk=RISK, where="WHERE depth > 0"), walk("from_symbol", "to_symbol", BY_NAME, IMPACT_DEPTH))
 def w14(spark, sf):
-    return T.impact(A.symbols(spark, sf), A.edges(spark, sf), targets(spark, sf), IMPACT_DEPTH, False)
+    return T.impact(A.symbols(spark, sf), A.edges.once(spark, sf), targets(spark, sf), IMPACT_DEPTH, False)
 
 
 @query("t10_impact_names", """SELECT DISTINCT CASE WHEN depth = 1 THEN 'direct' ELSE 'transitive' END AS what, CASE WHEN depth = 1 THEN name || ' (' || path || ':' || start_line || ')' ELSE name || ' (depth ' || depth || ')' END AS shown, depth

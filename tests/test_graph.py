@@ -224,3 +224,28 @@ def test_farthest_both_ways(spark, local):
     none = edges(spark, [])
     assert {r.depth for r in graph.farthest(none, seeds, local=local).collect()} == {0}
     assert graph.farthest(e, seeds.limit(0), local=local).count() == 0
+
+
+def test_impact_takes_no_job_for_a_level(spark):
+    s, e = long_chain(spark)
+    got, jobs = jobs_of(spark, lambda: [tuple(r) for r in trace.impact(s, e, s.where("symbol_id = 149"), 120, False).collect()])
+    assert got == [(149, 1, 119, 1, 1, "low")] and jobs < 40
+
+
+@pytest.mark.parametrize("with_target", [True, False])
+def test_impact_both_ways_with_odd_symbols(spark, with_target):
+    """Symbols of no file, without an entry mark, twice in the table, or without an edge; callers and targets that are no symbols."""
+    rng = random.Random(9)
+    rows = [(i, f"f{i}", rng.choice([None, 1, 2, 3]), "function", rng.choice([None, True, False]), False, 1, 9) for i in [*range(100), *range(0, 100, 7), 500]]
+    s = spark.createDataFrame([*rows, (None, "none", 1, "function", True, False, 1, 9)], SYMBOLS)
+    pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(160)]
+    seeds = [*range(90), 110, 500, 900]
+    want = {}
+    for t in seeds:
+        found = [(d, r) for n, d in distances(neighbours((b, a) for a, b in pairs), t).items() if (0 if with_target else 1) <= d <= 4 for r in rows if r[0] == n]
+        if found:
+            want[t] = (sum(d == 1 for d, _ in found), sum(d > 1 for d, _ in found), len({r[2] for _, r in found} - {None}), sum(bool(r[4]) for _, r in found))
+    targets = spark.createDataFrame([(t,) for t in [*seeds, *seeds[:3]]], "symbol_id long")
+    for local in (0, graph.LOCAL):
+        got = {r.symbol_id: (r.direct, r.transitive, r.files, r.entries) for r in trace.impact(s, edges(spark, [(a, b, 1) for a, b in pairs]), targets, 4, with_target, local).collect()}
+        assert got == want, local
