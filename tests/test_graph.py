@@ -249,3 +249,29 @@ def test_impact_both_ways_with_odd_symbols(spark, with_target):
     for local in (0, graph.LOCAL):
         got = {r.symbol_id: (r.direct, r.transitive, r.files, r.entries) for r in trace.impact(s, edges(spark, [(a, b, 1) for a, b in pairs]), targets, 4, with_target, local).collect()}
         assert got == want, local
+
+
+def called(spark):
+    """Symbols of two names, over several tiles, one without a name; calls in them, some twice on a line, one of an unknown name, one outside."""
+    s = spark.createDataFrame([(i, "hot" if i % 3 else "warm" if i else None, 1, "function", False, False, 10 * i + 1, 10 * i + 9) for i in range(2000)], SYMBOLS)
+    t = [(10 * i + 5, "hot") for i in range(1000)] + [(10 * i + 5, "warm") for i in range(0, 1000, 50)] * 2 + [(25, "none"), (25, None), (10, "hot")]
+    return s, spark.createDataFrame([(k, n, 1, line, 1, "call") for k, (line, n) in enumerate(t)], "token_id long, name string, file_id long, line int, col int, kind string")
+
+
+def test_call_edge_table_equals_counts(spark):
+    s, t = called(spark)
+    got = resolve.call_edge_table(t, s)
+    want = resolve.call_edge_counts(t, s)
+    assert got.dtypes == want.dtypes and got.count() == want.count() > 3 * resolve.TILE
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert {(r.to_symbol, r.n) for r in got.where("from_symbol = 50 and to_symbol % 3 = 0").collect()} == {(i, 2) for i in range(3, 2000, 3)}
+    assert resolve.call_edge_table(t.limit(0), s).count() == resolve.call_edge_table(t, s.limit(0)).count() == 0
+
+
+def test_resolve_query_writes_small_files(spark, tmp_path, monkeypatch):
+    s, t = called(spark)
+    monkeypatch.setattr(adapters, "symbols", lambda *_: s)
+    monkeypatch.setattr(adapters.tokens, "plan", lambda *_: t)
+    registry.queries()["b4_resolve"](spark, "").write.parquet(str(tmp_path / "out"))
+    size, rows = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")), spark.read.parquet(str(tmp_path / "out")).count()
+    assert rows > 1_000_000 and size / rows < 0.4
